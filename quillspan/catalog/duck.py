@@ -96,7 +96,7 @@ def token_list(x: str, allowed: str) -> str:
 
 
 def ordered_distinct(x: str) -> str:
-    return f"list_filter({x}, lambda t, i: list_position({x}, t) = i)"
+    return f"list_filter({x}, lambda tok, nth: list_position({x}, tok) = nth)"
 
 
 def synonym_map(table: dict[str, list[str]]) -> str:

@@ -1 +1,206 @@
-"""Queries."""
+"""Stream guards: batch twins over stored messages, and the streams themselves."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from quillspan import constants as K
+from quillspan.catalog import derived as D, duck as X
+from quillspan.catalog.policy_queries import diagnostics
+from quillspan.catalog.registry import query
+from quillspan.session import scratch_path
+from quillspan.streaming import batch as BT
+
+KEY = ["conv_id", "turn"]
+LOOPED, TAGGED = D.sql(D.looped), D.sql(D.tagged)
+
+_LOOP = f"""
+    WITH l AS ({D.Duck().unnest(f'({LOOPED}) AS m', "string_split(text, chr(10))", 'conv_id, turn, len(string_split(text, chr(10))) AS n')}),
+    u AS (SELECT conv_id, turn, pos, {X.loop_line(X.trimmed('item'))} AS norm FROM l WHERE pos < n - 1),
+    v AS (SELECT *, CASE WHEN lag(norm) OVER (PARTITION BY conv_id, turn ORDER BY pos) = norm THEN 0 ELSE 1 END AS fresh FROM u WHERE length(norm) >= 6),
+    r AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS run FROM v),
+    s AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, run ORDER BY pos) AS streak FROM r),
+    hit AS (SELECT conv_id, turn, min(pos) AS pos, arg_min(norm, pos) AS norm FROM s WHERE streak >= 5 GROUP BY conv_id, turn)
+    --final
+"""
+query("loop_lines", "conv_id:b, turn:b, pos:b, norm:s, streak:b", _LOOP + "SELECT conv_id, turn, pos, norm, streak FROM s")(
+    lambda spark, sf: BT.loop_lines(D.frame(spark, sf, D.looped), KEY))
+
+query("repetition_verdicts", "conv_id:b, turn:b, pos:b, norm:s", _LOOP + "SELECT * FROM hit")(
+    lambda spark, sf: BT.repetition_verdicts(D.frame(spark, sf, D.looped), KEY))
+
+query("truncate_repeats", "conv_id:b, turn:b, text:s, removed:b", _LOOP.replace("--final", f""",
+    t AS (SELECT l.conv_id, l.turn, l.pos, item, hit.norm = {X.loop_line(X.trimmed('item'))} AS same FROM l JOIN hit ON l.conv_id = hit.conv_id AND l.turn = hit.turn AND l.pos <= hit.pos),
+    w AS (SELECT *, pos > 0 AND bool_and(same) OVER (PARTITION BY conv_id, turn ORDER BY pos DESC) AS gone FROM t)
+    --final""") + """
+    SELECT conv_id, turn, string_agg(item, chr(10) ORDER BY pos) FILTER (WHERE NOT gone) AS text, count(*) FILTER (WHERE gone) AS removed FROM w GROUP BY conv_id, turn""")(
+    lambda spark, sf: BT.truncate_repeats(D.frame(spark, sf, D.looped), KEY))
+
+
+def notes(d) -> str:
+    """Messages as hidden notes of their conversation, some of them the same each time."""
+    return (
+        f"SELECT conv_id, turn AS pos, CASE WHEN conv_id % 3 = 0 THEN left(first_text, 400) WHEN conv_id % 3 = 1 AND turn % 2 = 0 THEN left(first_text, 150) || repeat(' x', 100) "
+        f"ELSE text END AS text, turn * 40000 AS elapsed FROM (SELECT *, first_value(text) OVER (PARTITION BY conv_id ORDER BY turn) AS first_text FROM {d.table('conversations')}) AS c"
+    )
+
+
+query("stall_verdicts", "conv_id:b, pos:b, chars:b, streak:b, dominant:b, recent_n:b, recent_unique:b, verdict:s", f"""
+    WITH n AS (SELECT conv_id, pos, {X.trimmed('text')} AS note, elapsed FROM ({notes(D.Duck())})),
+    a AS (SELECT *, {X.loop_line('note')} AS norm, sum(length(note)) OVER (PARTITION BY conv_id ORDER BY pos) AS chars FROM n WHERE note <> ''),
+    b AS (SELECT *, row_number() OVER (PARTITION BY conv_id, norm ORDER BY pos) AS freq, CASE WHEN lag(norm) OVER (PARTITION BY conv_id ORDER BY pos) = norm THEN 0 ELSE 1 END AS fresh FROM a),
+    c AS (SELECT *, max(freq) OVER (PARTITION BY conv_id ORDER BY pos) AS dominant, sum(fresh) OVER (PARTITION BY conv_id ORDER BY pos) AS run,
+        list(norm) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS recent FROM b),
+    d AS (SELECT *, row_number() OVER (PARTITION BY conv_id, run ORDER BY pos) AS streak, len(recent) AS recent_n, len(list_distinct(recent)) AS recent_unique FROM c)
+    --final
+    SELECT conv_id, pos, chars, streak, dominant, recent_n, recent_unique, CASE WHEN (streak >= 3 AND chars >= 500) OR (dominant >= 4 AND chars >= 900) OR (recent_n >= 6 AND recent_unique <= 2 AND chars >= 900)
+    THEN 'repetition' WHEN elapsed >= 180000 AND chars >= 4000 THEN 'stall' ELSE 'none' END AS verdict FROM d""")(
+    lambda spark, sf: BT.stall_verdicts(D.frame(spark, sf, notes), ["conv_id"], elapsed="elapsed"))
+
+_SPANS = "|".join(f"{a}(?s:.*?)(?:{b}|\\z)" for a, b in K.HIDDEN_TAGS)
+
+
+def _untag(x: str) -> str:
+    return X.drop_tags(x)
+
+
+def _deltas(spark, sf_dir) -> DataFrame:
+    """Tagged messages cut into pieces of eleven characters, so tags span pieces."""
+    m = D.frame(spark, sf_dir, D.tagged)
+    starts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 11))
+    return m.select(*KEY, F.explode(starts).alias("seq"), "text", F.floor((F.length("text") - 1) / 11).alias("final")).select(
+        *KEY, "seq", F.substring(F.col("text"), (F.col("seq") * 11 + 1).cast("int"), F.lit(11)).alias("delta"),
+        (F.col("seq") == F.col("final")).alias("done"))
+
+
+_SPLIT = f"""
+    SELECT conv_id, turn, {_untag(X.re_all('text', _SPANS, ''))} AS visible,
+    array_to_string(list_filter(list_transform(regexp_extract_all(text, {X.q(_SPANS)}), lambda n: {X.trimmed(_untag('n'))}), lambda n: n <> ''), chr(10)) AS hidden FROM ({TAGGED})"""
+query("split_tagged", "conv_id:b, turn:b, visible:s, hidden:s", _SPLIT)(
+    lambda spark, sf: BT.split_tagged(_deltas(spark, sf), KEY, "seq"))
+
+query("phase_gaps", "user_id:b, event_id:b, gap_ms:b", """
+    SELECT user_id, event_id, gap_ms FROM (SELECT *, epoch_ms(ts) - epoch_ms(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) AS gap_ms FROM events) WHERE gap_ms > 300000""")(
+    lambda spark, sf: BT.phase_gaps(spark.read.parquet(f"{sf}/events.parquet"), ["user_id"], K.PHASE_TIMEOUT_MS["inactivity"]))
+
+query("throughput_ema", "backend:s, ema:d, samples:b", f"""
+    SELECT backend, list_reduce(list(x ORDER BY ts), lambda acc, x: {K.EMA_WEIGHT}::DOUBLE * x + {1 - K.EMA_WEIGHT}::DOUBLE * acc) AS ema, count(*) AS samples
+    FROM (SELECT event_type AS backend, ts, value::DOUBLE AS x FROM events WHERE value > 0) GROUP BY backend""")(
+    lambda spark, sf: BT.throughput_ema(spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_type").alias("backend"), "ts", F.col("value").alias("rate"))))
+
+query("eta_ms", "conv_id:b, turn:b, eta:b", """
+    SELECT conv_id, turn, least(120000, floor(length(text) * 40 / 3.2::DOUBLE / r * 1000)) AS eta FROM (SELECT *, (turn + 1) * 3 / ((conv_id % 7 + 1) * 1000000 / 1e9) / 200 AS r FROM conversations)""")(
+    lambda spark, sf: spark.read.parquet(f"{sf}/conversations.parquet").select(
+        "conv_id", "turn", BT.eta_ms(F.length("text") * 40, BT.eval_rate((F.col("turn") + 1) * 3, (F.col("conv_id") % 7 + 1) * 1000000) / 200).alias("eta")))
+
+
+def rounds(d) -> str:
+    """Messages as answer rounds of their conversation; most end for length, one in five is blank."""
+    return (
+        f"SELECT conv_id, turn AS round_no, CASE WHEN (conv_id + turn) % 5 = 4 THEN ' ' ELSE text END AS text, CASE WHEN (conv_id * 3 + turn) % 4 = 3 THEN 'stop' ELSE 'Length' END AS done_reason "
+        f"FROM {d.table('conversations')}"
+    )
+
+
+query("stitch_rounds", "conv_id:b, answer:s, rounds:b, tail:s", f"""
+    WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY round_no) AS n, lower(done_reason) = 'length' AND {X.trimmed('text')} <> '' AS go FROM ({rounds(D.Duck())})),
+    s AS (SELECT *, coalesce(bool_and(go) OVER (PARTITION BY conv_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS live FROM r WHERE n <= 7)
+    --final
+    SELECT conv_id, answer, rounds, right(answer, 3000) AS tail FROM (SELECT conv_id, string_agg(text, '' ORDER BY n) AS answer, count(*) AS rounds FROM s WHERE live GROUP BY conv_id)""")(
+    lambda spark, sf: BT.stitch_rounds(D.frame(spark, sf, rounds), ["conv_id"]))
+
+query("diagnostic_ring", "category:s, event_id:b", f"""
+    SELECT category, event_id FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY ts DESC, event_id DESC) AS n FROM ({D.sql(diagnostics)})) WHERE n <= 400""")(
+    lambda spark, sf: BT.diagnostic_ring(D.frame(spark, sf, diagnostics), ["category"], [F.desc("ts"), F.desc("event_id")]))
+
+
+def _streamed(spark, sf_dir: str, source, job, name: str) -> DataFrame:
+    """Run ``job`` over a file stream of the derived rows and read its Parquet result."""
+    from quillspan.streaming import jobs
+
+    rows, out = scratch_path(spark, f"{name}-in"), scratch_path(spark, f"{name}-out")
+    frame = source(spark, sf_dir)
+    frame.write.parquet(rows)
+    jobs.use_rocksdb(spark)
+    result = job(spark.readStream.schema(frame.schema).parquet(rows))
+    jobs.run_available(result, out, scratch_path(spark, f"{name}-checkpoint"))
+    return spark.read.schema(result.schema).parquet(out)
+
+
+def _sessions(key: list[str] = KEY):
+    return F.concat_ws("-", *[F.col(k).cast("string") for k in key]).alias("session_id")
+
+
+def _loop_deltas(spark, sf_dir):
+    return D.frame(spark, sf_dir, D.looped).select(_sessions(), F.posexplode(F.split("text", "(?<=\n)")).alias("seq", "delta")).withColumn(
+        "seq", F.col("seq").cast("long"))
+
+
+query("repetition_guard_stream", "session_id:s, norm:s", _LOOP + "SELECT conv_id || '-' || turn AS session_id, norm FROM hit")(
+    lambda spark, sf: _streamed(spark, sf, _loop_deltas, _jobs().repetition_guard, "repetition"))
+
+
+def _jobs():
+    from quillspan.streaming import jobs
+
+    return jobs
+
+
+query("split_tagged_stream", "session_id:s, visible:s, hidden:s", f"""
+    SELECT conv_id || '-' || turn AS session_id, visible, hidden FROM ({_SPLIT})""")(
+    lambda spark, sf: _joined_pieces(_streamed(
+        spark, sf, lambda s, d: _deltas(s, d).select(_sessions(), F.col("seq").cast("long").alias("seq"), "delta", "done"),
+        _jobs().split_tagged_output, "tags")))
+
+
+def _joined_pieces(pieces: DataFrame) -> DataFrame:
+    def text(kind: str, sep: str):
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("seq", "text")))), lambda r: r["text"]), sep)
+
+    return pieces.groupBy("session_id").agg(text("visible", "").alias("visible"), text("hidden", "\n").alias("hidden"))
+
+
+query("stall_guard_stream", "session_id:s, seq:b, verdict:s")(
+    lambda spark, sf: _streamed(spark, sf, lambda s, d: D.frame(s, d, notes).select(
+        F.col("conv_id").cast("string").alias("session_id"), F.col("pos").cast("long").alias("seq"), F.col("text").alias("note"),
+        F.col("elapsed").cast("long").alias("elapsed_ms")), _jobs().stall_guard, "stall"))
+
+query("throughput_ema_stream", "backend:s, ema:d", f"""
+    SELECT backend, list_reduce(list(x ORDER BY ts), lambda acc, x: {K.EMA_WEIGHT}::DOUBLE * x + {1 - K.EMA_WEIGHT}::DOUBLE * acc) AS ema
+    FROM (SELECT event_type AS backend, ts, value::DOUBLE AS x FROM events WHERE value > 0) GROUP BY backend""")(
+    lambda spark, sf: _streamed(spark, sf, lambda s, d: s.read.parquet(f"{d}/events.parquet").coalesce(1).select(
+        F.col("event_type").alias("backend"), "ts", F.col("value").cast("double").alias("rate")), _jobs().throughput_ema, "ema"))
+
+query("failure_breaker_stream", "backend:s, ts:s, allowed:o, failures:b")(
+    lambda spark, sf: _streamed(spark, sf, lambda s, d: s.read.parquet(f"{d}/events.parquet").select(
+        F.col("user_id").cast("string").alias("backend"), "ts", (F.col("event_type") != "error").alias("ok"),
+        F.when(F.col("event_id") % 10 == 0, "model not found").otherwise("timeout").alias("message")), _jobs().failure_breaker, "breaker"))
+
+
+def _auto_memories(spark, sf_dir: str) -> DataFrame:
+    from quillspan.streaming import jobs
+
+    rows, out = scratch_path(spark, "memory-in"), scratch_path(spark, "memory-out")
+    D.frame(spark, sf_dir, D.prompts).select("conv_id", "turn", "role", F.col("prompt").alias("text")).write.parquet(rows)
+    stream = spark.readStream.schema("conv_id long, turn long, role string, text string").parquet(rows)
+    jobs.auto_memory(stream, out, scratch_path(spark, "memory-checkpoint"), "2025")
+    return spark.read.parquet(f"{out}/v0")
+
+
+query("auto_memory_stream", "key:s, category:s, value:s")(_auto_memories)
+
+
+def _ingest(spark, sf_dir: str) -> DataFrame:
+    from quillspan.streaming import jobs
+
+    rows, out = scratch_path(spark, "ingest-in"), scratch_path(spark, "ingest-out")
+    D.frame(spark, sf_dir, D.files).select(
+        "path", "file_name", F.col("size_bytes").cast("long").alias("size_bytes"), F.col("modified_ms").cast("long").alias("modified_ms"),
+        F.lit("direct").alias("extractor"), "text").write.parquet(rows)
+    stream = spark.readStream.schema(
+        "path string, file_name string, size_bytes long, modified_ms long, extractor string, text string").parquet(rows)
+    jobs.incremental_ingest(stream, out, scratch_path(spark, "ingest-checkpoint"))
+    return spark.read.parquet(f"{out}/chunks")
+
+
+query("incremental_ingest", "path:s, chunk_index:b, text:s")(_ingest)

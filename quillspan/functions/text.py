@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from quillspan import constants as K
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def any_contains(c: Column, needles: list[str]) -> Column:
     """True when ``c`` contains one of ``needles``."""
     out = F.lit(False)

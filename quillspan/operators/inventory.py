@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspan.functions import labels as LB, text as T
 
@@ -107,6 +107,10 @@ def sort_inventory(sources: DataFrame, by: str = "name") -> DataFrame:
     return sources.orderBy(column, "path")
 
 
+def _not_negative(name: str) -> Column:
+    return F.when(F.col(name) < 0, 0).otherwise(F.col(name))
+
+
 def selection_stats(selected: DataFrame, sources: DataFrame, chunks: DataFrame, request: str = "request_id") -> DataFrame:
     """(request, file_count, total_chars, total_chunks, max_chars, max_chunks).
 
@@ -122,8 +126,8 @@ def selection_stats(selected: DataFrame, sources: DataFrame, chunks: DataFrame,
     zero = F.lit(0).cast("long")
     return (
         wanted.join(from_source, "path", "left").join(from_chunks, "path", "left")
-        .withColumn("chars", F.coalesce(F.greatest(F.col("s_chars"), zero), "c_chars", zero))
-        .withColumn("chunks", F.coalesce(F.greatest(F.col("s_chunks"), zero), "c_chunks", zero))
+        .withColumn("chars", F.coalesce(_not_negative("s_chars"), "c_chars", zero))
+        .withColumn("chunks", F.coalesce(_not_negative("s_chunks"), "c_chunks", zero))
         .groupBy(request)
         .agg(F.count(F.lit(1)).alias("file_count"), F.sum("chars").alias("total_chars"),
              F.sum("chunks").alias("total_chunks"), F.max("chars").alias("max_chars"),

@@ -12,24 +12,24 @@ def allowed_domain(rows: DataFrame, domains: DataFrame | list[str], url: str = "
     """Rows whose host is a listed domain or below one; an empty list allows all.
 
     A host matches a domain exactly when one of its own dot suffixes equals it, so
-    the test is an equi semi-join on suffixes, not a theta join.
+    the distinct hosts are tested by an equi semi-join on suffixes, and the rows by a
+    second one on the hosts that passed.
     """
     spark = rows.sparkSession
     if isinstance(domains, list):
         domains = spark.createDataFrame([(d,) for d in domains], "domain string")
-    listed = domains.select(F.lower(F.trim("domain")).alias("suffix")).filter("suffix != ''").distinct()
     if domains.isEmpty():
         return rows
-    parts = F.split(F.lower(P.url_host(F.col(url))), r"\.")
+    listed = domains.select(F.lower(F.trim("domain")).alias("suffix")).filter("suffix != ''")
+    hosted = rows.withColumn("_host", F.lower(P.url_host(F.col(url))))
+    parts = F.split("_host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)),
                            lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    tagged = rows.withColumn("_row", F.struct(*rows.columns))
-    return (
-        tagged.select("_row", F.explode(suffixes).alias("suffix"))
-        .join(listed, "suffix", "left_semi")
-        .withColumn("_keep", F.lit(1))
-        .select("_row.*").distinct()
+    passed = (
+        hosted.select("_host").filter("_host != ''").distinct()
+        .select("_host", F.explode(suffixes).alias("suffix")).join(listed, "suffix", "left_semi").select("_host")
     )
+    return hosted.join(passed, "_host", "left_semi").drop("_host")
 
 
 def first_hits(hits: DataFrame, limit: int, request: str = "request_id", order: str = "ord") -> DataFrame:

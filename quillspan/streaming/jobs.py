@@ -1,7 +1,9 @@
 """Stateful stream operators on transformWithStateInPandas, and foreachBatch jobs.
 
-State is keyed by session, request or backend and expires after ``ttl_ms``; the
-expiry only bounds state and never changes a live session's result.
+State is keyed by session, request or backend.  With ``ttl_ms`` it expires after
+that time without input, which bounds state for a stream that never ends; expiry
+needs processing time, and a stream run to its end with ``availableNow`` leaves it
+out, since processing-time state keeps such a run alive.
 """
 
 from __future__ import annotations
@@ -16,8 +18,6 @@ from quillspan import constants as K
 from quillspan.streaming import rules
 from quillspan.streaming.rules import Breaker, Loop, Split, Stall
 
-TTL_MS = 24 * 3600 * 1000
-
 
 def _ordered(frames: Iterator[pd.DataFrame], order: str) -> pd.DataFrame:
     return pd.concat(list(frames)).sort_values(order, kind="stable")
@@ -29,8 +29,11 @@ class _OneState(StatefulProcessor):
     rule: type = Loop
     order = "seq"
 
+    def __init__(self, ttl_ms: int | None = None) -> None:
+        self.ttl_ms = ttl_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.value = handle.getValueState("rule", "json string", TTL_MS)
+        self.value = handle.getValueState("rule", "json string", self.ttl_ms)
 
     def _load(self):
         return rules.load(self.rule, self.value.get()[0] if self.value.exists() else None)
@@ -104,8 +107,11 @@ class FailureBreaker(_OneState):
 class ThroughputEma(StatefulProcessor):
     """Exponential average of positive token rates per backend."""
 
+    def __init__(self, ttl_ms: int | None = None) -> None:
+        self.ttl_ms = ttl_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.value = handle.getValueState("ema", "ema double", TTL_MS)
+        self.value = handle.getValueState("ema", "ema double", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         ema = self.value.get()[0] if self.value.exists() else None
@@ -153,41 +159,43 @@ class PhaseTimeouts(StatefulProcessor):
         pass
 
 
-def _run(stream: DataFrame, key: str, processor: StatefulProcessor, schema: str, ttl: bool = True) -> DataFrame:
+def _run(stream: DataFrame, key: str, processor: StatefulProcessor, schema: str, timed: bool = False) -> DataFrame:
     kind = stream.schema[key].dataType.simpleString()
     return stream.groupBy(key).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=schema.format(kind=kind), outputMode="Append",
-        timeMode="ProcessingTime")
+        timeMode="ProcessingTime" if timed else "None")
 
 
-def repetition_guard(stream: DataFrame) -> DataFrame:
+def repetition_guard(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """(session_id, seq, delta) → (session_id, seq, norm) where a loop was detected."""
-    return _run(stream, "session_id", RepetitionGuard(), "session_id {kind}, seq long, norm string")
+    return _run(stream, "session_id", RepetitionGuard(ttl_ms), "session_id {kind}, seq long, norm string", bool(ttl_ms))
 
 
-def stall_guard(stream: DataFrame) -> DataFrame:
+def stall_guard(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """(session_id, seq, note, elapsed_ms) → (session_id, seq, verdict)."""
-    return _run(stream, "session_id", StallGuard(), "session_id {kind}, seq long, verdict string")
+    return _run(stream, "session_id", StallGuard(ttl_ms), "session_id {kind}, seq long, verdict string", bool(ttl_ms))
 
 
-def split_tagged_output(stream: DataFrame) -> DataFrame:
+def split_tagged_output(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """(session_id, seq, delta, done) → (session_id, seq, kind, text)."""
-    return _run(stream, "session_id", TagSplitter(), "session_id {kind}, seq long, kind string, text string")
+    return _run(stream, "session_id", TagSplitter(ttl_ms), "session_id {kind}, seq long, kind string, text string",
+                bool(ttl_ms))
 
 
-def failure_breaker(stream: DataFrame) -> DataFrame:
+def failure_breaker(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """(backend, ts, ok, message) → (backend, ts, allowed, failures)."""
-    return _run(stream, "backend", FailureBreaker(), "backend {kind}, ts timestamp, allowed boolean, failures int")
+    return _run(stream, "backend", FailureBreaker(ttl_ms), "backend {kind}, ts timestamp, allowed boolean, failures int",
+                bool(ttl_ms))
 
 
-def throughput_ema(stream: DataFrame) -> DataFrame:
+def throughput_ema(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """(backend, ts, rate) → (backend, ema) after each micro-batch."""
-    return _run(stream, "backend", ThroughputEma(), "backend {kind}, ema double")
+    return _run(stream, "backend", ThroughputEma(ttl_ms), "backend {kind}, ema double", bool(ttl_ms))
 
 
 def phase_timeouts(stream: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
     """(session_id, seq, event) → (session_id, outcome)."""
-    return _run(stream, "session_id", PhaseTimeouts(limits), "session_id {kind}, outcome string")
+    return _run(stream, "session_id", PhaseTimeouts(limits), "session_id {kind}, outcome string", True)
 
 
 def use_rocksdb(spark: SparkSession) -> None:
