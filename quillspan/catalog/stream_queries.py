@@ -80,7 +80,7 @@ query("split_tagged", "conv_id:b, turn:b, visible:s, hidden:s", _SPLIT)(
     lambda spark, sf: BT.split_tagged(_deltas(spark, sf), KEY, "seq"))
 
 query("phase_gaps", "user_id:b, event_id:b, gap_ms:b", """
-    SELECT user_id, event_id, gap_ms FROM (SELECT *, epoch_ms(ts) - epoch_ms(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) AS gap_ms FROM events) WHERE gap_ms > 300000""")(
+    SELECT user_id, event_id, gap_ms FROM (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts))) // 1000 AS gap_ms FROM events) WHERE gap_ms > 300000""")(
     lambda spark, sf: BT.phase_gaps(spark.read.parquet(f"{sf}/events.parquet"), ["user_id"], K.PHASE_TIMEOUT_MS["inactivity"]))
 
 query("throughput_ema", "backend:s, ema:d, samples:b", f"""
@@ -169,11 +169,11 @@ query("throughput_ema_stream", "backend:s, ema:d", f"""
     SELECT backend, list_reduce(list(x ORDER BY ts), lambda acc, x: {K.EMA_WEIGHT}::DOUBLE * x + {1 - K.EMA_WEIGHT}::DOUBLE * acc) AS ema
     FROM (SELECT event_type AS backend, ts, value::DOUBLE AS x FROM events WHERE value > 0) GROUP BY backend""")(
     lambda spark, sf: _streamed(spark, sf, lambda s, d: s.read.parquet(f"{d}/events.parquet").coalesce(1).select(
-        F.col("event_type").alias("backend"), "ts", F.col("value").cast("double").alias("rate")), _jobs().throughput_ema, "ema"))
+        F.col("event_type").alias("backend"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("rate")), _jobs().throughput_ema, "ema"))
 
 query("failure_breaker_stream", "backend:s, ts:s, allowed:o, failures:b")(
     lambda spark, sf: _streamed(spark, sf, lambda s, d: s.read.parquet(f"{d}/events.parquet").select(
-        F.col("user_id").cast("string").alias("backend"), "ts", (F.col("event_type") != "error").alias("ok"),
+        F.col("user_id").cast("string").alias("backend"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") != "error").alias("ok"),
         F.when(F.col("event_id") % 10 == 0, "model not found").otherwise("timeout").alias("message")), _jobs().failure_breaker, "breaker"))
 
 

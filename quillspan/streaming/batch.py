@@ -117,7 +117,8 @@ def _strip_tags(c: Column) -> Column:
 def phase_gaps(events: DataFrame, key: list[str], limit_ms: int, ts: str = "ts") -> DataFrame:
     """(key, ts, gap_ms): events that follow their predecessor by more than ``limit_ms``."""
     order = Window.partitionBy(*key).orderBy(ts)
-    gap = F.unix_millis(F.col(ts)) - F.unix_millis(F.lag(ts).over(order))
+    stamp = F.col(ts).cast("timestamp")
+    gap = F.floor((F.unix_micros(stamp) - F.unix_micros(F.lag(stamp).over(order))) / 1000)
     return events.withColumn("gap_ms", gap).filter(F.col("gap_ms") > limit_ms)
 
 
@@ -128,7 +129,7 @@ def throughput_ema(samples: DataFrame, key: str = "backend", ts: str = "ts", val
     The recurrence is linear, so each (key, time slice) is summed on its own and the
     slice results, few per key, are folded in order.  A hot key is spread by slice.
     """
-    slot = F.floor(F.unix_seconds(F.col(ts)) / slice_seconds)
+    slot = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / slice_seconds)
     rows = samples.filter(F.col(value) > 0).select(key, slot.alias("slot"), F.col(ts).alias("ts"), F.col(value).alias("x"))
     newest = Window.partitionBy(key, "slot").orderBy(F.desc("ts"))
     keep = 1.0 - weight

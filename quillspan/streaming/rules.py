@@ -117,7 +117,7 @@ class Split:
                 self.pending += _strip(self.buffer[:at])
                 self.buffer, self.close = self.buffer[at + len(opening):], closing
                 continue
-            keep = 0 if done else max(_overlap(self.buffer, a) for a, _ in K.HIDDEN_TAGS)
+            keep = 0 if done else max(_overlap(self.buffer, tag) for tag in (*(a for a, _ in K.HIDDEN_TAGS), K.END_TAG))
             cut = len(self.buffer) - keep
             self.pending += _strip(self.buffer[:cut])
             self.buffer = self.buffer[cut:]
