@@ -208,7 +208,7 @@ def tagged(d) -> str:
 
 
 def frame(spark: SparkSession, sf_dir: str, template) -> DataFrame:
-    return spark.sql(template(Spark(sf_dir)))
+    return spark.sql(template(Spark(sf_dir, spark)))
 
 
 def sql(template) -> str:

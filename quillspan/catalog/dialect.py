@@ -7,15 +7,28 @@ is one template, so Spark and the oracle start from the same rows.
 
 from __future__ import annotations
 
+from pyspark.sql import SparkSession
+
 
 class Spark:
     """Spark SQL over the Parquet files of one directory."""
 
-    def __init__(self, sf_dir: str) -> None:
-        self.sf_dir = sf_dir
+    TEXT_TABLES = ("documents", "pages")
+
+    def __init__(self, sf_dir: str, spark: SparkSession) -> None:
+        self.sf_dir, self.spark = sf_dir, spark
 
     def table(self, name: str) -> str:
-        return f"parquet.`{self.sf_dir}/{name}.parquet`"
+        """The table; text tables with fewer splits than cores are spread before the work on their texts.
+
+        A table of many splits, the normal case on a cluster, is read as it is.
+        """
+        path = f"{self.sf_dir}/{name}.parquet"
+        if name in self.TEXT_TABLES:
+            cores = self.spark.sparkContext.defaultParallelism
+            if self.spark.read.parquet(path).rdd.getNumPartitions() < cores:
+                return f"(SELECT /*+ REPARTITION({cores}) */ * FROM parquet.`{path}`)"
+        return f"parquet.`{path}`"
 
     def split(self, x: str, regex: str) -> str:
         return f"split({x}, {regex})"

@@ -10,17 +10,17 @@ from quillspan.catalog.registry import query
 from quillspan.functions import labels as LB, policy as P, terms as TM
 
 PROMPTS = D.sql(D.prompts)
-C = F.col("prompt")
 
-
-def _over(**columns):
+def _over(columns):
+    """Query function: prompt_id plus the columns built from the prompt."""
     def run(spark, sf_dir):
-        return D.frame(spark, sf_dir, D.prompts).select("prompt_id", *[c.alias(n) for n, c in columns.items()])
+        built = columns(F.col("prompt"))
+        return D.frame(spark, sf_dir, D.prompts).select("prompt_id", *[c.alias(n) for n, c in built.items()])
 
     return run
 
 
-query("redact", "prompt_id:b, t:s", f"SELECT prompt_id, {X.redact('prompt')} AS t FROM ({PROMPTS})")(_over(t=P.redact(C)))
+query("redact", "prompt_id:b, t:s", f"SELECT prompt_id, {X.redact('prompt')} AS t FROM ({PROMPTS})")(_over(lambda C: dict(t=P.redact(C))))
 
 query("redact_documents", "doc_id:b, t:s, sensitive:o", f"""
     SELECT doc_id, t, t <> {X.ascii_squash('text')} AS sensitive FROM (SELECT doc_id, text, {X.redact('text')} AS t FROM documents)""")(
@@ -29,7 +29,7 @@ query("redact_documents", "doc_id:b, t:s, sensitive:o", f"""
 
 query("looks_sensitive", "prompt_id:b, sensitive:o",
       f"SELECT prompt_id, {X.redact('prompt')} <> {X.ascii_squash('prompt')} AS sensitive FROM ({PROMPTS})")(
-    _over(sensitive=P.looks_sensitive(C)))
+    _over(lambda C: dict(sensitive=P.looks_sensitive(C))))
 
 _KEYWORDS = (
     f"list_filter({X.token_list('r', 'a-z0-9.+_-')}, lambda w: length(w) >= 3 AND w <> '{K.KEYWORD_DROP}' "
@@ -38,7 +38,7 @@ _KEYWORDS = (
 SEARCH_QUERY_SQL = f"""
     SELECT prompt_id, array_to_string(list_slice({X.ordered_distinct('k')}, 1, 12), ' ') AS sq
     FROM (SELECT prompt_id, {_KEYWORDS} AS k FROM (SELECT prompt_id, lower({X.redact('prompt')}) AS r FROM ({PROMPTS})))"""
-query("search_query", "prompt_id:b, sq:s", SEARCH_QUERY_SQL)(_over(sq=P.search_query(C)))
+query("search_query", "prompt_id:b, sq:s", SEARCH_QUERY_SQL)(_over(lambda C: dict(sq=P.search_query(C))))
 
 _EXTERNAL = (
     f"(lp <> '' AND ({X.matches('lp', K.RE_EXPLICIT_SEARCH)} OR (({X.has_any('lp', K.PUBLIC_SIGNALS)} OR "
@@ -46,7 +46,7 @@ _EXTERNAL = (
 )
 query("wants_external_search", "prompt_id:b, ext:o", f"""
     SELECT prompt_id, {_EXTERNAL} AS ext FROM (SELECT prompt_id, {X.trimmed('lower(prompt)')} AS lp FROM ({PROMPTS}))""")(
-    _over(ext=P.wants_external_search(C)))
+    _over(lambda C: dict(ext=P.wants_external_search(C))))
 
 EXACT = (
     f"(({X.has_any('lp', K.EXTRACTION_VERBS)} AND {X.has_any('lp', K.EXTRACTION_TARGETS)}) OR {X.has_any('lp', K.EXTRACTION_PHRASES)})"
@@ -58,7 +58,7 @@ LOWER = f"(SELECT prompt_id, prompt, lower(prompt) AS lp FROM ({PROMPTS}))"
 query("prompt_flags", "prompt_id:b, structured:o, exact:o, study:o, casual:o, grounded:o", f"""
     SELECT prompt_id, {_STRUCT} AS structured, {EXACT} AS exact, {STUDY} AS study, {_CASUAL} AS casual,
     NOT {_CASUAL} AND ({X.has_any('lp', K.GROUNDING_SIGNALS)} OR {_STRUCT}) AS grounded FROM {LOWER}""")(
-    lambda spark, sf: D.frame(spark, sf, D.prompts).select("prompt_id", P.prompt_flags(C).alias("f")).select(
+    lambda spark, sf: D.frame(spark, sf, D.prompts).select("prompt_id", P.prompt_flags(F.col("prompt")).alias("f")).select(
         "prompt_id", F.col("f.structured_document").alias("structured"), F.col("f.exact_extraction").alias("exact"),
         F.col("f.document_study").alias("study"), F.col("f.casual").alias("casual"),
         F.col("f.needs_grounding").alias("grounded")))
@@ -81,7 +81,7 @@ INLINE_INTENT_SQL = (
 query("retrieval_intent", "prompt_id:b, doc_type:s, planner:s, inline:s", f"""
     SELECT prompt_id, dt AS doc_type, {PLAN_INTENT_SQL} AS planner, {INLINE_INTENT_SQL} AS inline
     FROM (SELECT *, {TYPE_SQL} AS dt FROM {LOWER})""")(
-    _over(doc_type=P.document_type(C), planner=P.planner_intent(C), inline=P.inline_intent(C)))
+    _over(lambda C: dict(doc_type=P.document_type(C), planner=P.planner_intent(C), inline=P.inline_intent(C))))
 
 _TP = D.sql(D.transform_prompts)
 query("transform_prompt", "prompt_id:b, active:o, instruction:s, source:s", f"""
@@ -93,7 +93,7 @@ query("transform_prompt", "prompt_id:b, active:o, instruction:s, source:s", f"""
         AND ({X.has_any('lower(f)', K.TRANSFORM_VERBS)} OR {X.has_any('lower(f)', K.TRANSFORM_CUES)}) AS active FROM c)
     --final
     SELECT prompt_id, active, CASE WHEN active THEN f ELSE '' END AS instruction, CASE WHEN active THEN r ELSE '' END AS source FROM d""")(
-    lambda spark, sf: D.frame(spark, sf, D.transform_prompts).select("prompt_id", P.transform_prompt(C).alias("t")).select(
+    lambda spark, sf: D.frame(spark, sf, D.transform_prompts).select("prompt_id", P.transform_prompt(F.col("prompt")).alias("t")).select(
         "prompt_id", "t.active", "t.instruction", "t.source"))
 
 _ANCHORS = (
@@ -102,13 +102,13 @@ _ANCHORS = (
 _KEEP = f"({X.one_of('w', K.ANCHOR_KEEP)} OR " + " OR ".join(f"contains(w, '{p}')" for p in K.ANCHOR_KEEP_PARTS) + ")"
 ANCHOR_SQL = f"""SELECT prompt_id, array_to_string(list_filter(a, lambda w, n: n <= {K.ANCHOR_CAP} OR {_KEEP}), ' ') AS anchors
     FROM (SELECT prompt_id, {X.ordered_distinct('a0')} AS a FROM (SELECT prompt_id, {_ANCHORS} AS a0 FROM {LOWER}))"""
-query("anchor_terms", "prompt_id:b, anchors:s", ANCHOR_SQL)(_over(anchors=F.array_join(TM.anchor_terms(C), " ")))
+query("anchor_terms", "prompt_id:b, anchors:s", ANCHOR_SQL)(_over(lambda C: dict(anchors=F.array_join(TM.anchor_terms(C), " "))))
 
 query("memory_key_value", "prompt_id:b, k:s, v:s", f"""
     SELECT prompt_id, {X.memory_key('prompt')} AS k, {X.compact('s', 220)} AS v FROM (SELECT *, {X.simplified('z')} AS s FROM (
     SELECT *, CASE WHEN y = '' OR {X.matches('y', '[.!?]' + chr(92) + 'z')} THEN y ELSE y || '.' END AS z FROM (SELECT prompt_id, prompt,
     {X.trimmed(X.re_all(X.re_all('prompt', "^[" + chr(34) + "'`" + r"\t-\r ]+|[" + chr(34) + "'`" + r"\t-\r ]+\z", ''), r'[\t-\r ]+', ' '))} AS y FROM ({PROMPTS}))))""")(
-    _over(k=LB.memory_key(C), v=LB.memory_value(C)))
+    _over(lambda C: dict(k=LB.memory_key(C), v=LB.memory_value(C))))
 
 query("privacy_preview", "prompt_id:b, preview:s", f"""
     WITH s AS ({SEARCH_QUERY_SQL}),
@@ -118,7 +118,7 @@ query("privacy_preview", "prompt_id:b, preview:s", f"""
     || 'External search allowed in UI: ' || CASE WHEN p.prompt_id % 2 = 0 THEN 'yes' ELSE 'no' END || 'External search recommended by policy: '
     || CASE WHEN {_EXTERNAL} THEN 'yes' ELSE 'no' END || chr(10) || 'Sanitized external query:' || chr(10)
     || CASE WHEN sq = '' THEN '<empty>' ELSE sq END AS preview FROM p JOIN s ON p.prompt_id = s.prompt_id""")(
-    _over(preview=P.privacy_preview(C, F.col("prompt_id") % 2 == 0, P.wants_external_search(C), P.search_query(C))))
+    _over(lambda C: dict(preview=P.privacy_preview(C, F.col("prompt_id") % 2 == 0, P.wants_external_search(C), P.search_query(C)))))
 
 query("redacted_export", "prompt_id:b, line:s, sq:s", f"""
     WITH s AS ({SEARCH_QUERY_SQL})
@@ -126,7 +126,7 @@ query("redacted_export", "prompt_id:b, line:s, sq:s", f"""
     SELECT p.prompt_id, '{{"role":' || to_json(role) || ',"content":' || to_json({X.redact('prompt')}) || '}}' AS line, sq
     FROM ({PROMPTS}) p JOIN s ON p.prompt_id = s.prompt_id""")(
     lambda spark, sf: D.frame(spark, sf, D.prompts).select(
-        "prompt_id", F.to_json(F.struct("role", P.redact(C).alias("content"))).alias("line"), P.search_query(C).alias("sq")))
+        "prompt_id", F.to_json(F.struct("role", P.redact(F.col("prompt")).alias("content"))).alias("line"), P.search_query(F.col("prompt")).alias("sq")))
 
 
 def _failures(d) -> str:

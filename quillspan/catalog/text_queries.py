@@ -9,50 +9,49 @@ from quillspan.catalog import derived as D, duck as X
 from quillspan.catalog.registry import query
 from quillspan.functions import lines as L, scoring as S, terms as TM, text as T
 
-C = F.col("text")
 
-
-def _over(template, **columns):
-    """Query function: doc_id plus the given columns over a derived table."""
+def _over(template, columns):
+    """Query function: doc_id plus the columns built from the text, over a derived table."""
     def run(spark, sf_dir):
-        return D.frame(spark, sf_dir, template).select("doc_id", *[c.alias(n) for n, c in columns.items()])
+        built = columns(F.col("text"))
+        return D.frame(spark, sf_dir, template).select("doc_id", *[c.alias(n) for n, c in built.items()])
 
     return run
 
 
 query("clean_text", "doc_id:b, cleaned:s", f"SELECT doc_id, {X.clean('text')} AS cleaned FROM ({D.sql(D.dirty)})")(
-    _over(D.dirty, cleaned=T.clean_text(C)))
+    _over(D.dirty, lambda C: dict(cleaned=T.clean_text(C))))
 
 query("normalize_block", "doc_id:b, block:s",
       f"SELECT doc_id, {X.normalize_block('text')} AS block FROM ({D.sql(D.shaped)})")(
-    _over(D.shaped, block=T.normalize_block(C)))
+    _over(D.shaped, lambda C: dict(block=T.normalize_block(C))))
 
 query("compact_preview", "doc_id:b, p60:s, p520:s", f"""
     SELECT doc_id, {X.preview('t', 60)} AS p60, {X.preview('t', 520)} AS p520
     FROM (SELECT doc_id, {X.normalize_block('text')} AS t FROM ({D.sql(D.shaped)}))""")(
-    _over(D.shaped, p60=T.compact_preview(C, 60), p520=T.compact_preview(C, 520)))
+    _over(D.shaped, lambda C: dict(p60=T.compact_preview(C, 60), p520=T.compact_preview(C, 520))))
 
 query("simplified", "doc_id:b, simple:s, c96:s", f"""
     SELECT doc_id, t AS simple, {X.compact('t', 96)} AS c96
     FROM (SELECT doc_id, {X.simplified('text')} AS t FROM ({D.sql(D.dirty)}))""")(
-    _over(D.dirty, simple=T.simplified(C), c96=T.compact(C, 96)))
+    _over(D.dirty, lambda C: dict(simple=T.simplified(C), c96=T.compact(C, 96))))
 
 query("count_words", "doc_id:b, words:b", f"SELECT doc_id, {X.words('text')} AS words FROM documents")(
-    _over(D.documents, words=T.count_words(C)))
+    _over(D.documents, lambda C: dict(words=T.count_words(C))))
 
 query("count_lines", "doc_id:b, n_lines:b", f"SELECT doc_id, {X.lines('text')} AS n_lines FROM documents")(
-    _over(D.documents, n_lines=T.count_lines(C)))
+    _over(D.documents, lambda C: dict(n_lines=T.count_lines(C))))
 
 query("fingerprint", "doc_id:b, fp:s", f"SELECT doc_id, sha1({X.simplified('text')}) AS fp FROM documents")(
-    _over(D.documents, fp=T.fingerprint(C)))
+    _over(D.documents, lambda C: dict(fp=T.fingerprint(C))))
 
 query("content_hash", "doc_id:b, digest:s", "SELECT doc_id, sha1(text) AS digest FROM documents")(
-    _over(D.documents, digest=T.content_hash(F.encode(C, "UTF-8"))))
+    _over(D.documents, lambda C: dict(digest=T.content_hash(F.encode(C, "UTF-8")))))
 
 query("sanitize_for_embedding", "doc_id:b, t:s", f"""
     SELECT doc_id, {X.trimmed(X.re_all(X.re_all(X.re_all(X.unix('text'), r'[\x00-\x08\x0B\x0C\x0E-\x1F\x{A0}]', ' '),
                                                 r'[ \t]{2,}', ' '), chr(10) + '{4,}', chr(10) * 3))} AS t
-    FROM ({D.sql(D.dirty)})""")(_over(D.dirty, t=T.sanitize_for_embedding(C)))
+    FROM ({D.sql(D.dirty)})""")(_over(D.dirty, lambda C: dict(t=T.sanitize_for_embedding(C))))
 
 _OTHER = r"[\p{L}\p{N}" + X._WS + r"{}\[\]()<>:=/\\|@#%&*_+\-;,.!?" + '"]'
 query("estimate_tokens", "doc_id:b, tokens:b", f"""
@@ -62,9 +61,9 @@ query("estimate_tokens", "doc_id:b, tokens:b", f"""
           {X.count_re('text', '[' + X._WS + ']')} - {X.count_of('text', chr(10))} AS sp,
           {X.count_re('text', r'[{}\[\]()<>:=/\\|@#%&*_+\-;,.!?"]')} AS dense,
           length({X.re_all('text', _OTHER, '')}) AS other FROM ({D.sql(D.shaped)}))""")(
-    _over(D.shaped, tokens=T.estimate_tokens(C)))
+    _over(D.shaped, lambda C: dict(tokens=T.estimate_tokens(C))))
 
-query("clip_for_embedding", "doc_id:b, clipped:s")(_over(D.shaped, clipped=T.clip_for_embedding(C)))
+query("clip_for_embedding", "doc_id:b, clipped:s")(_over(D.shaped, lambda C: dict(clipped=T.clip_for_embedding(C))))
 
 _LINES = D.sql(D.shaped)
 
@@ -110,20 +109,20 @@ query("actionability", "doc_id:b, score:b", f"""
     + CASE WHEN {X.matches('t', K.RE_KEY_VALUE_LINE)} THEN 2 ELSE 0 END
     + CASE WHEN {X.has_any('t', ['{', '=', '->'])} THEN 1 ELSE 0 END AS score
     FROM (SELECT doc_id, {X.normalize_block('text')} AS t FROM ({D.sql(D.shaped)}))""")(
-    _over(D.shaped, score=L.actionability(C)))
+    _over(D.shaped, lambda C: dict(score=L.actionability(C))))
 
 query("looks_like_structure", "doc_id:b, structure:o",
       f"SELECT doc_id, {X.structure('text')} AS structure FROM ({D.sql(D.shaped)})")(
-    _over(D.shaped, structure=L.looks_like_structure(C)))
+    _over(D.shaped, lambda C: dict(structure=L.looks_like_structure(C))))
 
 query("balanced_trim", "doc_id:b, t:s", f"""
     SELECT doc_id, {X.balanced('t', '700')} AS t FROM (SELECT doc_id, {X.trimmed('text')} AS t FROM documents)""")(
-    _over(D.documents, t=T.balanced_trim(C, 700)))
+    _over(D.documents, lambda C: dict(t=T.balanced_trim(C, 700))))
 
 query("trim_for_budget", "doc_id:b, t:s, tiny:s", f"""
     SELECT doc_id, {X.trim_budget('t', 900)} AS t, {X.trimmed('left(t, 40)')} AS tiny
     FROM (SELECT doc_id, {X.trimmed('text')} AS t FROM documents)""")(
-    _over(D.documents, t=T.trim_for_budget(C, 900), tiny=T.trim_for_budget(C, 40)))
+    _over(D.documents, lambda C: dict(t=T.trim_for_budget(C, 900), tiny=T.trim_for_budget(C, 40))))
 
 _USABLE = 900 - len(K.RETRY_TRIM_MARKER)
 _HEAD = _USABLE * 11 // 20
@@ -131,14 +130,14 @@ query("compact_for_retry", "doc_id:b, t:s", f"""
     SELECT doc_id, CASE WHEN length(t) <= 900 THEN t ELSE {X.trimmed(
         f"left({X.trimmed(f'left(t, {_HEAD})')} || '{K.RETRY_TRIM_MARKER}' || {X.trimmed(f'right(t, {_USABLE - _HEAD})')}, 900)")} END AS t
     FROM (SELECT doc_id, {X.trimmed('text')} AS t FROM documents)""")(
-    _over(D.documents, t=T.compact_for_retry(C, 900)))
+    _over(D.documents, lambda C: dict(t=T.compact_for_retry(C, 900))))
 
 query("dedup_key", "conv_id:b, turn:b, k:s", f"SELECT conv_id, turn, {X.dedup_key('text')} AS k FROM ({D.sql(D.tagged)})")(
-    lambda spark, sf: D.frame(spark, sf, D.tagged).select("conv_id", "turn", T.dedup_key(C).alias("k")))
+    lambda spark, sf: D.frame(spark, sf, D.tagged).select("conv_id", "turn", T.dedup_key(F.col("text")).alias("k")))
 
 query("sanitize_section", "conv_id:b, turn:b, t:s",
       f"SELECT conv_id, turn, {X.sanitize_section('text')} AS t FROM ({D.sql(D.tagged)})")(
-    lambda spark, sf: D.frame(spark, sf, D.tagged).select("conv_id", "turn", T.sanitize_section(C).alias("t")))
+    lambda spark, sf: D.frame(spark, sf, D.tagged).select("conv_id", "turn", T.sanitize_section(F.col("text")).alias("t")))
 
 query("looks_code_like", "conv_id:b, turn:b, code:o", f"""
     SELECT conv_id, turn, {X.trimmed('text')} <> '' AND (signals >= 2 OR punct >= 6 OR (signals >= 1 AND indented >= 1)) AS code
@@ -146,7 +145,7 @@ query("looks_code_like", "conv_id:b, turn:b, code:o", f"""
     length(text) - length({X.re_all('text', '[{};()#]', '')}) AS punct,
     len(list_filter(string_split(text, chr(10)), lambda l: starts_with(l, '    ') OR starts_with(l, chr(9)))) AS indented
     FROM ({D.sql(D.marked_messages)}))""")(
-    lambda spark, sf: D.frame(spark, sf, D.marked_messages).select("conv_id", "turn", T.looks_code_like(C).alias("code")))
+    lambda spark, sf: D.frame(spark, sf, D.marked_messages).select("conv_id", "turn", T.looks_code_like(F.col("text")).alias("code")))
 
 
 def _fenced(d) -> str:
@@ -166,7 +165,7 @@ query("answer_hygiene", "conv_id:b, turn:b, t:s", f"""
     SELECT conv_id, turn, {X.trimmed(_H3)} AS t FROM (SELECT conv_id, turn, {_H2} AS u FROM (
     SELECT conv_id, turn, t, len(list_filter(string_split(t, chr(10)), lambda l: starts_with({X.trimmed('l')}, '```'))) AS fences
     FROM (SELECT conv_id, turn, {_H1.replace("replace(" + X.unix('text') + ", chr(0), '')", X.unix('text'))} AS t FROM ({_fenced(D.Duck())}))))""")(
-    lambda spark, sf: D.frame(spark, sf, _fenced).select("conv_id", "turn", T.answer_hygiene(C).alias("t")))
+    lambda spark, sf: D.frame(spark, sf, _fenced).select("conv_id", "turn", T.answer_hygiene(F.col("text")).alias("t")))
 
 
 def _packets(d) -> str:
@@ -180,10 +179,10 @@ query("marker_summary", "doc_id:b, summary:s", f"""
     SELECT doc_id, CASE WHEN {X.trimmed('text')} = '' THEN 'chars=0 | sha1=<empty>' ELSE 'chars=' || length(text) || ' | sha1=' || left(sha1(text), 12)
     || {" || ".join(f"' | {n}=' || {X.count_of('text', m)}" for n, m in K.PACKET_MARKERS.items())} END AS summary
     FROM ({_packets(D.Duck())})""")(
-    lambda spark, sf: D.frame(spark, sf, _packets).select("doc_id", T.marker_summary(C).alias("summary")))
+    lambda spark, sf: D.frame(spark, sf, _packets).select("doc_id", T.marker_summary(F.col("text")).alias("summary")))
 
 query("normalize_loop_line", "doc_id:b, t:s", f"SELECT doc_id, {X.loop_line('text')} AS t FROM documents")(
-    _over(D.documents, t=T.normalize_loop_line(C)))
+    _over(D.documents, lambda C: dict(t=T.normalize_loop_line(C))))
 
 query("query_terms", "query_id:b, terms:s", f"""
     SELECT query_id, array_to_string({X.ordered_distinct('t')}, ' ') AS terms
@@ -235,7 +234,7 @@ def _lexical(spark, sf_dir):
     probes = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(
         F.col("item_id").alias("doc_id"), F.left("text", F.lit(60)).alias("query"))
     return docs.join(probes, "doc_id").withColumn("terms", TM.query_terms(F.col("query"))).filter(F.size("terms") > 0).select(
-        "doc_id", S.lexical_score(C, F.concat(F.lit("doc_"), F.col("doc_id").cast("string")), F.col("terms"),
+        "doc_id", S.lexical_score(F.col("text"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")), F.col("terms"),
                                   F.col("query")).alias("score"))
 
 
@@ -269,10 +268,10 @@ def _excerpts(spark, sf_dir):
     docs = D.frame(spark, sf_dir, D.shaped)
     probes = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(
         F.col("item_id").alias("doc_id"), TM.query_terms(F.left("text", F.lit(80))).alias("terms"))
-    return docs.join(probes, "doc_id").select("doc_id", S.excerpt(C, F.col("terms")).alias("excerpt"))
+    return docs.join(probes, "doc_id").select("doc_id", S.excerpt(F.col("text"), F.col("terms")).alias("excerpt"))
 
 
 query("keep_chunk", "path:s, chunk_index:b", f"""
     SELECT path, chunk_index FROM (SELECT *, {X.simplified('text')} AS simple FROM ({D.sql(D.line_chunks)}))
     WHERE {X.keep_chunk('text', 'simple')}""")(
-    lambda spark, sf: D.frame(spark, sf, D.line_chunks).filter(L.keep_chunk(C)).select("path", "chunk_index"))
+    lambda spark, sf: D.frame(spark, sf, D.line_chunks).filter(L.keep_chunk(F.col("text"))).select("path", "chunk_index"))

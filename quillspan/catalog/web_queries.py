@@ -11,16 +11,20 @@ from quillspan.functions import policy as P
 from quillspan.operators import web as W
 from quillspan.sources import records as R
 
+def _pages(spark, sf_dir):
+    return D.frame(spark, sf_dir, lambda d: f"SELECT * FROM {d.table('pages')}")
+
+
 query("html_snippet", "page_id:b, t:s", f"SELECT page_id, {X.html_snippet('html')} AS t FROM pages")(
-    lambda spark, sf: spark.read.parquet(f"{sf}/pages.parquet").select("page_id", P.html_snippet(F.col("html")).alias("t")))
+    lambda spark, sf: _pages(spark, sf).select("page_id", P.html_snippet(F.col("html")).alias("t")))
 
 query("url_host", "page_id:b, host:s", f"SELECT page_id, {X.host('url')} AS host FROM pages")(
-    lambda spark, sf: spark.read.parquet(f"{sf}/pages.parquet").select("page_id", P.url_host(F.col("url")).alias("host")))
+    lambda spark, sf: _pages(spark, sf).select("page_id", P.url_host(F.col("url")).alias("host")))
 
 
 def _payloads(spark, sf_dir):
     """One JSON payload per page: the page itself, under a snippet key in turn, and a result without text."""
-    page = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    page = _pages(spark, sf_dir)
     body = [F.when(F.col("page_id") % 6 == i, F.col("html")).alias(k) for i, k in enumerate(K.SNIPPET_KEYS)]
     lists = F.when(F.col("page_id") % 6 == 5, F.array(F.substring("html", 1, 400), F.lit(""), F.col("html"), F.lit("never"))).alias("descriptions")
     first = F.struct(F.concat(F.lit("<b>"), "url", F.lit("</b>")).alias("title"), F.concat(F.lit(" "), "url").alias("url"), *body, lists)
@@ -45,7 +49,7 @@ DOMAINS = ["example.com", "m.ththth.example.net", " EXAMPLE.org "]
 _ALLOWED = " OR ".join(f"lower(domain) = '{d.strip().lower()}' OR ends_with(lower(domain), '.{d.strip().lower()}')" for d in DOMAINS)
 
 query("allowed_domain", "page_id:b, url:s", f"SELECT page_id, url FROM (SELECT page_id, url, {X.host('url')} AS domain FROM pages) WHERE {_ALLOWED}")(
-    lambda spark, sf: W.allowed_domain(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url"), DOMAINS))
+    lambda spark, sf: W.allowed_domain(_pages(spark, sf).select("page_id", "url"), DOMAINS))
 
 query("first_external_hits", "domain:s, hit_no:b, request_id:b, ord:b", _HIT + """
     SELECT domain, hit_no, request_id, ord FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY request_id * 10 + ord) AS hit_no FROM hit)
