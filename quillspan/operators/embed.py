@@ -19,38 +19,47 @@ def sign_of(token: Column) -> Column:
     return F.when(digit % 2 == 0, 1.0).otherwise(-1.0)
 
 
-def token_frequencies(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """(key, token, freq).  A document's tokens sit in one task, so the map-side combine is complete."""
-    tokens = docs.select(*key, F.explode(TM.embedding_tokens(F.col(text))).alias("token"))
-    return tokens.groupBy(*key, "token").agg(F.count(F.lit(1)).alias("freq"))
+def _frequencies(docs: DataFrame, key: list[str], text: str, explode) -> DataFrame:
+    """Token counts.  Texts are clustered by key first, so this and every later grouping of the
+    same document needs no further exchange, and texts move instead of their many tokens."""
+    clustered = docs.select(*key, F.col(text).alias("_text")).repartition(*key)
+    tokens = clustered.select(*key, explode(TM.embedding_tokens(F.col("_text"))).alias("token"))
+    return tokens.groupBy(*key, "token").agg(F.count("token").alias("freq"))
 
 
-def hash_buckets(docs: DataFrame, key: list[str], text: str = "text", dims: int = K.EMBED_DIMS) -> DataFrame:
-    """(key, bucket, weight): signed log-frequency sums, not normalised."""
+def _bucket_sums(frequencies: DataFrame, key: list[str], dims: int) -> DataFrame:
     weight = (F.lit(1.0) + F.log(F.lit(1.0) + F.col("freq"))) * sign_of(F.col("token"))
     return (
-        token_frequencies(docs, key, text)
-        .select(*key, bucket_of(F.col("token"), dims).alias("bucket"), weight.alias("weight"))
+        frequencies.select(*key, bucket_of(F.col("token"), dims).alias("bucket"), weight.alias("weight"))
         .groupBy(*key, "bucket").agg(F.sum("weight").alias("weight"))
     )
 
 
+def token_frequencies(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+    """(key, token, freq)."""
+    return _frequencies(docs, key, text, F.explode)
+
+
+def hash_buckets(docs: DataFrame, key: list[str], text: str = "text", dims: int = K.EMBED_DIMS) -> DataFrame:
+    """(key, bucket, weight): signed log-frequency sums, not normalised."""
+    return _bucket_sums(token_frequencies(docs, key, text), key, dims)
+
+
 def hash_embed(docs: DataFrame, key: list[str], text: str = "text", dims: int = K.EMBED_DIMS) -> DataFrame:
     """(key, embedding): L2-normalised vector per document; all zero when it has no token."""
+    buckets = _bucket_sums(_frequencies(docs, key, text, F.explode_outer), key, dims)
+    entry = F.when(F.col("bucket").isNotNull() & F.col("weight").isNotNull(), F.struct("bucket", "weight"))
     dense = F.transform(
         F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.col("weights")[i], F.lit(0.0))
     )
-    vectors = (
-        hash_buckets(docs, key, text, dims)
-        .groupBy(*key)
-        .agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("weights"),
+    return (
+        buckets.groupBy(*key)
+        .agg(F.map_from_entries(F.collect_list(entry)).alias("weights"),
              F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
         .withColumn("raw", dense)
         .select(*key, F.transform("raw", lambda x: F.when(F.col("norm") > 0, x / F.col("norm")).otherwise(0.0)
                                   .cast("float")).alias("embedding"))
     )
-    zero = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.lit(0.0).cast("float"))
-    return docs.select(*key).join(vectors, key, "left").withColumn("embedding", F.coalesce("embedding", zero))
 
 
 def sum_vectors(rows: DataFrame, key: list[str], vector: str = "embedding") -> DataFrame:

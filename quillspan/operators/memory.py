@@ -154,9 +154,9 @@ def relevant_memories(memories: DataFrame, queries: DataFrame, limit: int = K.MA
         newest = scored.filter("pinned").orderBy(F.desc("updated_at"), "id").limit(pool)
         top = best.select("id", "base", F.lit(False).alias("termless")).unionByName(
             newest.select("id", F.lit(1).alias("base"), F.lit(True).alias("termless"))
-        ).agg(F.collect_list(F.struct("id", "base", "termless")).alias("top")).withColumn("one", F.lit(1))
+        ).agg(F.collect_list(F.struct("id", "base", "termless")).alias("top"))
         plain = (
-            queries.select("query_id", no_terms.alias("no_terms"), F.lit(1).alias("one")).join(F.broadcast(top), "one")
+            queries.select("query_id", no_terms.alias("no_terms"), top.scalar().alias("top"))
             .select("query_id", "no_terms", F.explode("top").alias("m"))
             .filter(F.col("m.termless") == F.col("no_terms"))
             .select("query_id", F.col("m.id").alias("id"), F.col("m.base").cast("int").alias("score"))
