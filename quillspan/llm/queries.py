@@ -7,9 +7,9 @@ from collections.abc import Callable, Iterator
 
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspan.llm import bpe
+from quillspan.llm import bpe, quotient, secrets, simhash
 from quillspan.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,3 +49,32 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(encoded, TOKENIZER).mapInArrow(
         digests, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     )
+
+
+@query("op5_secret_ledger")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document is a version of the path that its id names; the ledger starts empty."""
+    findings, _ = secrets.scan_versions(documents(spark, sf_dir))
+    return findings.select(
+        F.col("path").alias("doc_id"), *(secrets.count_kind(k).alias(f"n_{k}") for k in secrets.BASE),
+        F.sha2(secrets.spans_text(list(secrets.BASE)).cast("binary"), 256).alias("base_sha256"), secrets.spans_text().alias("spans"),
+    )
+
+
+@query("op8_simhash_components")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+@query("op9_quotient_dedup", """
+    WITH texts AS (
+      SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents
+    ), ranked AS (
+      SELECT doc_id, norm, first_value(doc_id) OVER (PARTITION BY norm ORDER BY length(text) DESC, doc_id) AS keep_id,
+             count(*) OVER (PARTITION BY norm) AS group_size
+      FROM texts
+    )
+    SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM ranked
+""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotient.exact_dedup(documents(spark, sf_dir))
