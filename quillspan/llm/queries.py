@@ -9,7 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspan.llm import bpe, quotient, secrets, simhash
+from quillspan.llm import bpe, licenses, quotient, secrets, simhash
 from quillspan.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,3 +78,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotient.exact_dedup(documents(spark, sf_dir))
+
+
+@query("op10_license_join", licenses.brute_force_sql())
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, sf_dir))
