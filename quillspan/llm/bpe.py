@@ -20,9 +20,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
-from quillspan.llm.common import id_and_text
+from quillspan.llm.common import id_and_text, small
 
 # White space, letters and digits as the library of the vocabulary reads them.
 SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -56,8 +56,8 @@ LATIN_PATTERN = split_pattern(
     f"[{LATIN_LETTER}]", f"[{LATIN_DIGIT}]", f"[^{LATIN_SPACE}{LATIN_LETTER}{LATIN_DIGIT}]", LATIN_SPACE
 )
 #: Entries that a worker keeps of pieces (in each of two generations) and of token pairs; results do not depend on them.
-PIECES_KEPT = 500_000
-PAIRS_KEPT = 1_000_000
+PIECES_KEPT = 400_000
+PAIRS_KEPT = 600_000
 #: Longer pieces are not kept.
 PIECE_BYTES_KEPT = 64
 
@@ -210,25 +210,35 @@ def load(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
-def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(
+    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", packed: bool = False, decoded: bool = False
+) -> DataFrame:
     """``doc_id``, ``ids`` (array of int) of every whole text.
 
-    Null and empty texts give an empty array; null ids and repeated rows stay as rows of their own; an empty table gives
-    an empty table.  Columns besides the two are not read.  ``tokenizer`` is a file that every executor can open.
+    ``packed``: also ``packed``, the ids as little-endian unsigned 32-bit integers, and ``n_tokens`` in place of ``ids``.
+    ``decoded``: also ``decoded``, the text of the ids.  Null and empty texts give no ids; null ids and repeated rows stay
+    as rows of their own; an empty table gives an empty table.  Columns besides the two are not read.  ``tokenizer`` is a
+    file that every executor can open.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # the memory of pieces holds no cycles, and walking it again and again takes a third of the time
         model = load(tokenizer)
-        for batch in batches:
+        for batch in small(batches):
             found = [model.encode(t or "") for t in batch.column("text").to_pylist()]
-            offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
-            flat = np.concatenate([*found, np.empty(0, "<u4")]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(flat))], ["doc_id", "ids"]
-            )
+            out = {"doc_id": batch.column("doc_id")}
+            if packed:
+                out["n_tokens"] = pa.array(list(map(len, found)), pa.int64())
+                out["packed"] = pa.array([f.tobytes() for f in found], pa.binary())
+            else:
+                offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
+                flat = np.concatenate([*found, np.empty(0, "<u4")]).astype(np.int32)
+                out["ids"] = pa.ListArray.from_arrays(offsets, pa.array(flat))
+            if decoded:
+                out["decoded"] = pa.array([model.decode(f.tolist()) for f in found], pa.string())
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
-    schema = StructType([StructField("doc_id", LongType()), StructField("ids", ArrayType(IntegerType()))])
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, schema)
+    ids = "n_tokens bigint, packed binary" if packed else "ids array<int>"
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, f"doc_id bigint, {ids}" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -238,7 +248,7 @@ def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(tokenizer)
-        for batch in batches:
+        for batch in small(batches):
             texts = [model.decode(ids or ()) for ids in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string())], [*names, out_col])
 

@@ -28,6 +28,13 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, so that what a task makes of one batch stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def slices(table: pa.Table | pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """``table`` in batches of bounded row number."""
     table = pa.Table.from_batches([table]) if isinstance(table, pa.RecordBatch) else table

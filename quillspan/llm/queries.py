@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspan.llm import bpe, licenses, quotient, secrets, simhash
@@ -28,26 +26,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def _sha(data) -> str:
-    return hashlib.sha256(data).hexdigest()
-
-
 @query("op1_bpe_round_trip")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every text; digests of the ids and of the decoded text."""
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column("ids"), batch.column("decoded").cast(pa.binary()).to_pylist()
-            raw, ends = memoryview(ids.values.to_numpy().astype("<u4").tobytes()), ids.offsets.to_pylist()
-            spans = list(zip(ends, ends[1:]))
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array([b - a for a, b in spans], pa.int64()),
-                pa.array([_sha(raw[4 * a:4 * b]) for a, b in spans]), pa.array([_sha(t) for t in texts]),
-            ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    encoded = bpe.encode(documents(spark, sf_dir), TOKENIZER)
-    return bpe.decode(encoded, TOKENIZER).mapInArrow(
-        digests, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    done = bpe.encode(documents(spark, sf_dir), TOKENIZER, packed=True, decoded=True)
+    return done.select(
+        "doc_id", "n_tokens", F.sha2("packed", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
     )
 
 

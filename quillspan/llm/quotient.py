@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from quillspan.llm.common import SEPARATORS, id_and_text, slices, utf8
+from quillspan.llm.common import SEPARATORS, id_and_text, small, utf8
 from quillspan.session import cut_lineage
 
 #: Fingerprints that a task gathers before it hands on filters; bounds its memory, not the result.
@@ -90,7 +90,7 @@ def partition_filters(fingerprints: np.ndarray, lead: int) -> Iterator[tuple[int
 def normalised(docs: DataFrame) -> DataFrame:
     """doc_id, fp (XXH3 of the text without separators, as signed long), text_sha256, n_chars of the original, norm."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, 1024):
             norms = [t.translate(None, SEPARATORS) for t in utf8(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"),
@@ -118,7 +118,7 @@ def repeated_fingerprints(docs: DataFrame) -> DataFrame:
                     [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "filter"]
                 )
 
-        for batch in batches:
+        for batch in small(batches, 1024):
             held.append(np.array(
                 [xxhash.xxh3_64_intdigest(t.translate(None, SEPARATORS)) for t in utf8(batch.column("text"))], dtype=np.uint64
             ))

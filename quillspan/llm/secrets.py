@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quillspan.llm.common import small
 from quillspan.session import cut_lineage
 
 # The base rules, by kind in order; (pattern, group whose length counts, least length).
@@ -59,7 +60,7 @@ def scan_blobs(blobs: DataFrame, rules: str = RULES_VERSION) -> DataFrame:
     """New ledger rows of ``blobs`` (blob, text): blob, rules, spans."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
+        for batch in small(batches):
             spans = [
                 [{"kind": k, "start": a, "end": b} for k, a, b in scan_text(t or "")] for t in batch.column("text").to_pylist()
             ]

@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from quillspan.llm.common import LOWER, id_and_text, utf8
+from quillspan.llm.common import LOWER, id_and_text, small, utf8
 from quillspan.llm.components import components
 from quillspan.session import cut_lineage
 
@@ -54,7 +54,7 @@ def fingerprint(text: bytes, words_in_shingle: int = WORDS_IN_SHINGLE) -> int:
 def fingerprints(docs: DataFrame, words_in_shingle: int = WORDS_IN_SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (the fingerprint as signed long) of every whole text; null as empty."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             fps = np.fromiter(
                 (fingerprint(t, words_in_shingle) for t in utf8(batch.column("text"))), np.uint64, batch.num_rows
             )
