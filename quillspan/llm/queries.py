@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspan.llm import bpe, licenses, quotient, secrets, simhash
-from quillspan.llm.common import documents
+from quillspan.llm import bpe, langid, licenses, quotient, secrets, simhash
+from quillspan.llm.common import documents, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,6 +35,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op4_language_spans")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = documents(spark, sf_dir), held_out(3, 1)
+    found = langid.identify(docs, langid.learn(docs.where(~out)))
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 @query("op5_secret_ledger")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document is a version of the path that its id names; the ledger starts empty."""
