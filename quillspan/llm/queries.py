@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspan.llm import bpe, langid, licenses, quotient, secrets, simhash
+from quillspan.llm import bpe, langid, licenses, mixing, quotient, secrets, simhash, telephony
 from quillspan.llm.common import documents, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,24 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op6_poisson_mix", mixing.oracle_sql())
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select(
+        "doc_id", "source", F.col("_mix_copy").alias("copy"), F.col("_mix_order").alias("order_key"), "text"
+    )
+
+
+@query("op7_telephony_columns")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = telephony.store(documents(spark, sf_dir))
+    read = telephony.decode(stored, outputs=("codec", "payload", "feature"))
+    return read.select(
+        "doc_id", "n_bytes", F.length("payload").cast("bigint").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"), F.length("media").cast("bigint").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"), F.concat_ws(";", "codec", "feature").alias("feature"),
+    )
+
+
 @query("op8_simhash_components")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
