@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspan.llm import bpe, langid, licenses, mixing, quotient, secrets, simhash, telephony
+from quillspan.llm import bpe, langid, licenses, mixing, quotient, secrets, simhash, telephony, windows
 from quillspan.llm.common import documents, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op2_window_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.remove_repeated(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
 @query("op4_language_spans")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, out = documents(spark, sf_dir), held_out(3, 1)
