@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspan.llm import bpe, langid, licenses, mixing, quotient, secrets, simhash, telephony, windows
+from quillspan.llm import bpe, langid, language_model, licenses, mixing, quotient, secrets, simhash, telephony, windows
 from quillspan.llm.common import documents, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op3_recurrent_scores")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = held_out(7, 2)
+    scored = language_model.score_documents(documents(spark, sf_dir), ~out)
+    return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op4_language_spans")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, out = documents(spark, sf_dir), held_out(3, 1)
