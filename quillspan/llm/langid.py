@@ -193,7 +193,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", p
                     scripts[script_of(word[0])] += n * len(word)
                 at = np.flatnonzero(sums)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([lang] * (len(at) + len(scripts))), pa.array([*at.tolist(), *[-1] * len(scripts)], pa.int32()),
+                    pa.array([lang] * (len(at) + len(scripts)), pa.string()), pa.array([*at.tolist(), *[-1] * len(scripts)], pa.int32()),
                     pa.array([*[""] * len(at), *scripts], pa.string()), pa.array([*sums[at].tolist(), *scripts.values()], pa.int64()),
                 ], ["lang", "bucket", "script", "n"])
 
