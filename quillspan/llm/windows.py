@@ -3,7 +3,7 @@
 A window of words is told by its minimizer, the least hash of the shorter shingles in it: equal windows have equal
 minimizers, so the number of documents with a window's minimizer is never below the number with the window.  Tasks
 sketch the minimizers of their documents; the merged sketch overestimates counts once more, and never counts too few.
-Only windows whose estimate is two documents or more are grouped exactly, in a second pass.
+Only windows whose estimate is two documents or more are grouped, by 128 bits of hashes of their words, in a second pass.
 """
 
 from __future__ import annotations
@@ -29,37 +29,60 @@ PART_CELLS, SKETCH_KEYS = 1 << 20, 1_000_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
 
 
-class Words:
-    """The words of a text and where they stand in the line that joins them with single blanks."""
+class Powers:
+    """Powers of an odd number modulo 2^64 and of its inverse, as far as asked for."""
+
+    def __init__(self, base: int):
+        self.base, self.size = base, 0
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > self.size:
+            self.size = max(n, 2 * self.size, 4096)
+            self.up, self.down = (
+                np.cumprod(np.concatenate([[1], np.full(self.size - 1, b)]).astype(np.uint64), dtype=np.uint64)
+                for b in (np.uint64(self.base), np.uint64(pow(self.base, -1, 1 << 64)))
+            )
+        return self.up[:n], self.down[:n]
+
+
+_POWERS = (Powers(0x9FB21C651E98DF25), Powers(0xD6E8FEB86659FD93))
+
+
+def scramble(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+class Runs:
+    """Hashes of runs of words, from prefix sums of the words' hashes times powers."""
 
     def __init__(self, text: bytes):
-        self.words = text.split()
-        self.line = b" ".join(self.words)
-        ends = np.cumsum(np.fromiter(map(len, self.words), np.int64, len(self.words)) + 1)
-        self.ends = ends - 1
-        self.starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+        words = text.split()
+        self.n = len(words)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, self.n)
+        self.hashes = (hashes, scramble(hashes))
+        self.sums: dict[int, np.ndarray] = {}
+
+    def of(self, which: int, at: np.ndarray | slice, size: int) -> np.ndarray:
+        """64-bit hash of the run of ``size`` words at each place of ``at``; two families, ``which`` 0 and 1."""
+        up, down = _POWERS[which].upto(self.n)
+        if which not in self.sums:
+            self.sums[which] = np.concatenate([[0], np.cumsum(self.hashes[which] * up, dtype=np.uint64)]).astype(np.uint64)
+        sums = self.sums[which]
+        if isinstance(at, slice):
+            at = np.arange(self.n - size + 1)
+        return scramble((sums[at + size] - sums[at]) * down[at])
 
     def minimizers(self, window: int, shingle: int) -> np.ndarray:
         """The minimizer of each window; none if the text is shorter."""
-        if len(self.words) < window:
+        if self.n < window:
             return np.empty(0, np.uint64)
-        line, digest = self.line, xxhash.xxh3_64_intdigest
-        hashes = np.fromiter(
-            (digest(line[a:b]) for a, b in zip(self.starts.tolist(), self.ends[shingle - 1:].tolist())), np.uint64,
-            len(self.words) - shingle + 1,
-        )
-        span, width, least = window - shingle + 1, 1, hashes
+        span, width, least = window - shingle + 1, 1, self.of(0, slice(None), shingle)
         while 2 * width <= span:
             least = np.minimum(least[:-width], least[width:])
             width *= 2
         return np.minimum(least[:len(least) - (span - width)], least[span - width:])
 
-    def window_hashes(self, at: np.ndarray, window: int) -> np.ndarray:
-        """128-bit hashes (pairs of longs) of the windows that start at ``at``."""
-        line, digest = self.line, xxhash.xxh3_128_digest
-        raw = b"".join(digest(line[a:b]) for a, b in zip(self.starts[at].tolist(), self.ends[at + window - 1].tolist()))
-        return np.frombuffer(raw, "<i8").reshape(-1, 2)
-
 
 def cells_of(keys: np.ndarray, row: int, cells: int) -> np.ndarray:
     mixed = (keys ^ (keys >> np.uint64(29))) * _MIX[row]
@@ -99,7 +122,7 @@ def repeated_cells(docs: DataFrame, window: int, shingle: int, rows: int, cells:
 
         for batch in small(batches):
             for text in utf8(batch.column("text")):
-                held.append(np.unique(Words(text).minimizers(window, shingle)))  # a document counts once
+                held.append(np.unique(Runs(text).minimizers(window, shingle)))  # a document counts once
                 n += len(held[-1])
             if n >= SKETCH_KEYS:
                 yield from out()
@@ -149,10 +172,10 @@ def remove_repeated(
         for batch in small(batches, 64):
             found, ids, places = [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text"))):
-                words = Words(text)
+                words = Runs(text)
                 at = np.flatnonzero(estimated_repeated(words.minimizers(window, shingle), sent.value, cells))
                 if len(at):
-                    found.append(words.window_hashes(at, window))
+                    found.append(np.stack([words.of(0, at, window), words.of(1, at, window)], axis=1).view(np.int64))
                     ids.append(np.full(len(at), doc, np.int64))
                     places.append((xxhash.xxh32_intdigest(text) >> 1 << 32) + at)  # the row of the id, and the word
             if found:
