@@ -39,7 +39,7 @@ class Powers:
         if n > self.size:
             self.size = max(n, 2 * self.size, 4096)
             self.up, self.down = (
-                np.cumprod(np.concatenate([[1], np.full(self.size - 1, b)]).astype(np.uint64), dtype=np.uint64)
+                np.cumprod(np.append(np.uint64(1), np.full(self.size - 1, b)), dtype=np.uint64)
                 for b in (np.uint64(self.base), np.uint64(pow(self.base, -1, 1 << 64)))
             )
         return self.up[:n], self.down[:n]
@@ -67,7 +67,7 @@ class Runs:
         """64-bit hash of the run of ``size`` words at each place of ``at``; two families, ``which`` 0 and 1."""
         up, down = _POWERS[which].upto(self.n)
         if which not in self.sums:
-            self.sums[which] = np.concatenate([[0], np.cumsum(self.hashes[which] * up, dtype=np.uint64)]).astype(np.uint64)
+            self.sums[which] = np.append(np.uint64(0), np.cumsum(self.hashes[which] * up, dtype=np.uint64))
         sums = self.sums[which]
         if isinstance(at, slice):
             at = np.arange(self.n - size + 1)
