@@ -13,7 +13,7 @@ from quillspan.operators import context as CX, planning as PL
 
 def sections(d) -> str:
     """Conversation texts as sections: the paragraphs of a message, some of them repeated."""
-    twice = "text || chr(10) || '  ' || chr(10) || left(text, 60) || chr(10) || chr(10) || text || chr(10) || chr(10) || replace(left(text, 60), 'e', 'E')"
+    twice = "text || chr(10) || '  ' || chr(10) || text || chr(10) || chr(10) || text || chr(10) || chr(10) || replace(text, 'e', 'E')"
     return f"SELECT conv_id * 1000 + turn AS doc_id, conv_id, turn, role, {twice} || chr(10) || chr(10) || '<think>x</think>' AS text FROM {d.table('conversations')}"
 
 
@@ -36,7 +36,7 @@ query("deduplicated_sections", "doc_id:b, section:s", f"""
 def history(d) -> str:
     """Messages as the history of their conversation's request; some repeat others, differently cased or extended."""
     text = (
-        "CASE WHEN turn % 4 = 1 THEN first_text || ' and more' WHEN turn % 4 = 2 THEN 'zz ' || substr(first_text, 1, 150) || ' yy ' || text "
+        "CASE WHEN turn % 4 = 1 THEN first_text || ' and more ' || text WHEN turn % 4 = 2 THEN 'zz ' || first_text || ' yy ' || text "
         "WHEN turn % 4 = 3 THEN replace(text, 'e', 'E') ELSE text END"
     )
     return (

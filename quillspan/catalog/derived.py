@@ -40,24 +40,24 @@ def sentences(d) -> str:
 
 
 def shaped(d) -> str:
-    """Structured documents: sentence n of a document becomes one of sixteen line shapes in turn."""
+    """Structured documents: sentence n of a document, whole, gets one of sixteen line shapes in turn."""
     def body(v: str, i: str) -> str:
         n = d.text(f"{d.div(i, '16')} + 1")
         forms = [
-            f"{n} || '. ' || left({v}, 60)",
+            f"{n} || '. Part ' || {n} || {NL} || {v}",
             v,
             v,
             f"'- ' || {v}",
             f"'* ' || {v}",
             f"{NL} || {v}",
-            f"'Run ' || left({v}, 120) || ':'",
+            f"'Run step ' || {n} || ':' || {NL} || {v}",
             f"'    key = ' || {v}",
             f"'```bash' || {NL} || {v} || {NL} || {NL} || '# x' || {NL} || '```'",
             v,
-            f"left({v}, 40) || ' ..... ' || {d.text(i)}",
-            f"{n} || '.' || {NL} || left({v}, 50)",
+            f"'Part ' || {n} || ' ..... ' || {d.text(i)} || {NL} || {v}",
+            f"{n} || '.' || {NL} || 'Title of part ' || {n} || {NL} || {v}",
             f"'Note: ' || {v}",
-            "'Contents'",
+            f"'Contents' || {NL} || {v}",
             f"{v} || '   '",
             f"{NL} || {NL} || 'Warning ' || {v}",
         ]
@@ -118,10 +118,9 @@ def doc_chunks(d) -> str:
 
 
 def queries(d) -> str:
-    """Benchmark passages as search queries: their first six words."""
+    """Benchmark passages, whole, as search queries."""
     intents = ["general", "troubleshooting", "document_generation", "architecture", "implementation"]
-    words = d.join(d.slice(d.split("text", "' '"), 1, 6), "' '")
-    return f"SELECT item_id AS query_id, {words} AS query, {_pick('item_id', intents)} AS intent FROM {d.table('benchmark')}"
+    return f"SELECT item_id AS query_id, text AS query, {_pick('item_id', intents)} AS intent FROM {d.table('benchmark')}"
 
 
 def prompts(d) -> str:
@@ -146,7 +145,7 @@ def transform_prompts(d) -> str:
     """Prompts with pasted source material: an instruction block, a blank line, an assistant text."""
     return (
         f"SELECT conv_id * 1000 + turn AS prompt_id, CASE WHEN turn % 3 = 0 THEN 'Rewrite the following ' WHEN turn % 3 = 1 "
-        f"THEN 'Look at this ' ELSE 'hello ' END || left(text, 40) || {NL} || '  ' || {NL} || text AS prompt "
+        f"THEN 'Look at this ' ELSE 'hello ' END || text || {NL} || '  ' || {NL} || text AS prompt "
         f"FROM {d.table('conversations')}"
     )
 
@@ -154,8 +153,8 @@ def transform_prompts(d) -> str:
 def marked_messages(d) -> str:
     """Messages with question marks and refusals in turn, and fenced code in some."""
     user = "CASE WHEN (conv_id + turn) % 4 = 0 THEN text || '?' ELSE text END"
-    refusal = "'I don''t know based on the provided context. ' || left(text, 20)"
-    code = f"left(text, 30) || {NL} || '```python' || {NL} || 'x = 1' || {NL} || left(text, 60) || {NL} || '```' || {NL} || 'tail' "
+    refusal = "'I don''t know based on the provided context. ' || text"
+    code = f"text || {NL} || '```python' || {NL} || 'x = 1' || {NL} || text || {NL} || '```' || {NL} || 'tail' "
     open_code = f"{code} || {NL} || 'more ``` sql ' || {NL} || 'select 1'"
     stamp = f"'2024-01-01T00:00:' || right('0' || {d.text('turn')}, 2) || '.' || right('000000' || {d.text('conv_id')}, 6)"
     return (
@@ -166,10 +165,8 @@ def marked_messages(d) -> str:
 
 
 def memories(d) -> str:
-    """User messages as memories: first words as key, some unsafe values, keys that repeat."""
-    words = d.split("text", "' '")
-    key = d.join(d.slice(words, 1, 2), "'-'")
-    value = d.join(d.slice(words, 1, 8), "' '")
+    """User messages as memories: some unsafe values, keys that repeat."""
+    key, value = f"'note-' || {d.text('conv_id % 50')} || '-' || {d.text('turn')}", "text"
     return (
         f"SELECT 'm' || {d.text('conv_id')} || '_' || {d.text('turn')} AS id, lower({key}) AS key, "
         f"CASE WHEN conv_id % 7 = 0 THEN {value} || ' assistant' WHEN conv_id % 11 = 0 THEN {value} || '?' ELSE {value} END AS value, "
@@ -191,9 +188,9 @@ def manifest(d) -> str:
 
 def looped(d) -> str:
     """Messages in which one line repeats: conversation number modulo nine times, then another line."""
-    line = f"replace(left(text, 50), {NL}, ' ')"
+    line = f"replace(text, {NL}, ' ')"
     return (
-        f"SELECT conv_id, turn, left(text, 20) || {NL} || repeat({line} || '!' || {NL}, CAST(conv_id % 9 AS INT)) || 'end of text' || {NL} "
+        f"SELECT conv_id, turn, text || {NL} || repeat({line} || '!' || {NL}, CAST(conv_id % 9 AS INT)) || 'end of text' || {NL} "
         f"AS text FROM {d.table('conversations')}"
     )
 
@@ -201,9 +198,9 @@ def looped(d) -> str:
 def tagged(d) -> str:
     """Messages with hidden spans inside."""
     return (
-        f"SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN left(text, 30) || '<think> ' || left(text, 50) || ' </think>' || right(text, 30) "
-        f"WHEN turn % 3 = 1 THEN '<hidden_thinking>' || left(text, 20) || '</hidden_thinking>' || text || '<END>' "
-        f"ELSE text || '<think>' || left(text, 15) END AS text FROM {d.table('conversations')}"
+        f"SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN text || '<think> ' || text || ' </think>' || text "
+        f"WHEN turn % 3 = 1 THEN '<hidden_thinking>' || text || '</hidden_thinking>' || text || '<END>' "
+        f"ELSE text || '<think>' || text END AS text FROM {d.table('conversations')}"
     )
 
 

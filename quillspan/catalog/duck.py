@@ -271,3 +271,14 @@ def last_nl(x: str, upto: str) -> str:
     """0-based index of the last newline at or before ``upto``; -1 if none."""
     head = f"left({x}, {upto} + 1)"
     return f"CASE WHEN contains({head}, chr(10)) THEN length({head}) - strpos(reverse({head}), chr(10)) ELSE -1 END"
+
+
+def occurrences(x: str, t: str) -> str:
+    """Overlapping occurrences; positions are walked only where the term does overlap itself in the text."""
+    plain = f"(length({x}) - length(replace({x}, {t}, ''))) // length({t})"
+    walked = f"len(list_filter(range(1, length({x}) + 1), lambda p: substr({x}, p, length({t})) = {t}))"
+    overlaps = f"lambda b: left({t}, b) = right({t}, b) AND contains({x}, {t} || substr({t}, b + 1))"
+    return (
+        f"CASE WHEN NOT contains({x}, {t}) THEN 0 WHEN len(list_filter(range(1, length({t})), {overlaps})) > 0 "
+        f"THEN {walked} ELSE {plain} END"
+    )

@@ -52,11 +52,11 @@ def _sanitize_sql(x: str) -> str:
 
 
 query("path_labels", "doc_id:b, safe:s, grp:s, gid:s, lone:s", f"""
-    SELECT doc_id, {_sanitize_sql('left(text, 40)')} AS safe, lang || '/' || source AS grp,
+    SELECT doc_id, {_sanitize_sql('text')} AS safe, lang || '/' || source AS grp,
     sha1(lang || '|' || lang || '/' || source) AS gid,
     source || '_' || left(sha1('/abs/kb/' || lang || '/' || source), 10) || '/' || file_name AS lone FROM ({D.sql(D.files)})""")(
     lambda spark, sf: D.frame(spark, sf, D.files).select(
-        "doc_id", LB.sanitize_label(F.left("text", F.lit(40))).alias("safe"),
+        "doc_id", LB.sanitize_label(F.col("text")).alias("safe"),
         LB.group_label(F.col("relative_path")).alias("grp"),
         LB.group_id(F.col("lang"), LB.group_label(F.col("relative_path"))).alias("gid"),
         LB.standalone_path(F.concat(F.lit("/abs/"), F.col("path"))).alias("lone")))

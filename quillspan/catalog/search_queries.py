@@ -20,14 +20,6 @@ def queries_frame(spark, sf_dir):
     return D.frame(spark, sf_dir, D.queries).withColumn("preferred_roles", roles)
 
 
-def count_sql(x: str, t: str) -> str:
-    """Overlapping occurrences; positions are walked only for terms that can overlap themselves."""
-    plain = f"(length({x}) - length(replace({x}, {t}, ''))) // length({t})"
-    walked = f"len(list_filter(range(1, length({x}) + 1), lambda p: substr({x}, p, length({t})) = {t}))"
-    border = f"len(list_filter(range(1, length({t})), lambda b: left({t}, b) = right({t}, b))) > 0"
-    return f"CASE WHEN NOT contains({x}, {t}) THEN 0 WHEN {border} THEN {walked} ELSE {plain} END"
-
-
 def lexical_sql(chunks: str, queries: str) -> str:
     """CTEs up to ``lex(query_id, path, chunk_index, lexical)`` and ``pq`` (prepared queries)."""
     return f"""
@@ -35,7 +27,7 @@ def lexical_sql(chunks: str, queries: str) -> str:
         FROM (SELECT *, {X.query_terms('query')} AS tl FROM ({queries}))),
     qt AS (SELECT query_id, whole, len(terms) AS n, unnest(terms) AS term FROM pq WHERE len(terms) > 0),
     low AS MATERIALIZED (SELECT path, chunk_index, lower(text) AS body, lower(file_name) AS fname FROM ({chunks})),
-    cnt AS (SELECT query_id, path, chunk_index, n, whole, body, fname, {count_sql('body', 'term')} AS b, {count_sql('fname', 'term')} AS f
+    cnt AS (SELECT query_id, path, chunk_index, n, whole, body, fname, {X.occurrences('body', 'term')} AS b, {X.occurrences('fname', 'term')} AS f
         FROM low JOIN qt ON contains(body, term) OR contains(fname, term)),
     lex AS (SELECT query_id, path, chunk_index, sum(CASE WHEN b > 0 THEN 0.95::DOUBLE + least(1.25::DOUBLE, 0.16::DOUBLE * (b - 1)) ELSE 0::DOUBLE END
         + CASE WHEN f > 0 THEN 0.55::DOUBLE + least(0.75::DOUBLE, 0.18::DOUBLE * (f - 1)) ELSE 0::DOUBLE END)

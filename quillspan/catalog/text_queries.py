@@ -151,7 +151,7 @@ query("looks_code_like", "conv_id:b, turn:b, code:o", f"""
 def _fenced(d) -> str:
     """Message texts with inline break tags beside fences and, in every third, an open fence."""
     return (
-        f"SELECT conv_id, turn, left(text, 40) || chr(13) || chr(10) || '```sql<br/>' || right(text, 20) || '<br>```' || chr(10) || 'x' "
+        f"SELECT conv_id, turn, text || chr(13) || chr(10) || '```sql<br/>' || text || '<br>```' || chr(10) || 'x' "
         f"|| chr(10) || chr(10) || chr(10) || chr(10) || CASE WHEN (conv_id + turn) % 3 = 0 THEN '```py' || chr(10) || 'y' ELSE 'z' END AS text "
         f"FROM {d.table('conversations')}"
     )
@@ -171,7 +171,7 @@ query("answer_hygiene", "conv_id:b, turn:b, t:s", f"""
 def _packets(d) -> str:
     return (
         f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '=== DOCUMENT_STUDY_PACKET: x' || text || '--- Source: a --- Source: b' "
-        f"WHEN doc_id % 3 = 1 THEN 'FULL_DOCUMENT_TEXT:' || text ELSE '   ' END AS text FROM {d.table('documents')}"
+        f"WHEN doc_id % 3 = 1 THEN 'FULL_DOCUMENT_TEXT:' || text ELSE text || '   ' END AS text FROM {d.table('documents')}"
     )
 
 
@@ -215,11 +215,10 @@ def _frequencies(spark, sf_dir):
 query("lexical_score", "doc_id:b, score:d", f"""
     WITH q AS (SELECT item_id, text AS query, {X.query_terms('text')} AS tl FROM benchmark),
     u AS (SELECT item_id, query, list_distinct(tl) AS terms FROM q),
-    j AS (SELECT doc_id, lower(d.text) AS body, 'doc_' || doc_id AS name, trim(lower(left(query, 60))) AS query,
-        list_distinct({X.query_terms('left(query, 60)')}) AS terms FROM documents d JOIN u ON d.doc_id = u.item_id),
+    j AS (SELECT doc_id, lower(d.text) AS body, 'doc_' || doc_id AS name, trim(lower(query)) AS query, terms
+        FROM documents d JOIN u ON d.doc_id % (SELECT max(item_id) + 1 FROM benchmark) = u.item_id),
     t AS (SELECT doc_id, body, name, query, len(terms) AS n, unnest(terms) AS term FROM j),
-    c AS (SELECT *, (length(body) - length(replace(body, term, ''))) // length(term) AS b,
-        (length(name) - length(replace(name, term, ''))) // length(term) AS f FROM t)
+    c AS (SELECT *, {X.occurrences('body', 'term')} AS b, {X.occurrences('name', 'term')} AS f FROM t)
     --final
     SELECT doc_id, sum(CASE WHEN b > 0 THEN 0.95 + least(1.25, 0.16 * (b - 1)) ELSE 0 END::DOUBLE
         + CASE WHEN f > 0 THEN 0.55 + least(0.75, 0.18 * (f - 1)) ELSE 0 END::DOUBLE)
@@ -229,11 +228,16 @@ query("lexical_score", "doc_id:b, score:d", f"""
     lambda spark, sf: _lexical(spark, sf))
 
 
+def _probed(spark, sf_dir, template):
+    """Every document with the number of its query, and the benchmark texts as queries by number."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    docs = D.frame(spark, sf_dir, template).crossJoin(items.agg((F.max("item_id") + 1).alias("n")))  # one row
+    return docs.withColumn("probe", F.col("doc_id") % F.col("n")), items.select(F.col("item_id").alias("probe"), F.col("text").alias("query"))
+
+
 def _lexical(spark, sf_dir):
-    docs = D.frame(spark, sf_dir, D.documents)
-    probes = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(
-        F.col("item_id").alias("doc_id"), F.left("text", F.lit(60)).alias("query"))
-    return docs.join(probes, "doc_id").withColumn("terms", TM.query_terms(F.col("query"))).filter(F.size("terms") > 0).select(
+    docs, probes = _probed(spark, sf_dir, D.documents)
+    return docs.join(probes, "probe").withColumn("terms", TM.query_terms(F.col("query"))).filter(F.size("terms") > 0).select(
         "doc_id", S.lexical_score(F.col("text"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")), F.col("terms"),
                                   F.col("query")).alias("score"))
 
@@ -253,8 +257,9 @@ def _window_sql(anchor: str, before: int, after: int) -> str:
 
 query("excerpt", "doc_id:b, excerpt:s", f"""
     WITH j AS (SELECT doc_id, {X.normalize_block('d.text')} AS norm,
-        {X.ordered_distinct(X.query_terms('left(b.text, 80)'))} AS terms
-        FROM ({D.sql(D.shaped)}) d JOIN benchmark b ON d.doc_id = b.item_id),
+        terms
+        FROM ({D.sql(D.shaped)}) d JOIN (SELECT item_id, {X.ordered_distinct(X.query_terms('text'))} AS terms FROM benchmark) b
+        ON d.doc_id % (SELECT max(item_id) + 1 FROM benchmark) = b.item_id),
     p AS (SELECT doc_id, norm, {_POS} AS pos FROM (SELECT *, lower(norm) AS low FROM j)),
     m AS (SELECT doc_id, norm, pos, list_min(pos) AS lo, list_max(pos) AS hi FROM p),
     w AS (SELECT doc_id, norm, pos, lo, hi, {_window_sql('lo', 140, 420)} AS head, {_window_sql('hi', 110, 260)} AS tail FROM m),
@@ -265,10 +270,9 @@ query("excerpt", "doc_id:b, excerpt:s", f"""
 
 
 def _excerpts(spark, sf_dir):
-    docs = D.frame(spark, sf_dir, D.shaped)
-    probes = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(
-        F.col("item_id").alias("doc_id"), TM.query_terms(F.left("text", F.lit(80))).alias("terms"))
-    return docs.join(probes, "doc_id").select("doc_id", S.excerpt(F.col("text"), F.col("terms")).alias("excerpt"))
+    docs, probes = _probed(spark, sf_dir, D.shaped)
+    probes = probes.select("probe", TM.query_terms(F.col("query")).alias("terms"))
+    return docs.join(probes, "probe").select("doc_id", S.excerpt(F.col("text"), F.col("terms")).alias("excerpt"))
 
 
 query("keep_chunk", "path:s, chunk_index:b", f"""
