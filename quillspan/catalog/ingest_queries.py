@@ -131,7 +131,7 @@ query("index_corpus_sources", "path:s, chunk_count:b, candidates:b, filtered:b,
     lambda spark, sf: _index(spark, sf).sources)
 
 query("batch_texts", "source:s, doc_id:b, batch_no:b")(
-    lambda spark, sf: CH.batch_texts(D.frame(spark, sf, D.documents).withColumn("text", F.left("text", F.lit(1200))), "source", "doc_id"))
+    lambda spark, sf: CH.batch_texts(D.frame(spark, sf, D.documents).withColumn("text", T.clip_for_embedding(F.col("text"))), "source", "doc_id"))
 
 query("chunk_preview", "path:s, chunk_index:b, char_count:b, word_count:b, preview:s", f"""
     SELECT path, chunk_index, char_count, word_count, {X.preview('t', 900)} AS preview FROM (SELECT path, chunk_index, length(text) AS char_count, {X.words('text')} AS word_count,

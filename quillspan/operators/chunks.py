@@ -35,13 +35,14 @@ def pack_chunks(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
         def run(rows: pd.Series, profile: pd.DataFrame, vectors: pd.Series) -> pd.Series:
             return pack(rows, profile, vectors)
 
-        return blocks.withColumn("chunks", run("blocks", "profile", "vectors"))
+        return blocks.withColumn("chunks", run.asNondeterministic()("blocks", "profile", "vectors"))
 
     @F.pandas_udf(CHUNK_TYPE)
     def run_plain(rows: pd.Series, profile: pd.DataFrame) -> pd.Series:
         return pack(rows, profile)
 
-    return blocks.withColumn("chunks", run_plain("blocks", "profile"))
+    # else the optimizer runs it once for a filter below the explode and once more for the rows
+    return blocks.withColumn("chunks", run_plain.asNondeterministic()("blocks", "profile"))
 
 
 def with_profile(docs: DataFrame, semantic: bool = False) -> DataFrame:
@@ -159,7 +160,7 @@ def batch_texts(texts: DataFrame, group: str, order: str, text: str = "text", si
 
     planned = (
         sized.groupBy(group, "slice").agg(F.collect_list("item").alias("items"))
-        .select(group, "slice", F.explode(assign("items")).alias("p"))
+        .select(group, "slice", F.explode(assign.asNondeterministic()("items")).alias("p"))
         .select(group, "slice", F.col("p.ord").alias(order), F.col("p.batch_no").alias("batch_no"))
     )
     return sized.drop("item").join(planned, [group, "slice", order])

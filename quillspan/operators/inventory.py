@@ -12,12 +12,15 @@ LEGACY_ID, LEGACY_LABEL = "legacy", "Legacy imports"
 def attach_metadata(sources: DataFrame, manifest: DataFrame) -> DataFrame:
     """sources ⟕ manifest by path; files without an entry go to the legacy collection.
 
-    No broadcast is forced: the manifest has a row per file.
+    Of several entries of a path the last counts, by ``ord`` where the manifest has it.  No broadcast is forced: the
+    manifest has a row per file.
     """
-    meta = manifest.select(
-        F.col("internal_path").alias("path"), "collection_id", "collection_label", "group_id", "group_label",
-        "relative_path", "original_path",
-    ).dropDuplicates(["path"])
+    fields = ["collection_id", "collection_label", "group_id", "group_label", "relative_path", "original_path"]
+    place = F.struct("ord", *fields) if "ord" in manifest.columns else F.struct(*fields)
+    meta = (
+        manifest.groupBy(F.col("internal_path").alias("path")).agg(F.max_by(F.struct(*fields), place).alias("last"))
+        .select("path", "last.*")
+    )
     rel = F.coalesce("relative_path", "source_relative_path")
     group = F.coalesce("group_label", LB.group_label(F.col("source_relative_path")))
     return (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from dataclasses import asdict, dataclass, field
@@ -46,35 +47,42 @@ class Loop:
         return None
 
 
+#: (what is measured, least value, least characters of all notes): each alone is a repetition.
+REPETITIONS = (("streak", 3, 500), ("dominant", 4, 900), ("narrow", 6, 900))
+STALL_MS, STALL_CHARS, RECENT = 180_000, 4000, 8
+
+
 @dataclass
 class Stall:
-    """Hidden notes before any visible answer."""
+    """Hidden notes before any visible answer.
+
+    ``seen`` counts notes by a short digest and only up to the count that decides, so a note costs a few bytes.
+    """
 
     chars: int = 0
-    streak: int = 0
-    last: str = ""
     recent: list[str] = field(default_factory=list)
-    counts: dict[str, int] = field(default_factory=dict)
+    seen: dict[str, int] = field(default_factory=dict)
+    dominant: int = 0
+
+    def measures(self) -> dict[str, int]:
+        """Equal notes at the end, largest count of one note, and recent notes if they are no more than two kinds."""
+        tail = next((k for k, note in enumerate(reversed(self.recent)) if note != self.recent[-1]), len(self.recent))
+        return {"streak": tail, "dominant": self.dominant, "narrow": len(self.recent) if len(set(self.recent)) <= 2 else 0}
 
     def observe(self, note: str, elapsed_ms: int) -> str | None:
         text = (note or "").strip(K.WS_CHARS)
         if not text:
             return None
         self.chars += len(text)
-        norm = loop_key(text)
-        if norm:
-            self.streak = self.streak + 1 if norm == self.last else 1
-            self.last = norm
-            self.counts[norm] = self.counts.get(norm, 0) + 1
-            self.recent = [*self.recent, norm][-8:]
-        dominant = max(self.counts.values(), default=0)
-        looped = (
-            (self.streak >= 3 and self.chars >= 500) or (dominant >= 4 and self.chars >= 900)
-            or (len(self.recent) >= 6 and len(set(self.recent)) <= 2 and self.chars >= 900)
-        )
-        if looped:
+        if key := loop_key(text):
+            name = hashlib.md5(key.encode()).hexdigest()[:12]
+            self.seen[name] = min(self.seen.get(name, 0) + 1, 4)
+            self.dominant = max(self.dominant, self.seen[name])
+            self.recent = [*self.recent, name][-RECENT:]
+        found = self.measures()
+        if any(found[what] >= least and self.chars >= chars for what, least, chars in REPETITIONS):
             return "repetition"
-        return "stall" if elapsed_ms >= 180000 and self.chars >= 4000 else "none"
+        return "stall" if elapsed_ms >= STALL_MS and self.chars >= STALL_CHARS else "none"
 
 
 def _overlap(text: str, tag: str) -> int:
