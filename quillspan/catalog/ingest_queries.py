@@ -148,7 +148,9 @@ def inventory_sources(spark, sf_dir):
     """Files with manifest metadata and chunk counts."""
     files = D.frame(spark, sf_dir, D.files).withColumn("source_type", LB.source_type(F.col("file_name"))).withColumn(
         "chunk_count", T.count_lines(F.col("text"))).withColumn("char_count", F.length("text")).drop("text", "lang", "source")
-    return IV.attach_metadata(files, D.frame(spark, sf_dir, D.manifest).drop("ord"))
+    manifest = D.frame(spark, sf_dir, D.manifest)
+    replaced = manifest.withColumn("ord", F.col("ord") - 1_000_000_000).withColumn("group_label", F.lit("replaced later"))
+    return IV.attach_metadata(files, replaced.unionByName(manifest))
 
 
 INVENTORY_SQL = f"""

@@ -59,17 +59,28 @@ query("extract_memories", "conv_id:b, turn:b, key:s, value:s, category:s, confid
 
 
 def _split(spark, sf_dir):
-    """Stored memories of the first turns, later ones arriving in message order."""
+    """Stored memories of the first turns, later ones arriving in message order; some bring the id of a stored one."""
     rows = D.frame(spark, sf_dir, D.memories).withColumn("key", F.when(F.col("seq") % 5 == 0, "").otherwise(F.col("key")))
-    return rows.filter("seq % 100 < 2").drop("seq"), rows.filter("seq % 100 >= 2")
+    first = F.concat(F.regexp_extract("id", "^[^_]*_", 0), F.lit("0"))
+    later = rows.filter("seq % 100 >= 2").withColumn("id", F.when(F.col("seq") % 7 == 3, first).otherwise(F.col("id")))
+    return rows.filter("seq % 100 < 2").drop("seq"), later
 
 
 query("upsert_memories", "key:s, category:s, value:s, created_at:s, updated_at:s, confidence:d, pinned:o", f"""
-    WITH m AS (SELECT * REPLACE (CASE WHEN seq % 5 = 0 THEN '' ELSE key END AS key), CASE WHEN seq % 100 < 2 THEN -1 ELSE seq END AS s FROM ({MEM})),
-    k AS (SELECT *, CASE WHEN key = '' THEN 'id|' || id ELSE 'key|' || category || '|' || key END AS slot FROM m),
-    r AS (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY s DESC, updated_at DESC, id DESC) AS n, min(created_at) OVER (PARTITION BY slot) AS first_created FROM k)
+    WITH m AS (SELECT * REPLACE (CASE WHEN seq % 5 = 0 THEN '' ELSE key END AS key,
+        CASE WHEN seq % 100 >= 2 AND seq % 7 = 3 THEN split_part(id, '_', 1) || '_0' ELSE id END AS id) FROM ({MEM})),
+    st AS (SELECT * FROM m WHERE seq % 100 < 2), inc AS (SELECT * FROM m WHERE seq % 100 >= 2),
+    kk AS (SELECT key, category, min(id) AS key_id FROM st WHERE key <> '' GROUP BY 1, 2),
+    a AS (SELECT inc.*, key_id, st.id AS known FROM inc LEFT JOIN kk ON inc.key = kk.key AND inc.category = kk.category LEFT JOIN st ON st.id = inc.id),
+    nk AS (SELECT key, category, arg_min(id, seq) AS new_id FROM a WHERE key_id IS NULL AND known IS NULL AND key <> '' GROUP BY 1, 2),
+    r AS (SELECT 0 AS late, id AS slot, * FROM st UNION ALL BY NAME SELECT 1 AS late, coalesce(key_id, known, new_id, a.id) AS slot, a.* EXCLUDE (key_id, known)
+        FROM a LEFT JOIN nk ON a.key = nk.key AND a.category = nk.category),
+    o AS (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY late, seq, id) AS n FROM r),
+    f AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY slot ORDER BY n DESC) = 1),
+    t AS (SELECT o.slot, max(o.n) FILTER (WHERE o.key = '' OR o.key <> f.key OR o.category <> f.category) AS turn FROM o JOIN f ON o.slot = f.slot GROUP BY 1),
+    c AS (SELECT o.slot, arg_min(o.created_at, o.n) AS created FROM o JOIN t ON o.slot = t.slot WHERE o.n > coalesce(turn, 0) GROUP BY 1)
     --final
-    SELECT key, category, value, first_created AS created_at, updated_at, confidence, pinned FROM r WHERE n = 1""")(
+    SELECT key, category, value, coalesce(created, created_at) AS created_at, updated_at, confidence, pinned FROM f LEFT JOIN c ON f.slot = c.slot""")(
     lambda spark, sf: M.upsert_memories(*_split(spark, sf)))
 
 query("delete_memories", "id:s, value:s", f"SELECT id, value FROM ({MEM}) WHERE seq % 3 <> 0")(

@@ -46,16 +46,18 @@ def notes(d) -> str:
     )
 
 
-query("stall_verdicts", "conv_id:b, pos:b, chars:b, streak:b, dominant:b, recent_n:b, recent_unique:b, verdict:s", f"""
-    WITH n AS (SELECT conv_id, pos, {X.trimmed('text')} AS note, elapsed FROM ({notes(D.Duck())})),
+_STALL = f"""WITH n AS (SELECT conv_id, pos, {X.trimmed('text')} AS note, elapsed FROM ({notes(D.Duck())})),
     a AS (SELECT *, {X.loop_line('note')} AS norm, sum(length(note)) OVER (PARTITION BY conv_id ORDER BY pos) AS chars FROM n WHERE note <> ''),
     b AS (SELECT *, row_number() OVER (PARTITION BY conv_id, norm ORDER BY pos) AS freq, CASE WHEN lag(norm) OVER (PARTITION BY conv_id ORDER BY pos) = norm THEN 0 ELSE 1 END AS fresh FROM a),
     c AS (SELECT *, max(freq) OVER (PARTITION BY conv_id ORDER BY pos) AS dominant, sum(fresh) OVER (PARTITION BY conv_id ORDER BY pos) AS run,
         list(norm) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS recent FROM b),
-    d AS (SELECT *, row_number() OVER (PARTITION BY conv_id, run ORDER BY pos) AS streak, len(recent) AS recent_n, len(list_distinct(recent)) AS recent_unique FROM c)
+    d AS (SELECT *, row_number() OVER (PARTITION BY conv_id, run ORDER BY pos) AS streak, len(recent) AS recent_n, len(list_distinct(recent)) AS recent_unique FROM c)"""
+_STALL_VERDICT = """CASE WHEN (streak >= 3 AND chars >= 500) OR (dominant >= 4 AND chars >= 900) OR (recent_n >= 6 AND recent_unique <= 2 AND chars >= 900) THEN 'repetition' WHEN elapsed >= 180000 AND chars >= 4000 THEN 'stall' ELSE 'none' END"""
+
+query("stall_verdicts", "conv_id:b, pos:b, chars:b, streak:b, dominant:b, recent_n:b, recent_unique:b, verdict:s", f"""
+    {_STALL}
     --final
-    SELECT conv_id, pos, chars, streak, dominant, recent_n, recent_unique, CASE WHEN (streak >= 3 AND chars >= 500) OR (dominant >= 4 AND chars >= 900) OR (recent_n >= 6 AND recent_unique <= 2 AND chars >= 900)
-    THEN 'repetition' WHEN elapsed >= 180000 AND chars >= 4000 THEN 'stall' ELSE 'none' END AS verdict FROM d""")(
+    SELECT conv_id, pos, chars, streak, dominant, recent_n, recent_unique, {_STALL_VERDICT} AS verdict FROM d""")(
     lambda spark, sf: BT.stall_verdicts(D.frame(spark, sf, notes), ["conv_id"], elapsed="elapsed"))
 
 _SPANS = "|".join(f"{a}(?s:.*?)(?:{b}|\\z)" for a, b in K.HIDDEN_TAGS)
@@ -161,7 +163,10 @@ def _joined_pieces(pieces: DataFrame) -> DataFrame:
     return pieces.groupBy("session_id").agg(text("visible", "").alias("visible"), text("hidden", "\n").alias("hidden"))
 
 
-query("stall_guard_stream", "session_id:s, seq:b, verdict:s")(
+query("stall_guard_stream", "session_id:s, seq:b, verdict:s", f"""
+    {_STALL}
+    --final
+    SELECT CAST(conv_id AS VARCHAR) AS session_id, pos AS seq, {_STALL_VERDICT} AS verdict FROM d""")(
     lambda spark, sf: _streamed(spark, sf, lambda s, d: D.frame(s, d, notes).select(
         F.col("conv_id").cast("string").alias("session_id"), F.col("pos").cast("long").alias("seq"), F.col("text").alias("note"),
         F.col("elapsed").cast("long").alias("elapsed_ms")), _jobs().stall_guard, "stall"))
@@ -185,7 +190,10 @@ def _auto_memories(spark, sf_dir: str) -> DataFrame:
     D.frame(spark, sf_dir, D.prompts).select("conv_id", "turn", "role", F.col("prompt").alias("text")).write.parquet(rows)
     stream = spark.readStream.schema("conv_id long, turn long, role string, text string").parquet(rows)
     jobs.auto_memory(stream, out, scratch_path(spark, "memory-checkpoint"), "2025")
-    return spark.read.parquet(f"{out}/v0")
+    # the table versions are numbered from zero by batch; the last one holds all memories
+    files = spark.read.option("recursiveFileLookup", "true").parquet(out).select(F.input_file_name().alias("file")).distinct()
+    last = files.agg(F.max(F.regexp_extract("file", r"/v([0-9]+)/", 1).cast("int"))).first()[0]
+    return spark.read.parquet(f"{out}/v{last or 0}")
 
 
 query("auto_memory_stream", "key:s, category:s, value:s")(_auto_memories)

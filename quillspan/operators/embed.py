@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspan import constants as K
@@ -19,11 +26,11 @@ def sign_of(token: Column) -> Column:
     return F.when(digit % 2 == 0, 1.0).otherwise(-1.0)
 
 
-def _frequencies(docs: DataFrame, key: list[str], text: str, explode) -> DataFrame:
-    """Token counts.  Texts are clustered by key first, so this and every later grouping of the
+def token_frequencies(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+    """(key, token, freq).  Texts are clustered by key first, so this and every later grouping of the
     same document needs no further exchange, and texts move instead of their many tokens."""
     clustered = docs.select(*key, F.col(text).alias("_text")).repartition(*key)
-    tokens = clustered.select(*key, explode(TM.embedding_tokens(F.col("_text"))).alias("token"))
+    tokens = clustered.select(*key, F.explode(TM.embedding_tokens(F.col("_text"))).alias("token"))
     return tokens.groupBy(*key, "token").agg(F.count("token").alias("freq"))
 
 
@@ -35,31 +42,42 @@ def _bucket_sums(frequencies: DataFrame, key: list[str], dims: int) -> DataFrame
     )
 
 
-def token_frequencies(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """(key, token, freq)."""
-    return _frequencies(docs, key, text, F.explode)
-
-
 def hash_buckets(docs: DataFrame, key: list[str], text: str = "text", dims: int = K.EMBED_DIMS) -> DataFrame:
     """(key, bucket, weight): signed log-frequency sums, not normalised."""
     return _bucket_sums(token_frequencies(docs, key, text), key, dims)
 
 
+@lru_cache(maxsize=200_000)
+def _place(token: str, dims: int) -> tuple[int, float]:
+    """Bucket and sign of a token, as ``bucket_of`` and ``sign_of`` have them."""
+    digest = hashlib.md5(token.encode()).hexdigest()
+    return int(digest[:8], 16) % dims, -1.0 if int(digest[8], 16) % 2 else 1.0
+
+
+def embed_tokens(tokens, dims: int = K.EMBED_DIMS) -> np.ndarray:
+    """L2-normalised vector of a token list; the same sums as ``hash_buckets``, in the row."""
+    counts = Counter(() if tokens is None else tokens)
+    if not counts:
+        return np.zeros(dims, np.float32)
+    buckets, signs = zip(*(_place(token, dims) for token in counts))
+    weights = (1 + np.log1p(np.fromiter(counts.values(), float, len(counts)))) * signs
+    sums = np.bincount(buckets, weights, minlength=dims)
+    norm = np.sqrt((sums * sums).sum())
+    return (sums / norm if norm > 0 else sums).astype(np.float32)
+
+
 def hash_embed(docs: DataFrame, key: list[str], text: str = "text", dims: int = K.EMBED_DIMS) -> DataFrame:
-    """(key, embedding): L2-normalised vector per document; all zero when it has no token."""
-    buckets = _bucket_sums(_frequencies(docs, key, text, F.explode_outer), key, dims)
-    entry = F.when(F.col("bucket").isNotNull() & F.col("weight").isNotNull(), F.struct("bucket", "weight"))
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.col("weights")[i], F.lit(0.0))
-    )
-    return (
-        buckets.groupBy(*key)
-        .agg(F.map_from_entries(F.collect_list(entry)).alias("weights"),
-             F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-        .withColumn("raw", dense)
-        .select(*key, F.transform("raw", lambda x: F.when(F.col("norm") > 0, x / F.col("norm")).otherwise(0.0)
-                                  .cast("float")).alias("embedding"))
-    )
+    """(key, embedding): L2-normalised vector per row; all zero when it has no token.
+
+    The text sits in one row, so nothing is exchanged.
+    """
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame[key].assign(embedding=[embed_tokens(tokens, dims) for tokens in frame["_tokens"]])
+
+    source = docs.select(*key, TM.embedding_tokens(F.col(text)).alias("_tokens"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*key).schema)
+    return source.mapInPandas(run, f"{fields}, embedding array<float>")
 
 
 def sum_vectors(rows: DataFrame, key: list[str], vector: str = "embedding") -> DataFrame:

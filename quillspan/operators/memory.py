@@ -54,27 +54,36 @@ def extract_memories(messages: DataFrame, text: str = "text", keep: list[str] =
 
 
 def upsert_memories(memories: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Last write wins per (key, category), or per id when the key is empty; the first created_at stays.
+    """Last write wins.  An incoming row meets the stored row of its key and category, else the one of its id, else it is new.
 
-    ``incoming`` carries ``seq``, its arrival order.  Each side is reduced by a
-    grouped ``max_by`` (map-side combined), so a key written very often is cheap.
+    A key match keeps the stored id and ``created_at``; an id match takes the incoming row whole.  New rows of one key,
+    or of one id, meet each other in the same way.  ``incoming`` carries ``seq``, its arrival order.  Targets come from
+    equi-joins, results from grouped minima and maxima (map-side combined), so a key written very often is cheap.
     """
     fields = ["id", "key", "value", "category", "created_at", "updated_at", "confidence", "pinned"]
-    union = memories.withColumn("seq", F.lit(-1).cast("long")).select(*fields, "seq").unionByName(
-        incoming.select(*fields, F.col("seq").cast("long").alias("seq")))
-    by_id = F.col("key") == ""
-    slot = F.when(by_id, F.concat(F.lit("id|"), F.col("id"))).otherwise(
-        F.concat(F.lit("key|"), F.col("category"), F.lit("|"), F.col("key")))
-    last = F.struct(*[F.col(c) for c in fields])
-    first_stamp = F.struct(F.col("seq"), F.col("id"))
-    return (
-        union.withColumn("slot", slot).groupBy("slot")
-        .agg(F.max_by(last, F.struct("seq", "updated_at", "id")).alias("r"),
-             F.min_by(F.col("id"), first_stamp).alias("first_id"),
-             F.min(F.when(F.col("created_at") != "", F.col("created_at"))).alias("first_created"))
-        .select(F.col("first_id").alias("id"), "r.key", "r.value", "r.category",
-                F.coalesce("first_created", F.lit("")).alias("created_at"), "r.updated_at", "r.confidence", "r.pinned")
+    keyed, by_key = F.col("key") != "", ["key", "category"]
+    stored_keys = memories.where(keyed).groupBy(*by_key).agg(F.min("id").alias("key_id"))
+    met = incoming.select(*fields, "seq").join(stored_keys, by_key, "left").join(
+        memories.select("id", F.col("id").alias("known_id")).distinct(), "id", "left")
+    fresh = met.where(keyed & F.col("key_id").isNull() & F.col("known_id").isNull())
+    first_ids = fresh.groupBy(*by_key).agg(F.min_by("id", "seq").alias("new_id"))
+    arrived = met.join(first_ids, by_key, "left").select(
+        *fields, F.struct(F.lit(1).alias("arrived"), "seq", "id").alias("place"),
+        F.coalesce("key_id", "known_id", "new_id", "id").alias("slot"))
+    stored = memories.select(*fields, F.struct(
+        F.lit(0).alias("arrived"), F.lit(None).cast(incoming.schema["seq"].dataType).alias("seq"), "id").alias("place"), F.col("id").alias("slot"))
+    rows = stored.unionByName(arrived)
+    last = rows.groupBy("slot").agg(F.max_by(F.struct(*fields), "place").alias("r"))
+    both = rows.join(last, "slot")
+    other = ~keyed | (F.col("key") != F.col("r.key")) | (F.col("category") != F.col("r.category"))
+    turns = both.groupBy("slot").agg(F.max(F.when(other, F.col("place"))).alias("turn"))  # the last row under another key
+    stamps = (
+        rows.join(turns, "slot").where((F.col("turn").isNull() | (F.col("place") > F.col("turn"))) & (F.col("created_at") != ""))
+        .groupBy("slot").agg(F.min_by("created_at", "place").alias("created"))
     )
+    return last.join(stamps, "slot", "left").select(
+        F.col("slot").alias("id"), "r.key", "r.value", "r.category", F.coalesce("created", "r.created_at", F.lit("")).alias("created_at"),
+        "r.updated_at", "r.confidence", "r.pinned")
 
 
 def delete_memories(memories: DataFrame, ids: DataFrame) -> DataFrame:

@@ -250,7 +250,7 @@ def auto_memory(messages: DataFrame, path: str, checkpoint: str, now: str) -> No
         found = extract_memories(batch.filter("role = 'user'")).select(
             F.sha1(F.encode(F.concat_ws("|", "category", "key"), "UTF-8")).alias("id"), "key", "value", "category",
             F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"), "confidence", F.lit(False).alias("pinned"),
-            (F.col("conv_id") * 100000 + F.col("turn")).alias("seq"))
+            F.struct("conv_id", "turn").alias("seq"))
         upsert_memories(before, found).write.mode("overwrite").parquet(f"{path}/v{number}")
 
     query = (
