@@ -43,7 +43,7 @@ SWITCH_PENALTY = 8.0
 #: A script belongs to a language from this share of its letters on.
 SCRIPT_SHARE = 0.001
 #: Word-language cells decoded together, and words remembered; they bound memory, not the result.
-GROUP_CELLS, WORDS_KEPT, COUNTS_KEPT = 8_000_000, 300_000, 300_000
+GROUP_CELLS, WORDS_KEPT, COUNTS_KEPT = 3_000_000, 200_000, 200_000
 
 
 def script_of(char: str) -> str:
@@ -89,20 +89,20 @@ class Model:
 
     def number(self, texts: list[str]) -> list[np.ndarray]:
         """The words of each text by their rows in the score memory; words without letters are left out."""
-        found = [WORD.findall(t.lower()) for t in texts]
         if len(self.known) > WORDS_KEPT:
             self.known, self.rows = {}, []
-        fresh = [w for w in {w for words in found for w in words} if w not in self.known]
-        lettered = [w for w in fresh if any(c.isalpha() for c in w)]
-        self.known |= dict.fromkeys(fresh, -1)
-        base = sum(map(len, self.rows))
-        self.known |= {w: base + k for k, w in enumerate(lettered)}
-        if lettered:
-            self.rows.append(self.word_scores(lettered))
-        out = []
-        for words in found:
-            ids = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        base, fresh, out = sum(map(len, self.rows)), [], []
+        for text in texts:  # the words of one text at a time; only numbers are kept
+            words = WORD.findall(text.lower())
+            for word in set(words).difference(self.known):
+                lettered = any(c.isalpha() for c in word)
+                self.known[word] = base + len(fresh) if lettered else -1
+                if lettered:
+                    fresh.append(word)
+            ids = np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
             out.append(ids[ids >= 0] if (ids < 0).any() else ids)
+        for a in range(0, len(fresh), 20_000):
+            self.rows.append(self.word_scores(fresh[a:a + 20_000]))
         return out
 
     def decode(self, numbered: list[np.ndarray]) -> list[np.ndarray]:
@@ -114,11 +114,11 @@ class Model:
         n, steps = int((lengths > 0).sum()), int(lengths[0]) if len(lengths) else 0
         active = np.searchsorted(-lengths, -np.arange(steps), side="left")  # texts longer than each step
         offsets = np.concatenate([[0], np.cumsum(active)])
-        words = np.empty(offsets[-1], np.int64)
+        words = np.empty(offsets[-1], np.int32)
         for rank, k in enumerate(order[:n]):
             words[offsets[:lengths[rank]] + rank] = numbered[k]
         stayed = np.ones((offsets[-1], len(self.languages)), bool)
-        source = np.zeros(offsets[-1], np.int32)
+        source = np.zeros(offsets[-1], np.int32 if len(self.languages) > 127 else np.int8)
         value, ends = np.zeros((n, len(self.languages)), np.float32), np.zeros(n, np.int32)
         for t in range(steps):
             a, m = offsets[t], active[t]
@@ -233,7 +233,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     kind = pa.list_(pa.struct([("first_word", pa.int32()), ("n_words", pa.int32()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, 1024):
             done = list(sent.value.predict(batch.column("text").to_pylist()))
             spans = [[dict(zip(("first_word", "n_words", "lang"), s)) for s in d[2]] for d in done]
             yield pa.RecordBatch.from_arrays([
@@ -251,7 +251,7 @@ def keep_identified(docs: DataFrame, model: Model, least_score: float = 0.5, tex
     sent, schema = docs.sparkSession.sparkContext.broadcast(model), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, 1024):
             texts = batch.column(text_col).to_pylist()
             yield batch.filter(pa.array([p != UNDETERMINED and s >= least_score for p, s, _ in sent.value.predict(texts)], pa.bool_()))
 
