@@ -118,7 +118,7 @@ query("plan_text", "prompt_id:b, plan:s", f"""
     WITH {PLAN_SQL}
     --final
     SELECT prompt_id, 'Document type: ' || any_value(document_type) || chr(10) || 'Intent: ' || any_value(intent) || chr(10)
-    || 'Use the following outline and retrieved section evidence to write a coherent answer.' || chr(10)
+    || '{PL.PLAN_LEAD}' || chr(10)
     || string_agg(ord || '. ' || title || chr(10) || '   objective: ' || objective || chr(10) || '   preferred_sources: ' || roles, chr(10) ORDER BY ord) AS plan FROM pl GROUP BY prompt_id""")(
     lambda spark, sf: PL.plan_text(_plan(spark, sf)))
 
