@@ -29,12 +29,10 @@ def rates(docs: DataFrame, targets: dict | None = None, temperature: float = TEM
         for name, value in targets.items():
             weight = F.when(F.col("_mix_source").eqNullSafe(F.lit(name)), F.lit(float(value))).otherwise(weight)
     weighed = sizes.withColumn("weight", weight)
-    sums = weighed.agg(F.sum("weight").alias("weights"), F.sum("n").alias("documents"))
-    wanted = F.col("documents").cast("double") if total is None else F.lit(float(total))
-    return weighed.crossJoin(sums).select(  # one row of sums
-        "_mix_source",
-        F.when(F.col("weights") > 0, F.col("weight") / F.col("weights") * wanted / F.col("n")).otherwise(F.lit(0.0)).alias("_mix_rate"),
-    )
+    weights, documents = weighed.agg(F.sum("weight"), F.sum("n")).first()  # two numbers
+    wanted = float((documents or 0) if total is None else total)
+    rate = F.col("weight") / F.lit(weights) * F.lit(wanted) / F.col("n") if weights else F.lit(0.0)
+    return weighed.select("_mix_source", rate.alias("_mix_rate"))
 
 
 def thresholds(mean: Column) -> Column:
