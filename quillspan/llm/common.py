@@ -7,11 +7,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quillspan.session import cut_lineage
+
 #: The six characters that separate words, and the ASCII letters in lower case; fixed by the data contracts.
 SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-#: Rows of one Arrow batch that a helper hands on at once.
-OUT_ROWS = 65536
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,10 +35,15 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Rec
             yield batch.slice(at, rows)
 
 
-def slices(table: pa.Table | pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """``table`` in batches of bounded row number."""
-    table = pa.Table.from_batches([table]) if isinstance(table, pa.RecordBatch) else table
-    yield from table.to_batches(max_chunksize=OUT_ROWS)
+def cut_and_clean(df: DataFrame, name: str) -> DataFrame:
+    """``cut_lineage``; Spark drops the shuffle files of this write at its end, not when the driver next collects garbage."""
+    setting, conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", df.sparkSession.conf
+    before = conf.get(setting, "false")
+    conf.set(setting, "true")
+    try:
+        return cut_lineage(df, name)
+    finally:
+        conf.set(setting, before)
 
 
 def held_out(modulus: int, remainder: int):

@@ -16,8 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from quillspan.llm.common import id_and_text, small, utf8
-from quillspan.session import cut_lineage
+from quillspan.llm.common import cut_and_clean, id_and_text, small, utf8
 
 WINDOW = 13
 #: Words of a shingle whose hashes stand for a window.
@@ -186,11 +185,11 @@ def remove_repeated(
                 ).to_batches(max_chunksize=65536)
 
     windows = docs.where("doc_id is not null").mapInArrow(candidates, "h1 bigint, h2 bigint, doc_id bigint, place bigint")
-    firsts = cut_lineage(
+    firsts = cut_and_clean(
         windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
         .select("h1", "h2", "first"), "window-firsts",
     )
-    removed = cut_lineage(
+    removed = cut_and_clean(
         windows.join(firsts, ["h1", "h2"]).where("doc_id > first")
         .groupBy("doc_id", (F.shiftright("place", 32)).alias("row")).agg(F.collect_list(F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("at")),
         "window-places",  # as many places as the document has words
