@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspan.llm import bpe, langid, language_model, licenses, mixing, quotient, secrets, simhash, telephony, windows
+from quillspan.llm import (
+    bpe, langid, language_model, licenses, mixing, quotient, secrets, simhash, telephony, token_store, windows,
+)
 from quillspan.llm.common import documents, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,3 +108,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_license_join", licenses.brute_force_sql())
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir))
+
+
+@query("op13_token_store")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all token ids, then checksums of what is read back."""
+    return token_store.checksums(token_store.read(spark, token_store.write(documents(spark, sf_dir), TOKENIZER)))
