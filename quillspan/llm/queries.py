@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspan.llm import (
-    bpe, langid, language_model, licenses, mixing, quotient, secrets, simhash, telephony, token_store, windows,
+    bpe, langid, language_model, licenses, mixing, quotient, repair, secrets, simhash, telephony, token_store, windows,
 )
 from quillspan.llm.common import documents, held_out
+from quillspan.session import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -110,6 +111,17 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir))
 
 
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damage the conversations by hash, repair them, and digest the repaired turns."""
+    turns = repair.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    found = cut_lineage(repair.repairs(turns), "repairs")
+    digests = repair.repaired_digests(turns, found).withColumnRenamed("conv_id", "of")
+    return found.join(digests, found["conv_id"].eqNullSafe(digests["of"])).select(
+        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"
+    )
+
+
 @query("op13_token_store")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all token ids, then checksums of what is read back."""
