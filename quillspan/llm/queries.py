@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspan.llm import (
-    bpe, langid, language_model, licenses, mixing, quotient, repair, secrets, simhash, telephony, token_store, windows,
+    bpe, langid, language_model, licenses, mixing, quotient, repair, secrets, simhash, spelling, telephony, token_store,
+    windows,
 )
 from quillspan.llm.common import documents, held_out
 from quillspan.session import cut_lineage
@@ -122,6 +123,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op12_spelling_variants")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(documents(spark, sf_dir))
+
+
 @query("op13_token_store")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all token ids, then checksums of what is read back."""
