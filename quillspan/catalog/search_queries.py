@@ -201,9 +201,8 @@ def _two_lists(spark, sf_dir):
     """Preferred hits from one file set, general hits from all files, of the same queries."""
     chunks, queries = D.frame(spark, sf_dir, D.doc_chunks), queries_frame(spark, sf_dir)
     paths = D.frame(spark, sf_dir, D.documents).filter("lang = 'es'").select(F.concat(F.lit("kb/"), "source", F.lit(".txt")).alias("path")).distinct()
-    general = SE.hybrid_search(chunks, queries, detail=False)
-    preferred = SE.hybrid_search(chunks.filter("source_role = 'config'"), queries, 4, paths=paths, detail=False)
-    return preferred, general
+    marked = SE.mark_scope(chunks, paths).withColumn("scoped", F.col("scoped") & (F.col("source_role") == "config"))
+    return SE.hybrid_lists(marked, queries, scoped_limit=4)
 
 
 _LISTS = f"""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillspan import constants as K
 from quillspan.functions import labels as LB, terms as TM, text as T
-from quillspan.operators.search import pattern_hits
+from quillspan.operators.search_index import BLOCK_SHIFT, sliced
 
 FIELDS = ["key", "value", "category", "confidence"]
 
@@ -118,29 +118,65 @@ def _rank(*extra: Column) -> list[Column]:
     return [F.desc("total"), F.desc("pinned"), F.desc("updated_at"), F.col("id"), *extra]
 
 
-def memory_scores(memories: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, id, score) of memories with a matched term.
-
-    Terms are found by the pattern scan over key, category and value, so only
-    matching pairs exist as rows.
+def _memory_matches(pool: int | None):
+    """applyInPandas function of some memories and queries: scores of the memories that match a query, the ``pool`` best of each."""
+    import ahocorasick
+    import numpy as np
+    import pandas as pd
+
+    fields = (("key", 40, 24), ("category", 20, 12), ("value", 10, 10))
+
+    def run(memories: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        terms = sorted({t for ts in asked["terms"] for t in ts})
+        if not terms or memories.empty:
+            return pd.DataFrame({"query_id": [], "id": [], "score": []})
+        machine, number = ahocorasick.Automaton(), {t: k for k, t in enumerate(terms)}
+        for term, k in number.items():
+            machine.add_word(term, (k, len(term)))
+        machine.make_automaton()
+        points, present = np.zeros((len(terms), len(memories)), np.int32), np.zeros((len(terms), len(memories)), bool)
+        for field, whole, part in fields:
+            for row, (text, size) in enumerate(zip(memories[field], memories[f"{field}_size"])):
+                for k, length in {found for _, found in machine.iter(text or "")}:
+                    points[k, row] += whole if length == size else part
+                    present[k, row] = True
+        base, order = memories["base"].to_numpy(), memories["place"].to_numpy()
+        for query_id, ts in zip(asked["query_id"], asked["terms"]):
+            ids = [number[t] for t in ts]
+            if ids:
+                some = np.flatnonzero(present[ids].any(axis=0))
+                score = points[ids][:, some].sum(axis=0) + 3 * present[ids][:, some].sum(axis=0) + base[some]
+                if pool is not None:
+                    best = np.lexsort((order[some], -(score + memories["lift"].to_numpy()[some])))[:pool]
+                    some, score = some[best], score[best]
+                out.append(pd.DataFrame({"query_id": query_id, "id": memories["id"].to_numpy()[some], "score": score}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})
+
+    return run
+
+
+def memory_scores(memories: DataFrame, queries: DataFrame, pool: int | None = None) -> DataFrame:
+    """(query_id, id, score) of memories with a matched term; with ``pool`` those that can be among a query's best ``pool``.
+
+    Memories are dealt out in blocks and meet the queries in slices; a task scores one block for one slice and sends on the
+    best ``pool`` of each query, so pairs are cut before they are exchanged.
     """
-    terms = queries.select("query_id", F.explode(TM.memory_terms(F.col("query"))).alias("pattern")).withColumn(
-        "n_terms", F.lit(1)).withColumn("is_term", F.lit(True))
-    fields = memories.select("id", F.explode(F.array(
-        F.struct(F.lit("key").alias("field"), F.col("key").alias("text")),
-        F.struct(F.lit("category").alias("field"), F.col("category").alias("text")),
-        F.struct(F.lit("value").alias("field"), F.col("value").alias("text")),
-    )).alias("f")).select("id", "f.field", "f.text", F.length("f.text").alias("size"), F.lit("").alias("name"))
-    hits = pattern_hits(fields, terms, ["id", "field", "size"], "text", "name").join(terms, "pattern")
-    whole = F.length("pattern") == F.col("size")
-    points = (
-        F.when(F.col("field") == "key", F.when(whole, 40).otherwise(24))
-        .when(F.col("field") == "category", F.when(whole, 20).otherwise(12)).otherwise(10)
+    terms = sliced(queries.select("query_id", TM.memory_terms(F.col("query")).alias("terms")).where(F.size("terms") > 0))
+    text = [c for f in ("key", "category", "value") for c in (F.lower(f).alias(f), F.length(f).alias(f"{f}_size"))]
+    ranked = memories.select(
+        "id", *text, _base_score().alias("base"), F.when(F.col("pinned"), 50).otherwise(0).alias("lift"), "pinned", "updated_at",
+        F.pmod(F.xxhash64("id"), F.lit(max(1, memories.count() >> BLOCK_SHIFT))).alias("block"),
     )
-    matched = hits.groupBy("query_id", "id").agg(
-        F.sum(points).alias("points"), (F.size(F.collect_set("pattern")) * 3).alias("bonus"))
-    return matched.join(memories, "id").select(
-        "query_id", "id", (F.col("points") + F.col("bonus") + _base_score()).cast("int").alias("score"))
+    in_block = Window.partitionBy("block").orderBy(F.desc("pinned"), F.desc("updated_at"), "id")
+    ranked = ranked.withColumn("place", F.row_number().over(in_block))
+    slices = F.explode(F.sequence(F.lit(0), terms.agg(F.max("slice")).scalar()))
+    blocks = ranked.withColumn("slice", slices)
+    asked = terms.join(blocks.select(F.col("block").alias("block"), F.col("slice").alias("slice")).distinct(), "slice").select(
+        F.col("slice").alias("slice"), "block", "query_id", "terms")
+    kind = {f.name: f.dataType.simpleString() for f in queries.schema}["query_id"]
+    return blocks.groupBy("block", "slice").cogroup(asked.groupBy("block", "slice")).applyInPandas(
+        _memory_matches(pool), f"query_id {kind}, id string, score int")
 
 
 def relevant_memories(memories: DataFrame, queries: DataFrame, limit: int = K.MAX_MEMORIES,
@@ -153,7 +189,7 @@ def relevant_memories(memories: DataFrame, queries: DataFrame, limit: int = K.MA
     one array value.  Safe filtering comes after the 2k cut, then the limit.
     """
     pool = 2 * limit
-    matched = memory_scores(memories, queries)
+    matched = memory_scores(memories, queries, pool)
     pairs = matched
     if not require_match:
         no_terms = F.size(TM.memory_terms(F.col("query"))) == 0
