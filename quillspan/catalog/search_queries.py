@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillspan import constants as K
 from quillspan.catalog import derived as D, duck as X
 from quillspan.catalog.registry import query
-from quillspan.catalog.text_queries import EMBED_TOKENS_SQL
+from quillspan.catalog.text_queries import EMBED_TOKENS_SQL, embed_tokens_sql
 from quillspan.functions import scoring as S
 from quillspan.operators import embed as EM, sampling as SA, search as SE
 
@@ -113,6 +113,39 @@ def hybrid(spark, sf_dir):
     return SE.hybrid_search(chunks, queries, neural=True, detail=False)
 
 
+
+
+def hash_vectors_sql(rows: str, mark: str) -> str:
+    """CTEs up to ``vec{mark}(doc_id, bucket, x)``, the unit hash vectors, and ``len{mark}(doc_id, norm)``."""
+    return f"""{embed_tokens_sql(rows, mark)},
+    fr{mark} AS (SELECT doc_id, token, count(*) AS freq, md5(token) AS m FROM tok{mark} GROUP BY doc_id, token),
+    bk{mark} AS (SELECT doc_id, ('0x' || substr(m, 1, 8))::BIGINT % {K.EMBED_DIMS} AS bucket, sum((1 + ln(1 + freq::DOUBLE))
+        * CASE WHEN ('0x' || substr(m, 9, 1))::BIGINT % 2 = 0 THEN 1 ELSE -1 END) AS weight FROM fr{mark} GROUP BY 1, 2),
+    vec{mark} AS (SELECT doc_id, bucket, CAST(weight / sqrt(sum(weight * weight) OVER (PARTITION BY doc_id)) AS FLOAT)::DOUBLE AS x FROM bk{mark}),
+    len{mark} AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM vec{mark} GROUP BY doc_id)"""
+
+
+_HYBRID_LOCAL = f"""
+    WITH {lexical_sql(DOCS, QUERIES)}, chunk AS (SELECT * FROM ({DOCS})), {hash_vectors_sql('documents', 'c')},
+    {hash_vectors_sql('(SELECT query_id AS doc_id, query AS text FROM pq)', 'q')},
+    dots AS (SELECT q.doc_id AS query_id, c.doc_id AS chunk_index, sum(q.x * c.x) AS dot FROM vecc c JOIN vecq q ON c.bucket = q.bucket GROUP BY 1, 2),
+    sem AS (SELECT query_id, chunk_index, greatest(0::DOUBLE, dot / (lc.norm * lq.norm)) AS semantic FROM dots
+        JOIN lenc lc ON lc.doc_id = chunk_index JOIN lenq lq ON lq.doc_id = query_id),
+    pr AS (SELECT coalesce(l.query_id, s.query_id) AS query_id, coalesce(l.chunk_index, s.chunk_index) AS chunk_index,
+        coalesce(lexical, 0::DOUBLE) AS lexical, coalesce(semantic, 0::DOUBLE) AS semantic
+        FROM lex l FULL JOIN sem s ON l.query_id = s.query_id AND l.chunk_index = s.chunk_index),
+    pair AS (SELECT pr.query_id, c.path, pr.chunk_index, lexical, semantic FROM pr JOIN chunk c ON c.chunk_index = pr.chunk_index
+        WHERE lexical > 0 OR semantic >= {K.MIN_SEMANTIC}),
+    {ranked_sql(_LOCAL, K.MAX_LOCAL_HITS)}
+    --final
+    SELECT query_id, rank, path, chunk_index, lexical, semantic, rerank, concat_ws(', ',
+    CASE WHEN lexical >= 1.8 THEN 'strong lexical overlap' WHEN lexical > 0 THEN 'keyword overlap' END,
+    CASE WHEN semantic >= 0.65 THEN 'strong surface-form vector similarity' WHEN semantic >= {K.MIN_SEMANTIC} THEN 'surface-form vector similarity' END,
+    'role=' || source_role) AS match_reason FROM hit"""
+
+query("hybrid_local", "query_id:b, rank:b, path:s, chunk_index:b, lexical:d, semantic:d, rerank:d, match_reason:s", _HYBRID_LOCAL)(
+    lambda spark, sf: SE.hybrid_local(D.frame(spark, sf, D.doc_chunks), queries_frame(spark, sf), detail=False))
+
 query("search_in_files", "query_id:b, rank:b, path:s, chunk_index:b, rerank:d", f"""
     WITH scope AS (SELECT * FROM ({DOCS}) WHERE path IN (SELECT 'kb/' || source || '.txt' FROM documents WHERE lang = 'es')),
     {lexical_sql('SELECT * FROM scope', QUERIES)}, chunk AS (SELECT * FROM scope), pair AS (SELECT *, 0::DOUBLE AS semantic FROM lex),

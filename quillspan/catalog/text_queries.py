@@ -192,12 +192,19 @@ query("query_terms", "query_id:b, terms:s", f"""
 
 _RAW = X.token_list("lower(text)", "a-z0-9.+_-")
 _SYN = X.synonym_map(K.EMBED_SYNONYMS)
-EMBED_TOKENS_SQL = f"""
-    raw AS (SELECT doc_id, {_RAW} AS items FROM documents),
-    one AS (SELECT doc_id, idx, items[idx] AS t, items[idx + 1] AS nxt FROM (SELECT *, unnest(range(1, len(items) + 1)) AS idx FROM raw)),
-    tok AS (SELECT doc_id, unnest(list_concat(list_concat([t], coalesce(({_SYN})[t], [])),
+
+
+def embed_tokens_sql(rows: str, mark: str = "") -> str:
+    """CTEs up to ``tok{mark}(doc_id, token)`` of the rows (doc_id, text)."""
+    return f"""
+    raw{mark} AS (SELECT doc_id, {_RAW} AS items FROM {rows}),
+    one{mark} AS (SELECT doc_id, idx, items[idx] AS t, items[idx + 1] AS nxt FROM (SELECT *, unnest(range(1, len(items) + 1)) AS idx FROM raw{mark})),
+    tok{mark} AS (SELECT doc_id, unnest(list_concat(list_concat([t], coalesce(({_SYN})[t], [])),
         list_concat(CASE WHEN length(t) >= 5 THEN list_transform(range(1, length(t) - 1), lambda j: substr(t, j, 3)) ELSE [] END,
-        CASE WHEN length(nxt) >= 2 THEN [t || '_' || nxt] ELSE [] END))) AS token FROM one WHERE length(t) >= 2)"""
+        CASE WHEN length(nxt) >= 2 THEN [t || '_' || nxt] ELSE [] END))) AS token FROM one{mark} WHERE length(t) >= 2)"""
+
+
+EMBED_TOKENS_SQL = embed_tokens_sql("documents")
 
 query("embedding_tokens", "doc_id:b, token:s, freq:b", f"""
     WITH {EMBED_TOKENS_SQL}
