@@ -43,13 +43,16 @@ class Encoder(bpe.Pieces):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.tokenize = self.library.model.tokenize
+        self.shown = {byte: char for char, byte in bpe.byte_alphabet().items()}
         added = [token.content for token in self.library.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
         self.known, self.any = (regex.compile(p, regex.V1).findall for p in (bpe.KNOWN_PATTERN, bpe.PATTERN))
         self.latin, self.newer = re.compile(bpe.LATIN_PATTERN).findall, re.compile(f"[{bpe.UNKNOWN}]").search
 
     def encode_piece(self, piece: bytes) -> list[int]:
-        return self.library.encode(piece.decode(), add_special_tokens=False).ids
+        """Ids by the library's model, which reads the printable characters that stand for bytes."""
+        return [token.id for token in self.tokenize(piece.decode("latin-1").translate(self.shown))]
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
