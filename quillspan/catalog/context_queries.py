@@ -8,6 +8,8 @@ from quillspan import constants as K
 from quillspan.catalog import derived as D, duck as X
 from quillspan.catalog.policy_queries import ANCHOR_SQL, EXACT, INLINE_INTENT_SQL, LOWER, PLAN_INTENT_SQL, STUDY, TYPE_SQL
 from quillspan.catalog.registry import query, quote as q
+from quillspan.catalog.search_queries import LINES, lexical_sql, ranked_sql
+from quillspan.catalog.text_queries import retry_sql
 from quillspan.operators import context as CX, planning as PL
 
 
@@ -122,8 +124,65 @@ query("plan_text", "prompt_id:b, plan:s", f"""
     || string_agg(ord || '. ' || title || chr(10) || '   objective: ' || objective || chr(10) || '   preferred_sources: ' || roles, chr(10) ORDER BY ord) AS plan FROM pl GROUP BY prompt_id""")(
     lambda spark, sf: PL.plan_text(_plan(spark, sf)))
 
-query("search_by_plan", "prompt_id:b, section_no:b, path:s, chunk_index:b, rank:b")(
+_PLANNED = f"""
+    WITH {PLAN_SQL}, {lexical_sql(LINES, "SELECT prompt_id || '#' || ord AS query_id, query, intent, roles FROM pl")},
+    chunk AS (SELECT * FROM ({LINES})), pair AS (SELECT *, 0::DOUBLE AS semantic FROM lex),
+    {ranked_sql(K.SEARCH_WEIGHTS[False], 4, "list_contains(string_split(roles, ', '), source_role)")},
+    scoped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rerank, 9) DESC, round(lexical, 9) DESC, file_name, chunk_index, path) AS prank
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id, path ORDER BY round(rerank, 9) DESC, round(lexical, 9) DESC, file_name, chunk_index) AS fn
+        FROM ok WHERE path LIKE 'kb/es/%') WHERE fn <= CASE WHEN intent IN ('document_generation', 'architecture') THEN 10 ELSE 6 END) WHERE prank <= 4),
+    both_ AS (SELECT query_id, path, chunk_index, true AS pf, prank AS rank FROM scoped UNION ALL SELECT query_id, path, chunk_index, false, rank FROM hit),
+    once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, path, chunk_index ORDER BY pf DESC, rank) AS cn FROM both_) WHERE cn = 1),
+    merged AS (SELECT * FROM (SELECT query_id, path, chunk_index, pf, row_number() OVER (PARTITION BY query_id ORDER BY pf DESC, rank) AS rank FROM once) WHERE rank <= 4)
+    --final
+"""
+
+
+def _earliest(hits: str) -> str:
+    """A chunk stays in the earliest section of its prompt."""
+    return f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prompt_id, path, chunk_index ORDER BY section_no, rank) AS seen FROM (
+        SELECT *, CAST(split_part(query_id, '#', 1) AS BIGINT) AS prompt_id, CAST(split_part(query_id, '#', 2) AS BIGINT) AS section_no FROM {hits})) WHERE seen = 1"""
+
+
+query("search_by_plan", "prompt_id:b, section_no:b, path:s, chunk_index:b, rank:b", _PLANNED + _earliest("hit"))(
     lambda spark, sf: PL.search_by_plan(_plan(spark, sf), D.frame(spark, sf, D.line_chunks)))
 
-query("multi_query_union", "prompt_id:b, merged_rank:b, path:s, chunk_index:b")(
+query("search_by_plan_preferred", "prompt_id:b, section_no:b, path:s, chunk_index:b, rank:b, from_preferred:o",
+      _PLANNED + _earliest("(SELECT *, pf AS from_preferred FROM merged)"))(
+    lambda spark, sf: PL.search_by_plan(
+        _plan(spark, sf), D.frame(spark, sf, D.line_chunks), preferred_paths=D.frame(spark, sf, D.files).where("lang = 'es'").select("path")))
+
+query("retry_sections", "doc_id:b, section:s", f"""
+    WITH {_PARAS}, w AS (SELECT s.doc_id, coalesce(x, '') AS t FROM s LEFT JOIN (
+        SELECT doc_id, string_agg(paragraph, chr(10) || chr(10) ORDER BY pos) AS x FROM d WHERE n <= 1 GROUP BY doc_id) j ON s.doc_id = j.doc_id)
+    --final
+    SELECT doc_id, {retry_sql('t', 900)} AS section FROM w""")(
+    lambda spark, sf: CX.retry_sections(D.frame(spark, sf, sections), 900))
+
+
+
+def _merged(preferred: str, general: str, cut: str) -> str:
+    """Rows (prompt_id, path, chunk_index, merged_rank) of two hit lists, preferred ones first, unique, up to ``cut``."""
+    both = f"SELECT prompt_id, path, chunk_index, rank, true AS pf FROM {preferred} UNION ALL SELECT prompt_id, path, chunk_index, rank, false FROM {general}"
+    once = f"SELECT *, row_number() OVER (PARTITION BY prompt_id, path, chunk_index ORDER BY pf DESC, rank) AS cn FROM ({both})"
+    ranked = f"SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY pf DESC, rank) AS merged_rank FROM ({once}) WHERE cn = 1"
+    return f"SELECT prompt_id, path, chunk_index, merged_rank FROM ({ranked}) WHERE merged_rank <= {cut}"
+
+
+_UNION = f"""
+    WITH ba AS (SELECT prompt_id, prompt, {INLINE_INTENT_SQL} AS intent, {EXACT} AS exact, {STUDY} AS study FROM {LOWER}),
+    va AS (SELECT prompt_id, 'g' AS kind, prompt AS query, intent, CASE WHEN exact THEN 10 ELSE 8 END AS take FROM ba
+        UNION ALL SELECT prompt_id, 's', prompt || {q(K.STRUCTURE_QUERY_SUFFIX)}, intent, CASE WHEN exact THEN 5 ELSE 4 END FROM ba WHERE study
+        UNION ALL SELECT prompt_id, 'x', prompt || {q(K.EXTRACTION_QUERY_SUFFIX)}, intent, 10 FROM ba WHERE exact),
+    {lexical_sql(LINES, "SELECT prompt_id || '#' || kind AS query_id, query, intent FROM va")},
+    chunk AS (SELECT * FROM ({LINES})), pair AS (SELECT *, 0::DOUBLE AS semantic FROM lex),
+    {ranked_sql(K.SEARCH_WEIGHTS[False], 10, "false")},
+    kept AS (SELECT hit.*, va.prompt_id, va.kind FROM hit JOIN va ON hit.query_id = va.prompt_id || '#' || va.kind WHERE rank <= take),
+    st AS ({_merged("(SELECT * FROM kept WHERE kind = 's')", "(SELECT * FROM kept WHERE kind = 'g')", "10")}),
+    gen AS (SELECT st.prompt_id, path, chunk_index, merged_rank AS rank FROM st JOIN ba ON st.prompt_id = ba.prompt_id WHERE merged_rank <= CASE WHEN exact THEN 10 ELSE 8 END),
+    fin AS ({_merged("(SELECT * FROM kept WHERE kind = 'x')", "gen", "8")})
+    --final
+    SELECT prompt_id, merged_rank, path, chunk_index FROM fin"""
+
+query("multi_query_union", "prompt_id:b, merged_rank:b, path:s, chunk_index:b", _UNION)(
     lambda spark, sf: PL.multi_query_union(D.frame(spark, sf, D.prompts), D.frame(spark, sf, D.line_chunks)))

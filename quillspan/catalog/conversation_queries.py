@@ -45,7 +45,8 @@ query("update_summaries", "conv_id:b, summary:s, updated_at:s", INDEX_SQL + """
 query("delete_conversations", "conv_id:b, turn:b", f"SELECT conv_id, turn FROM ({MSG}) WHERE conv_id % 4 <> 1")(
     lambda spark, sf: CV.delete_conversations(messages(spark, sf), messages(spark, sf).filter("conv_id % 4 = 1")))
 
-query("order_conversations", "conv_id:b, updated_at:s", INDEX_SQL + "SELECT conv_id, updated_at FROM ix")(
+query("order_conversations", "conv_id:b, updated_at:s, place:b", INDEX_SQL + """
+    SELECT conv_id, updated_at, row_number() OVER (ORDER BY updated_at DESC, conv_id) - 1 AS place FROM ix""")(
     lambda spark, sf: CV.order_conversations(CV.conversation_index(messages(spark, sf))))
 
 query("recent_messages", "conv_id:b, turn:b", f"""
@@ -57,9 +58,10 @@ _NEXT = f"""SELECT *, role = 'user' AND contains(text, '?') AND coalesce(lead(ro
 query("refused_questions", "conv_id:b, turn:b, text:s", f"SELECT conv_id, turn, text FROM ({_NEXT}) WHERE open")(
     lambda spark, sf: CV.refused_questions(messages(spark, sf)))
 
-query("transcripts", "conv_id:b, part_no:b, transcript:s", f"""
+query("transcripts", "conv_id:b, part_no:b, start:b, transcript:s", f"""
+    SELECT *, coalesce(sum(length(transcript) + 1) OVER (PARTITION BY conv_id ORDER BY part_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM (
     SELECT conv_id, turn // 4 AS part_no, string_agg(CASE role WHEN 'user' THEN 'USER> ' || text WHEN 'assistant' THEN 'ASSISTANT> ' || text ELSE '[' || role || '] ' || text END || chr(10),
-    chr(10) ORDER BY turn) AS transcript FROM ({MSG}) GROUP BY conv_id, turn // 4""")(
+    chr(10) ORDER BY turn) AS transcript FROM ({MSG}) GROUP BY conv_id, turn // 4)""")(
     lambda spark, sf: CV.transcripts(messages(spark, sf), 4))
 
 query("payload_summary", "conv_id:b, summary:s", f"""

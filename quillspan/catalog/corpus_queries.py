@@ -7,10 +7,25 @@ from pyspark.sql import functions as F
 from quillspan.catalog import derived as D, duck as X
 from quillspan.catalog.registry import query
 from quillspan.operators import conversation as CV, pages as PG
+from quillspan.session import scratch_path
 from quillspan.sources import corpus as CP, records as R
 
-query("scan_corpus", "path:s, file_name:s, size_bytes:b")(
-    lambda spark, sf: CP.scan_corpus(spark, sf, ["*.parquet"], content=False))
+
+
+def _corpus_files(spark, sf_dir):
+    """Documents written as text files, one for each language and source, and scanned again with their content."""
+    root = scratch_path(spark, "corpus")
+    rows = D.frame(spark, sf_dir, D.documents).select("lang", "source", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    ordered = rows.repartition("lang", "source").sortWithinPartitions("lang", "source", "doc_id")
+    ordered.select("lang", "source", "text").write.partitionBy("lang", "source").text(root)
+    files = CP.read_text(CP.scan_corpus(spark, root, ["*.txt"]))
+    folder = lambda name: F.regexp_extract("path", f"/{name}=([^/]*)/", 1).alias(name)
+    return files.select(folder("lang"), folder("source"), "size_bytes", "extractor", F.sha1(F.encode("text", "UTF-8")).alias("text_sha1"))
+
+
+query("scan_corpus", "lang:s, source:s, size_bytes:b, extractor:s, text_sha1:s", f"""
+    SELECT lang, source, octet_length(encode(t)) AS size_bytes, 'direct' AS extractor, sha1({X.clean('t')}) AS text_sha1 FROM (
+    SELECT lang, source, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) || chr(10) AS t FROM documents GROUP BY lang, source)""")(_corpus_files)
 
 
 def _contents(spark, sf_dir):

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspan.catalog import derived as D, duck as X
-from quillspan.catalog.label_queries import chars_sql, scale_sql
+from quillspan.catalog.label_queries import _TYPE as TYPE_SQL, chars_sql, scale_sql
 from quillspan.catalog.outline_queries import positioned_chunks
 from quillspan.catalog.registry import query
 from quillspan.catalog.search_queries import shaped_chunks
+from quillspan.catalog.text_queries import tokens_sql
 from quillspan.functions import budgets as B, labels as LB, lines as L, text as T
 from quillspan.operators import chunks as CH, inventory as IV, refresh as RF
 from quillspan.plans import index as IX
+from quillspan.session import scratch_path
 
 
 def copied_chunks(d) -> str:
@@ -100,6 +102,58 @@ query("refresh_chunks", "path:s, chunk_index:b, text:s", _STATUS.replace("--fina
     lambda spark, sf: _refreshed(spark, sf))
 
 
+def single_chunk_sql(rows: str) -> str:
+    """CTE ``ck``: the rows with a text of one line that make a chunk, which is the cleaned line."""
+    return f"""cl AS (SELECT *, {X.normalize_block(X.clean('text'))} AS body FROM ({rows}) WHERE text IS NOT NULL),
+    ck AS (SELECT *, sha1(simple) AS fp FROM (SELECT *, {X.simplified('body')} AS simple FROM cl) WHERE body <> '' AND {X.keep_chunk('body', 'simple')})"""
+
+
+def _states(d) -> str:
+    """Message lines as files in two states of a folder: unchanged, touched, changed, new and removed ones."""
+    lines = d.unnest(f"{d.table('conversations')}", d.split("text", "chr(10)"), "conv_id, turn")
+    return (
+        f"SELECT path, file_name, kind, CASE WHEN kind = 3 THEN 'once ' || item ELSE item END AS old_text, item AS now_text, stamp AS old_ms, "
+        f"CASE WHEN kind IN (2, 3) THEN stamp + 500 ELSE stamp END AS now_ms FROM (SELECT (conv_id * 8 + turn * 3 + pos) % 5 AS kind, item, "
+        f"'chat/' || {d.text('conv_id')} || '-' || {d.text('turn')} || '/' || {d.text('pos')} || '.txt' AS path, {d.text('pos')} || '.txt' AS file_name, "
+        f"1000 + turn AS stamp FROM ({lines}) AS l) AS s"
+    )
+
+
+def _state_files(states, side: str):
+    text = T.clean_text(F.col(f"{side}_text"))
+    return states.select(
+        "path", "file_name", F.length(text).cast("long").alias("size_bytes"), F.col(f"{side}_ms").cast("long").alias("modified_ms"),
+        F.lit("direct").alias("extractor"), text.alias("text"))
+
+
+def _refresh_store(spark, sf_dir):
+    """A store of the first state brought to the second: (store, status)."""
+    from quillspan.plans.store import ChunkStore
+
+    states = D.frame(spark, sf_dir, _states)
+    store = ChunkStore.create(spark, scratch_path(spark, "refresh-store"), 8)
+    store.refresh(_state_files(states.where("kind <> 1"), "old"))
+    return store, store.refresh(_state_files(states.where("kind <> 4"), "now"))
+
+
+_REFRESH = f"""
+    WITH st AS (SELECT *, CASE kind WHEN 0 THEN 'unchanged' WHEN 1 THEN 'new' WHEN 2 THEN 'touched' WHEN 3 THEN 'changed' ELSE 'removed' END AS status
+        FROM ({_states(D.Duck())})),
+    {single_chunk_sql("SELECT path, status, now_ms, now_text AS text FROM st WHERE kind <> 4")}
+    --final
+"""
+
+query("refresh_index", "path:s, status:s, chunk_index:b, modified_ms:b, fingerprint:s", _REFRESH + """
+    SELECT st.path, st.status, CASE WHEN ck.path IS NOT NULL THEN 0 END AS chunk_index, ck.now_ms AS modified_ms, ck.fp AS fingerprint
+    FROM st LEFT JOIN ck ON st.path = ck.path""")(
+    lambda spark, sf: (lambda store, status: status.join(store.chunks().drop("version", "bucket"), "path", "left"))(*_refresh_store(spark, sf)))
+
+query("refresh_index_sources", "path:s, modified_ms:b, char_count:b, chunk_count:b", _REFRESH + f"""
+    SELECT st.path, st.now_ms AS modified_ms, length({X.clean('now_text')}) AS char_count, CASE WHEN ck.path IS NULL THEN 0 ELSE 1 END AS chunk_count
+    FROM st LEFT JOIN ck ON st.path = ck.path WHERE kind <> 4""")(
+    lambda spark, sf: _refresh_store(spark, sf)[0].sources())
+
+
 def _refreshed(spark, sf_dir):
     status = _status(spark, sf_dir)
     chunks = D.frame(spark, sf_dir, D.line_chunks)
@@ -130,8 +184,20 @@ query("index_corpus_chunks", "path:s, chunk_index:b, source_role:s, fingerprint:
 query("index_corpus_sources", "path:s, chunk_count:b, candidates:b, filtered:b, duplicates:b, chunking_profile:s, zero_chunk_reason:s")(
     lambda spark, sf: _index(spark, sf).sources)
 
-query("batch_texts", "source:s, doc_id:b, batch_no:b")(
-    lambda spark, sf: CH.batch_texts(D.frame(spark, sf, D.documents).withColumn("text", T.clip_for_embedding(F.col("text"))), "source", "doc_id"))
+_BATCHES = f"""
+    WITH RECURSIVE m AS (SELECT role, conv_id * 1000 + turn AS item_no, length(text) AS chars, {tokens_sql('text')} AS tokens,
+        row_number() OVER (PARTITION BY role ORDER BY conv_id * 1000 + turn) AS n FROM (SELECT * FROM conversations)),
+    b AS (SELECT role, item_no, n, 1 AS cnt, chars AS c, tokens AS t, 0 AS batch_no FROM m WHERE n = 1 UNION ALL
+        SELECT role, item_no, n, CASE WHEN fits THEN cnt + 1 ELSE 1 END, CASE WHEN fits THEN c + 1 + chars ELSE chars END,
+            CASE WHEN fits THEN t + 4 + tokens ELSE tokens END, CASE WHEN fits THEN batch_no ELSE batch_no + 1 END
+        FROM (SELECT m.role, m.item_no, m.n, chars, tokens, cnt, c, t, batch_no, cnt < 4 AND c + 1 + chars <= 1800 AND t + 4 + tokens <= 520 AS fits
+            FROM b JOIN m ON m.role = b.role AND m.n = b.n + 1))
+    --final
+    SELECT role, item_no, batch_no FROM b"""
+
+query("batch_texts", "role:s, item_no:b, batch_no:b", _BATCHES)(
+    lambda spark, sf: CH.batch_texts(spark.read.parquet(f"{sf}/conversations.parquet").withColumn(
+        "item_no", F.col("conv_id") * 1000 + F.col("turn")), "role", "item_no", slice_rows=64))
 
 query("chunk_preview", "path:s, chunk_index:b, char_count:b, word_count:b, preview:s", f"""
     SELECT path, chunk_index, char_count, word_count, {X.preview('t', 900)} AS preview FROM (SELECT path, chunk_index, length(text) AS char_count, {X.words('text')} AS word_count,
@@ -190,11 +256,18 @@ query("visible_ancestors", "collection_id:s, group_id:s, visible_files:b, total_
     SELECT collection_id, group_id, count(*) FILTER (WHERE {_VISIBLE}) AS visible_files, count(*) AS total_files FROM inv GROUP BY collection_id, group_id
     HAVING count(*) FILTER (WHERE {_VISIBLE}) > 0""")(lambda spark, sf: IV.visible_ancestors(_filtered(spark, sf)))
 
-query("source_order", "path:s, collection_label:s, group_label:s", INVENTORY_SQL + "SELECT path, collection_label, group_label FROM inv")(
+query("source_order", "path:s, collection_label:s, group_label:s, place:b", INVENTORY_SQL + """
+    SELECT path, collection_label, group_label, row_number() OVER (ORDER BY lower(collection_label), lower(group_label), lower(relative_path),
+    lower(file_name), path) - 1 AS place FROM inv""")(
     lambda spark, sf: IV.source_order(inventory_sources(spark, sf)))
 
-query("sort_inventory", "path:s, file_name:s", INVENTORY_SQL + "SELECT path, file_name FROM inv")(
-    lambda spark, sf: IV.sort_inventory(inventory_sources(spark, sf)))
+query("sort_inventory", "path:s, place:b, by_type:b", INVENTORY_SQL.replace("--final", f""",
+    ty AS (SELECT path, {TYPE_SQL} AS source_type FROM ({D.sql(D.files)}))
+    --final""") + """
+    SELECT inv.path, row_number() OVER (ORDER BY file_name, inv.path) - 1 AS place, row_number() OVER (ORDER BY source_type, inv.path) - 1 AS by_type
+    FROM inv JOIN ty ON inv.path = ty.path""")(
+    lambda spark, sf: (lambda rows: IV.sort_inventory(rows).join(IV.sort_inventory(rows, "type").select(
+        "path", F.col("place").alias("by_type")), "path"))(inventory_sources(spark, sf)))
 
 
 def _selection(spark, sf_dir):

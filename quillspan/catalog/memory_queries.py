@@ -94,7 +94,8 @@ query("edit_memories", "id:s, key:s, value:s, pinned:o, updated_at:s, created_at
         D.frame(spark, sf, D.memories), D.frame(spark, sf, D.memories).filter("seq % 2 = 0").select(
             "id", F.when(F.col("seq") % 3 == 0, "  ").otherwise(F.concat(F.lit(" new  "), "key")).alias("value"), F.lit(True).alias("pinned")), "2025"))
 
-query("order_memories", "id:s, pinned:o, updated_at:s", f"SELECT id, pinned, updated_at FROM ({MEM})")(
+query("order_memories", "id:s, pinned:o, updated_at:s, place:b", f"""
+    SELECT id, pinned, updated_at, row_number() OVER (ORDER BY pinned DESC, updated_at DESC, id) - 1 AS place FROM ({MEM})""")(
     lambda spark, sf: M.order_memories(D.frame(spark, sf, D.memories)))
 
 _QUERIES = D.sql(D.queries)
@@ -129,11 +130,15 @@ query("memory_context", "query_id:b, memory_context:s", _RANKED + """
     FROM fin WHERE rank <= 6 GROUP BY query_id""")(
     lambda spark, sf: M.memory_context(M.relevant_memories(D.frame(spark, sf, D.memories), D.frame(spark, sf, D.queries))))
 
-query("memory_description", "id:s, about:s", f"""
-    SELECT id, 'Stored as a ' || category || ' memory' || CASE WHEN {X.trimmed('key')} = '' THEN '' ELSE ' under key ''' || {X.trimmed('key')} || '''' END
+_ABOUT = f"""SELECT *, 'Stored as a ' || category || ' memory' || CASE WHEN {X.trimmed('key')} = '' THEN '' ELSE ' under key ''' || {X.trimmed('key')} || '''' END
     || ' for reuse when later prompts match this topic.' || CASE WHEN pv = '' THEN '' ELSE ' Value preview: ' || pv END AS about
-    FROM (SELECT *, {X.compact('sv', 96)} AS pv FROM (SELECT *, {X.simplified('value')} AS sv FROM ({MEM})))""")(
+    FROM (SELECT *, {X.compact('sv', 96)} AS pv FROM (SELECT *, {X.simplified('value')} AS sv FROM ({MEM})))"""
+
+query("memory_description", "id:s, about:s", f"SELECT id, about FROM ({_ABOUT})")(
     lambda spark, sf: D.frame(spark, sf, D.memories).select(
         "id", LB.memory_description(F.col("category"), F.col("key"), F.col("value")).alias("about")))
 
-query("memory_cards", "id:s, card:s")(lambda spark, sf: M.memory_cards(D.frame(spark, sf, D.memories)))
+query("memory_cards", "id:s, card:s", f"""
+    SELECT id, CAST(to_json(struct_pack(id := id, category := category, key := key, value := value, updated_at := updated_at, created_at := created_at,
+    confidence := confidence::DOUBLE, pinned := pinned, description := about)) AS VARCHAR) AS card FROM ({_ABOUT})""")(
+    lambda spark, sf: M.memory_cards(D.frame(spark, sf, D.memories).withColumn("confidence", F.col("confidence").cast("double"))))

@@ -9,7 +9,7 @@ from quillspan.catalog import derived as D, duck as X
 from quillspan.catalog.registry import query
 from quillspan.catalog.search_queries import shaped_chunks
 from quillspan.catalog.text_queries import _LINE_SQL
-from quillspan.operators import blocks as BL, chunks as CH, outline as O
+from quillspan.operators import blocks as BL, chunks as CH, outline as O, segments as SG
 from quillspan.plans import study as ST
 
 _RULES = f"""{_LINE_SQL.split('--final')[0]},
@@ -139,9 +139,8 @@ query("merge_ranges", "path:s, start_pos:b, end_pos:b", f"""
 
 
 def _packed(spark, sf_dir):
-    docs = D.frame(spark, sf_dir, D.shaped)
-    lists = BL.semantic_blocks(docs).withColumn("source_type", F.lit("doc")).withColumn("size_bytes", F.lit(0))
-    return CH.explode_chunks(CH.pack_chunks(CH.with_profile(lists)), ["doc_id"])
+    docs = D.frame(spark, sf_dir, D.shaped).withColumn("source_type", F.lit("doc")).withColumn("size_bytes", F.lit(0))
+    return CH.explode_chunks(SG.chunk_texts(docs).drop("text"), ["doc_id"])
 
 
 query("pack_chunks", "doc_id:b, pos:b, text:s, kept:o")(_packed)

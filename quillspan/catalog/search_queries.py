@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillspan import constants as K
 from quillspan.catalog import derived as D, duck as X
 from quillspan.catalog.registry import query
-from quillspan.catalog.text_queries import EMBED_TOKENS_SQL, embed_tokens_sql
+from quillspan.catalog.text_queries import EMBED_TOKENS_SQL, embed_tokens_sql, excerpt_sql
 from quillspan.functions import scoring as S
 from quillspan.operators import embed as EM, sampling as SA, search as SE
 
@@ -42,10 +42,13 @@ query("term_hits", "query_id:b, path:s, chunk_index:b, lexical:d",
     lambda spark, sf: SE.lexical_pairs(D.frame(spark, sf, D.line_chunks), SE.prepare_queries(queries_frame(spark, sf))))
 
 
-def ranked_sql(weights: tuple, limit: int, semantic: str = "0::DOUBLE", neural: bool = False, roles: bool = True,
-               cap_floor: int = 0) -> str:
-    """CTEs ``sc`` (scored) and ``hit`` (ranked) after ``pair(query_id, path, chunk_index, lexical, semantic)``."""
-    liked = " + CASE WHEN pq.query_id % 2 = 0 AND source_role = 'procedure' THEN 0.28::DOUBLE ELSE 0::DOUBLE END" if roles else ""
+EVEN_QUERIES = "pq.query_id % 2 = 0 AND source_role = 'procedure'"
+
+
+def ranked_sql(weights: tuple, limit: int, roles: str = EVEN_QUERIES, cap_floor: int = 0) -> str:
+    """CTEs ``sc`` (scored) and ``hit`` (ranked) after ``pair(query_id, path, chunk_index, lexical, semantic)``; ``roles`` says
+    when a chunk's role is preferred."""
+    liked = f" + CASE WHEN {roles} THEN 0.28::DOUBLE ELSE 0::DOUBLE END"
     order = "round(rerank, 9) DESC, round(lexical, 9) DESC, round(semantic, 9) DESC, file_name, chunk_index, path"
     cap = "CASE WHEN intent IN ('document_generation', 'architecture') THEN 10 ELSE 6 END"
     cap = f"greatest({cap}, {cap_floor})" if cap_floor else cap
@@ -224,7 +227,14 @@ query("hit_blocks", "query_id:b, rank:b, line:s", LEXICAL_HITS.replace("--final"
         F.col("file_name"), F.col("source_role"), F.col("source_type"), F.col("chunk_index"), F.col("rerank"), F.col("chunk_text"),
         F.col("excerpt"), F.col("match_reason")).alias("line")))
 
-query("hit_display", "query_id:b, rank:b, block:s")(
+_TWO = "round(CAST(round({}, 6) AS DECIMAL(18, 6)), 2)"
+query("hit_display", "query_id:b, rank:b, block:s", LEXICAL_HITS.replace("--final", f""",
+    {excerpt_sql("SELECT query_id, rank, chunk_text AS text, terms FROM hit", "query_id, rank")}
+    --final""") + f"""
+    SELECT hit.query_id, hit.rank, 'File: ' || path || chr(10) || 'Role: ' || source_role || ' | Type: ' || source_type || chr(10) || 'Chunk: ' || chunk_index
+    || ' | Rerank: ' || {_TWO.format('rerank')} || ' | Lexical: ' || {_TWO.format('lexical')} || ' | Embedding: 0.00' || chr(10) || 'Reason: '
+    || CASE WHEN lexical >= 1.8 THEN 'strong lexical overlap' ELSE 'keyword overlap' END || ', role=' || source_role || chr(10) || 'Excerpt: ' || excerpt || chr(10) AS block
+    FROM hit JOIN exc ON hit.query_id = exc.query_id AND hit.rank = exc.rank""")(
     lambda spark, sf: _general_hits(spark, sf).select("query_id", "rank", S.hit_block(
         F.col("path"), F.col("source_role"), F.col("source_type"), F.col("chunk_index"), F.col("rerank"), F.col("lexical"), F.col("semantic"),
         F.col("match_reason"), F.col("excerpt")).alias("block")))

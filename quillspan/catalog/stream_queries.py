@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from quillspan import constants as K
 from quillspan.catalog import derived as D, duck as X
+from quillspan.catalog.ingest_queries import single_chunk_sql
+from quillspan.catalog.memory_queries import _EXTRACT as EXTRACT_SQL
 from quillspan.catalog.policy_queries import diagnostics
 from quillspan.catalog.registry import query
+from quillspan.functions import text as T
 from quillspan.session import scratch_path
 from quillspan.streaming import batch as BT
 
@@ -118,14 +121,17 @@ query("diagnostic_ring", "category:s, event_id:b", f"""
 
 
 def _streamed(spark, sf_dir: str, source, job, name: str) -> DataFrame:
-    """Run ``job`` over a file stream of the derived rows and read its Parquet result."""
+    """Run ``job`` over a file stream of the derived rows and read its Parquet result.
+
+    Rows are dealt out by a hash of all their columns, so the rows of a key lie in all files and micro-batches, out of order.
+    """
     from quillspan.streaming import jobs
 
     rows, out = scratch_path(spark, f"{name}-in"), scratch_path(spark, f"{name}-out")
     frame = source(spark, sf_dir)
-    frame.write.parquet(rows)
+    frame.repartition(6, F.xxhash64(*frame.columns)).write.parquet(rows)
     jobs.use_rocksdb(spark)
-    result = job(spark.readStream.schema(frame.schema).parquet(rows))
+    result = job(spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 2).parquet(rows))
     jobs.run_available(result, out, scratch_path(spark, f"{name}-checkpoint"))
     return spark.read.schema(result.schema).parquet(out)
 
@@ -163,25 +169,108 @@ def _joined_pieces(pieces: DataFrame) -> DataFrame:
     return pieces.groupBy("session_id").agg(text("visible", "").alias("visible"), text("hidden", "\n").alias("hidden"))
 
 
+def _numbered(key: str, *order: str):
+    """Place of a row in its key, from 0."""
+    from pyspark.sql import Window
+
+    return (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("long").alias("seq")
+
+
 query("stall_guard_stream", "session_id:s, seq:b, verdict:s", f"""
-    {_STALL}
+    {_STALL}, o AS (SELECT conv_id, pos, row_number() OVER (PARTITION BY conv_id ORDER BY pos) - 1 AS seq FROM ({notes(D.Duck())}))
     --final
-    SELECT CAST(conv_id AS VARCHAR) AS session_id, pos AS seq, {_STALL_VERDICT} AS verdict FROM d""")(
+    SELECT CAST(d.conv_id AS VARCHAR) AS session_id, seq, {_STALL_VERDICT} AS verdict FROM d JOIN o ON d.conv_id = o.conv_id AND d.pos = o.pos""")(
     lambda spark, sf: _streamed(spark, sf, lambda s, d: D.frame(s, d, notes).select(
-        F.col("conv_id").cast("string").alias("session_id"), F.col("pos").cast("long").alias("seq"), F.col("text").alias("note"),
+        F.col("conv_id").cast("string").alias("session_id"), _numbered("conv_id", "pos"), F.col("text").alias("note"),
         F.col("elapsed").cast("long").alias("elapsed_ms")), _jobs().stall_guard, "stall"))
 
+_THOUGHTS = f"""
+    WITH RECURSIVE p AS (SELECT conv_id || '-' || turn AS session_id, n AS seq, substr(text, n * 11 + 1, 11) AS delta, n = last AS done
+        FROM (SELECT conv_id, turn, text, (length(text) - 1) // 11 AS last, unnest(range(0, (length(text) - 1) // 11 + 1)) AS n FROM conversations)),
+    r AS (SELECT session_id, -1::BIGINT AS seq, '' AS kept, '' AS text FROM p WHERE seq = 0 UNION ALL
+        SELECT session_id, seq, CASE WHEN full_ THEN '' ELSE t END AS kept, CASE WHEN full_ THEN t ELSE '' END AS text FROM (
+        SELECT p.session_id, p.seq, r.kept || delta AS t, done OR length(r.kept || delta) >= 140 OR contains(r.kept || delta, chr(10))
+            OR right(delta, 1) IN ('.', ':') AS full_ FROM r JOIN p ON p.session_id = r.session_id AND p.seq = r.seq + 1))
+    --final
+    SELECT session_id, seq, text FROM r WHERE text <> ''"""
+
+
+def _thoughts(spark, sf_dir: str) -> DataFrame:
+    """Messages as hidden text in pieces of eleven characters, apart from an empty answer."""
+    last = F.floor((F.length("text") - 1) / 11)
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").where(F.length("text") > 0)
+    return rows.select(_sessions(), F.explode(F.sequence(F.lit(0), last)).alias("seq"), "text", last.alias("last")).select(
+        "session_id", F.col("seq").cast("long").alias("seq"), F.lit("").alias("delta"), (F.col("seq") == F.col("last")).alias("done"),
+        F.substring("text", (F.col("seq") * 11 + 1).cast("int"), F.lit(11)).alias("thought"))
+
+
+query("coalesce_thoughts_stream", "session_id:s, seq:b, text:s", _THOUGHTS)(
+    lambda spark, sf: _streamed(spark, sf, _thoughts, _jobs().split_tagged_output, "thoughts"))
+
 query("throughput_ema_stream", "backend:s, ema:d", f"""
-    SELECT backend, list_reduce(list(x ORDER BY ts), lambda acc, x: {K.EMA_WEIGHT}::DOUBLE * x + {1 - K.EMA_WEIGHT}::DOUBLE * acc) AS ema
-    FROM (SELECT event_type AS backend, ts, value::DOUBLE AS x FROM events WHERE value > 0) GROUP BY backend""")(
-    lambda spark, sf: _streamed(spark, sf, lambda s, d: s.read.parquet(f"{d}/events.parquet").coalesce(1).select(
-        F.col("event_type").alias("backend"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("rate")), _jobs().throughput_ema, "ema"))
+    SELECT backend, list_reduce(list(x ORDER BY ts, event_id), lambda acc, x: {K.EMA_WEIGHT}::DOUBLE * x + {1 - K.EMA_WEIGHT}::DOUBLE * acc) AS ema
+    FROM (SELECT event_type || '-' || user_id AS backend, ts, event_id, value::DOUBLE AS x FROM events WHERE value > 0) GROUP BY backend""")(
+    lambda spark, sf: _streamed(spark, sf, lambda s, d: s.read.parquet(f"{d}/events.parquet").withColumn(
+        "backend", F.concat_ws("-", "event_type", F.col("user_id").cast("string"))).select(
+        "backend", _numbered("backend", "ts", "event_id"), F.col("value").cast("double").alias("rate")), _jobs().throughput_ema, "ema")
+    .groupBy("backend").agg(F.max_by("ema", "seq").alias("ema")))
+
+_BREAKER = f"""
+    WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, epoch_ms(ts) AS at,
+        event_type <> 'error' AS ok, event_id % 10 = 0 AS permanent FROM events),
+    r AS (SELECT user_id, -1::BIGINT AS seq, true AS allowed, 0::BIGINT AS failures, 0::BIGINT AS paused FROM e WHERE seq = 0 UNION ALL
+        SELECT e.user_id, e.seq, r.paused <= e.at, CASE WHEN r.paused > e.at THEN r.failures WHEN ok THEN 0 ELSE r.failures + 1 END,
+        CASE WHEN r.paused > e.at THEN r.paused WHEN ok THEN 0 WHEN permanent OR r.failures + 1 >= {K.FAILURES_BEFORE_PAUSE} THEN e.at + {K.FAILURE_PAUSE_MS} ELSE r.paused END
+        FROM r JOIN e ON e.user_id = r.user_id AND e.seq = r.seq + 1)
+    --final
+    SELECT user_id AS backend, seq, allowed, failures FROM r WHERE seq >= 0"""
 
-query("failure_breaker_stream", "backend:s, ts:s, allowed:o, failures:b")(
+query("failure_breaker_stream", "backend:s, seq:b, allowed:o, failures:b", _BREAKER)(
     lambda spark, sf: _streamed(spark, sf, lambda s, d: s.read.parquet(f"{d}/events.parquet").select(
-        F.col("user_id").cast("string").alias("backend"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") != "error").alias("ok"),
+        F.col("user_id").cast("string").alias("backend"), _numbered("user_id", "ts", "event_id"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), (F.col("event_type") != "error").alias("ok"),
         F.when(F.col("event_id") % 10 == 0, "model not found").otherwise("timeout").alias("message")), _jobs().failure_breaker, "breaker"))
 
+_HOUR = 3_600_000
+LIMITS = {"headers": 6 * _HOUR, "first_token": 8 * _HOUR, "inactivity": 12 * _HOUR, "total": 24 * _HOUR}
+_TIMEOUTS = f"""
+    WITH a AS (SELECT user_id, event_id, epoch_ms(ts) AS t_ms, event_type, max(epoch_ms(ts)) OVER () - 2 * {_HOUR} AS seen FROM events),
+    b AS (SELECT *, sum((event_type = 'signup')::INT) OVER w AS run, lead(t_ms) OVER w AS next_at FROM a WHERE t_ms <= seen WINDOW w AS (PARTITION BY user_id ORDER BY t_ms, event_id)),
+    c AS (SELECT *, CASE event_type WHEN 'signup' THEN 'headers' WHEN 'view' THEN 'first_token' ELSE 'inactivity' END AS phase FROM b WHERE run > 0),
+    d AS (SELECT *, t_ms + CASE phase {' '.join(f"WHEN '{p}' THEN {ms}" for p, ms in LIMITS.items())} END AS due FROM c),
+    e AS (SELECT user_id, run, min(t_ms) AS started, any_value(seen) AS seen, min(t_ms) FILTER (WHERE event_type = 'purchase') AS done,
+        min(due) FILTER (WHERE event_type <> 'purchase' AND due < least(coalesce(next_at, seen), seen)) AS silent,
+        arg_min(phase, due) FILTER (WHERE event_type <> 'purchase' AND due < least(coalesce(next_at, seen), seen)) AS phase FROM d GROUP BY user_id, run),
+    f AS (SELECT *, lead(started) OVER (PARTITION BY user_id ORDER BY run) AS restarted, started + {LIMITS['total']} AS late FROM e),
+    g AS (SELECT user_id, started, restarted, unnest([{{'t_ms': done, 'n': 0, 'what': 'done'}}, {{'t_ms': silent, 'n': 1, 'what': 'timeout:' || phase}},
+        {{'t_ms': CASE WHEN late < seen THEN late END, 'n': 2, 'what': 'timeout:total'}}]) AS x FROM f)
+    --final
+    SELECT user_id AS session_id, started, arg_min(x.t_ms, [x.t_ms, x.n]) AS ended, arg_min(x.what, [x.t_ms, x.n]) AS outcome FROM g
+    WHERE x.t_ms IS NOT NULL AND (restarted IS NULL OR x.t_ms < restarted) GROUP BY user_id, started"""
+
+
+def _timeouts(spark, sf_dir: str) -> DataFrame:
+    """Events of users as requests, in three parts by time but for half an hour's disorder across their borders."""
+    from quillspan.streaming import jobs
+
+    rows, out = scratch_path(spark, "timeouts-in"), scratch_path(spark, "timeouts-out")
+    ts = F.col("ts").cast("timestamp")
+    event = F.create_map(*(F.lit(x) for pair in (("signup", "start"), ("view", "headers"), ("purchase", "done")) for x in pair))[F.col("event_type")]
+    frame = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        F.col("user_id").alias("session_id"), ts.alias("ts"), F.coalesce(event, F.lit("token")).alias("event"),
+        F.floor((F.dayofmonth(ts + F.expr("make_dt_interval(0, 0, event_id % 30)")) - 1) / 11).alias("file"))
+    jobs.use_rocksdb(spark)
+    checkpoint, result = scratch_path(spark, "timeouts-checkpoint"), None
+    for number in range(3):  # a run for each part goes on where the run before it stopped
+        frame.where(F.col("file") == number).drop("file").write.mode("append").parquet(rows)
+        stream = spark.readStream.schema(frame.drop("file").schema).parquet(rows)
+        result = jobs.phase_timeouts(stream.withWatermark("ts", "2 hours"), LIMITS)
+        jobs.run_available(result, out, checkpoint)
+    return spark.read.schema(result.schema).parquet(out)
+
+
+query("phase_timeouts_stream", "session_id:b, started:b, ended:b, outcome:s", _TIMEOUTS)(_timeouts)
+
 
 def _auto_memories(spark, sf_dir: str) -> DataFrame:
     from quillspan.streaming import jobs
@@ -196,20 +285,40 @@ def _auto_memories(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{out}/v{last or 0}")
 
 
-query("auto_memory_stream", "key:s, category:s, value:s")(_auto_memories)
+query("auto_memory_stream", "key:s, category:s, value:s", EXTRACT_SQL + """
+    SELECT key, category, arg_max(value, f.conv_id * 1000 + f.turn) AS value FROM found f JOIN conversations c ON f.conv_id = c.conv_id AND f.turn = c.turn
+    WHERE role = 'user' GROUP BY key, category""")(_auto_memories)
 
 
-def _ingest(spark, sf_dir: str) -> DataFrame:
-    from quillspan.streaming import jobs
-
-    rows, out = scratch_path(spark, "ingest-in"), scratch_path(spark, "ingest-out")
-    D.frame(spark, sf_dir, D.files).select(
-        "path", "file_name", F.col("size_bytes").cast("long").alias("size_bytes"), F.col("modified_ms").cast("long").alias("modified_ms"),
-        F.lit("direct").alias("extractor"), "text").write.parquet(rows)
-    stream = spark.readStream.schema(
-        "path string, file_name string, size_bytes long, modified_ms long, extractor string, text string").parquet(rows)
-    jobs.incremental_ingest(stream, out, scratch_path(spark, "ingest-checkpoint"))
-    return spark.read.parquet(f"{out}/chunks")
+def spoken_lines(d) -> str:
+    """Lines of messages as files: a line of the same place in a later turn replaces that of an earlier one; the last turn of
+    every seventh conversation removes its files."""
+    lines = d.unnest(f"{d.table('conversations')}", d.split("text", "chr(10)"), "conv_id, turn")
+    return (
+        f"SELECT conv_id, turn, 'chat/' || {d.text('conv_id')} || '/' || {d.text('pos')} || '.txt' AS path, {d.text('pos')} || '.txt' AS file_name, "
+        f"turn * 1000 AS modified_ms, CASE WHEN conv_id % 7 = 0 AND turn = max(turn) OVER (PARTITION BY conv_id) THEN NULL ELSE item END AS text "
+        f"FROM ({lines}) AS l"
+    )
 
 
-query("incremental_ingest", "path:s, chunk_index:b, text:s")(_ingest)
+def _ingest(spark, sf_dir: str) -> DataFrame:
+    """All turns as a file stream in several micro-batches, in no order; the live chunks at its end."""
+    from quillspan.plans.store import ChunkStore, replacing_ingest
+
+    rows = scratch_path(spark, "ingest-in")
+    frame = D.frame(spark, sf_dir, spoken_lines).select(
+        "path", "file_name", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("size_bytes"),
+        F.col("modified_ms").cast("long").alias("modified_ms"), F.lit("direct").alias("extractor"), T.clean_text(F.col("text")).alias("text"))
+    frame.repartition(3, F.xxhash64("path", "modified_ms")).write.parquet(rows)
+    store = ChunkStore.create(spark, scratch_path(spark, "ingest-store"), 8)
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(rows)
+    replacing_ingest(stream, store, scratch_path(spark, "ingest-checkpoint"))
+    return store.chunks()
+
+
+query("incremental_ingest", "path:s, chunk_index:b, modified_ms:b, fingerprint:s, text:s", f"""
+    WITH s AS ({spoken_lines(D.Duck())}),
+    n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY modified_ms DESC) AS age FROM s) WHERE age = 1),
+    {single_chunk_sql('SELECT * FROM n')}
+    --final
+    SELECT path, 0 AS chunk_index, modified_ms, fp AS fingerprint, body AS text FROM ck""")(_ingest)

@@ -54,13 +54,20 @@ query("sanitize_for_embedding", "doc_id:b, t:s", f"""
     FROM ({D.sql(D.dirty)})""")(_over(D.dirty, lambda C: dict(t=T.sanitize_for_embedding(C))))
 
 _OTHER = r"[\p{L}\p{N}" + X._WS + r"{}\[\]()<>:=/\\|@#%&*_+\-;,.!?" + '"]'
-query("estimate_tokens", "doc_id:b, tokens:b", f"""
-    SELECT doc_id, CASE WHEN {X.trimmed('text')} = '' THEN 0 ELSE greatest(1, CAST(ceil((a + runs + 3 * nl + sp + 4 * dense
-        + 2 * other) / 4.0) AS BIGINT)) END AS tokens
-    FROM (SELECT doc_id, text, {X.alnum('text')} AS a, {X.words('text')} AS runs, {X.count_of('text', chr(10))} AS nl,
-          {X.count_re('text', '[' + X._WS + ']')} - {X.count_of('text', chr(10))} AS sp,
-          {X.count_re('text', r'[{}\[\]()<>:=/\\|@#%&*_+\-;,.!?"]')} AS dense,
-          length({X.re_all('text', _OTHER, '')}) AS other FROM ({D.sql(D.shaped)}))""")(
+
+
+def tokens_sql(x: str) -> str:
+    """Token estimate of a text."""
+    runs, nl = X.words(x), X.count_of(x, chr(10))
+    dense = X.count_re(x, r'[{}\[\]()<>:=/\\|@#%&*_+\-;,.!?"]')
+    space = f"{X.count_re(x, '[' + X._WS + ']')} - {nl}"
+    return (
+        f"CASE WHEN {X.trimmed(x)} = '' THEN 0 ELSE greatest(1, CAST(ceil(({X.alnum(x)} + {runs} + 3 * ({nl}) + {space} + 4 * {dense} "
+        f"+ 2 * length({X.re_all(x, _OTHER, '')})) / 4.0) AS BIGINT)) END"
+    )
+
+
+query("estimate_tokens", "doc_id:b, tokens:b", f"SELECT doc_id, {tokens_sql('text')} AS tokens FROM ({D.sql(D.shaped)})")(
     _over(D.shaped, lambda C: dict(tokens=T.estimate_tokens(C))))
 
 query("clip_for_embedding", "doc_id:b, clipped:s")(_over(D.shaped, lambda C: dict(clipped=T.clip_for_embedding(C))))
@@ -124,12 +131,18 @@ query("trim_for_budget", "doc_id:b, t:s, tiny:s", f"""
     FROM (SELECT doc_id, {X.trimmed('text')} AS t FROM documents)""")(
     _over(D.documents, lambda C: dict(t=T.trim_for_budget(C, 900), tiny=T.trim_for_budget(C, 40))))
 
-_USABLE = 900 - len(K.RETRY_TRIM_MARKER)
-_HEAD = _USABLE * 11 // 20
+
+
+def retry_sql(x: str, limit: int) -> str:
+    """A trimmed text cut for a retry, ``limit`` characters at most."""
+    usable = limit - len(K.RETRY_TRIM_MARKER)
+    head = usable * 11 // 20
+    joined = f"{X.trimmed(f'left({x}, {head})')} || '{K.RETRY_TRIM_MARKER}' || {X.trimmed(f'right({x}, {usable - head})')}"
+    return f"CASE WHEN length({x}) <= {limit} THEN {x} ELSE {X.trimmed(f'left({joined}, {limit})')} END"
+
+
 query("compact_for_retry", "doc_id:b, t:s", f"""
-    SELECT doc_id, CASE WHEN length(t) <= 900 THEN t ELSE {X.trimmed(
-        f"left({X.trimmed(f'left(t, {_HEAD})')} || '{K.RETRY_TRIM_MARKER}' || {X.trimmed(f'right(t, {_USABLE - _HEAD})')}, 900)")} END AS t
-    FROM (SELECT doc_id, {X.trimmed('text')} AS t FROM documents)""")(
+    SELECT doc_id, {retry_sql('t', 900)} AS t FROM (SELECT doc_id, {X.trimmed('text')} AS t FROM documents)""")(
     _over(D.documents, lambda C: dict(t=T.compact_for_retry(C, 900))))
 
 query("dedup_key", "conv_id:b, turn:b, k:s", f"SELECT conv_id, turn, {X.dedup_key('text')} AS k FROM ({D.sql(D.tagged)})")(
@@ -262,17 +275,22 @@ def _window_sql(anchor: str, before: int, after: int) -> str:
     return X.trimmed(f"substr(norm, ({s}) + 1, greatest(0, ({e}) - ({s})))")
 
 
-query("excerpt", "doc_id:b, excerpt:s", f"""
-    WITH j AS (SELECT doc_id, {X.normalize_block('d.text')} AS norm,
-        terms
-        FROM ({D.sql(D.shaped)}) d JOIN (SELECT item_id, {X.ordered_distinct(X.query_terms('text'))} AS terms FROM benchmark) b
-        ON d.doc_id % (SELECT max(item_id) + 1 FROM benchmark) = b.item_id),
-    p AS (SELECT doc_id, norm, {_POS} AS pos FROM (SELECT *, lower(norm) AS low FROM j)),
-    m AS (SELECT doc_id, norm, pos, list_min(pos) AS lo, list_max(pos) AS hi FROM p),
-    w AS (SELECT doc_id, norm, pos, lo, hi, {_window_sql('lo', 140, 420)} AS head, {_window_sql('hi', 110, 260)} AS tail FROM m),
-    b AS (SELECT doc_id, norm, pos, {X.normalize_block(f"CASE WHEN len(pos) >= 2 AND hi - lo > 280 AND tail <> '' AND tail <> head THEN head || '{K.EXCERPT_LATER_MARKER}' || tail ELSE head END")} AS ex FROM w)
-    --final
-    SELECT doc_id, CASE WHEN norm = '' THEN '' WHEN len(pos) = 0 THEN {X.preview('norm', 520)} ELSE {X.preview('ex', 720)} END AS excerpt FROM b""")(
+def excerpt_sql(rows: str, keys: str) -> str:
+    """CTEs up to ``exc(keys, excerpt)`` of ``rows`` (keys, text, terms)."""
+    later = f"head || '{K.EXCERPT_LATER_MARKER}' || tail"
+    body = X.normalize_block(f"CASE WHEN len(pos) >= 2 AND hi - lo > 280 AND tail <> '' AND tail <> head THEN {later} ELSE head END")
+    return f"""exj AS (SELECT {keys}, {X.normalize_block('text')} AS norm, terms FROM ({rows})),
+    exp_ AS (SELECT {keys}, norm, {_POS} AS pos FROM (SELECT *, lower(norm) AS low FROM exj)),
+    exm AS (SELECT {keys}, norm, pos, list_min(pos) AS lo, list_max(pos) AS hi FROM exp_),
+    exw AS (SELECT {keys}, norm, pos, lo, hi, {_window_sql('lo', 140, 420)} AS head, {_window_sql('hi', 110, 260)} AS tail FROM exm),
+    exb AS (SELECT {keys}, norm, pos, {body} AS ex FROM exw),
+    exc AS (SELECT {keys}, CASE WHEN norm = '' THEN '' WHEN len(pos) = 0 THEN {X.preview('norm', 520)} ELSE {X.preview('ex', 720)} END AS excerpt FROM exb)"""
+
+
+_EXCERPT_ROWS = f"""SELECT doc_id, d.text, terms FROM ({D.sql(D.shaped)}) d JOIN (SELECT item_id, {X.ordered_distinct(X.query_terms('text'))} AS terms FROM benchmark) b
+        ON d.doc_id % (SELECT max(item_id) + 1 FROM benchmark) = b.item_id"""
+
+query("excerpt", "doc_id:b, excerpt:s", f"WITH {excerpt_sql(_EXCERPT_ROWS, 'doc_id')}\n--final\nSELECT doc_id, excerpt FROM exc")(
     lambda spark, sf: _excerpts(spark, sf))
 
 

@@ -52,10 +52,10 @@ query("allowed_domain", "page_id:b, url:s", f"SELECT page_id, url FROM (SELECT p
     lambda spark, sf: W.allowed_domain(_pages(spark, sf).select("page_id", "url"), DOMAINS))
 
 query("first_external_hits", "domain:s, hit_no:b, request_id:b, ord:b", _HIT + """
-    SELECT domain, hit_no, request_id, ord FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY request_id * 10 + ord) AS hit_no FROM hit)
+    SELECT domain, hit_no, request_id, ord FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY request_id, ord) AS hit_no FROM hit)
     WHERE hit_no <= 2""")(
     lambda spark, sf: W.first_hits(
-        R.parse_search_payload(_payloads(spark, sf)).withColumn("seq", F.col("request_id") * 10 + F.col("ord")), 2, "domain", "seq"))
+        R.parse_search_payload(_payloads(spark, sf)).withColumn("seq", F.struct("request_id", "ord")), 2, "domain", "seq"))
 
 query("external_context", "request_id:b, external_context:s", _HIT + f"""
     SELECT request_id, '{K.ENVELOPE_MARKERS[0]}' || chr(10) || string_agg('[' || CASE WHEN domain = '' THEN 'web' ELSE domain END || '] ' || title || ' -- ' || snippet,

@@ -91,6 +91,8 @@ SEARCH_WEIGHTS = {  # lexical weight, semantic weight, threshold
     True: (0.85, 1.55, 0.92),
     False: (0.98, 0.28, 1.00),
 }
+#: Blocks from which a file counts as very large.
+MANY_BLOCKS = 450
 FILE_CAP, WIDE_FILE_CAP = 6, 10
 WIDE_INTENTS = ("document_generation", "architecture")
 MIN_SEMANTIC = 0.38

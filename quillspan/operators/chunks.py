@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quillspan.functions import budgets as B, lines as L, text as T
+from quillspan.operators.frames import empty
+from quillspan.operators.positions import number_rows
 
 CHUNK_TYPE = "array<struct<text:string,embedding:array<float>>>"
 
@@ -111,9 +113,15 @@ def share_embeddings(chunks: DataFrame, indexed: DataFrame) -> DataFrame:
 
 
 def refresh_chunks(indexed: DataFrame, statuses: DataFrame, rebuilt: DataFrame, key: str = "path") -> DataFrame:
-    """Keep chunks of unchanged or touched files, take rebuilt ones for the rest."""
-    kept = statuses.filter(F.col("status").isin("unchanged", "touched")).select(key)
-    return indexed.join(kept, key, "left_semi").unionByName(rebuilt, allowMissingColumns=True)
+    """Keep chunks of unchanged or touched files, take rebuilt ones for the rest.
+
+    With ``now_ms`` in ``statuses`` the chunks of touched files get it as their time.
+    """
+    kept = statuses.filter(F.col("status").isin("unchanged", "touched"))
+    if "now_ms" not in statuses.columns:
+        return indexed.join(kept.select(key), key, "left_semi").unionByName(rebuilt, allowMissingColumns=True)
+    stamped = indexed.join(kept.select(key, "now_ms"), key).withColumn("modified_ms", F.coalesce("now_ms", "modified_ms"))
+    return stamped.drop("now_ms").unionByName(rebuilt, allowMissingColumns=True)
 
 
 def preview_chunks(chunks: DataFrame, key: str = "path", order: str = "chunk_index") -> DataFrame:
@@ -129,38 +137,76 @@ def preview_chunks(chunks: DataFrame, key: str = "path", order: str = "chunk_ind
     )
 
 
-def batch_texts(texts: DataFrame, group: str, order: str, text: str = "text", size: int = 4,
-                chars: int = 1800, tokens: int = 520, salt_rows: int = 4096) -> DataFrame:
-    """Adds ``batch_no`` within (group, slice): batches of at most ``size`` texts and the two budgets.
+def _runs(sizes: list[tuple[int, int]], taken: int, size: int, chars: int, tokens: int):
+    """For each text whether it starts a batch, when the open batch holds the ``taken`` texts before the first of them.
 
-    Slices are runs of ``salt_rows`` rows of the order column's numeric value, so a
-    hot group is packed by many tasks; a batch never crosses a slice border.
+    ``sizes`` are (characters, tokens) of those ``taken`` texts and of the texts themselves.
     """
-    sized = texts.withColumn("slice", F.floor(F.col(order) / salt_rows)).withColumn(
-        "item", F.struct(F.col(order).alias("ord"), F.length(text).alias("chars"),
-                         T.estimate_tokens(F.col(text)).alias("tokens"))
-    )
+    count = used_chars = used_tokens = 0
+    for place, (text_chars, text_tokens) in enumerate(sizes):
+        more_chars, more_tokens = used_chars + (count > 0) + text_chars, used_tokens + 4 * (count > 0) + text_tokens
+        fits = count and (place < taken or count < size and more_chars <= chars and more_tokens <= tokens)
+        if not fits:
+            count, more_chars, more_tokens = 0, text_chars, text_tokens
+        count, used_chars, used_tokens = count + 1, more_chars, more_tokens
+        if place >= taken:
+            yield not fits, count
 
-    @F.pandas_udf("array<struct<ord:long,batch_no:int>>")
-    def assign(items: pd.Series) -> pd.Series:
-        out = []
-        for rows in items:
-            batch = count = used_chars = used_tokens = 0
-            plan = []
-            for row in sorted(rows, key=lambda r: r["ord"]):
-                next_chars = used_chars + (1 if count else 0) + row["chars"]
-                next_tokens = used_tokens + (4 if count else 0) + row["tokens"]
-                if count and (count >= size or next_chars > chars or next_tokens > tokens):
-                    batch, count = batch + 1, 0
-                    next_chars, next_tokens = row["chars"], row["tokens"]
-                count, used_chars, used_tokens = count + 1, next_chars, next_tokens
-                plan.append({"ord": row["ord"], "batch_no": batch})
-            out.append(plan)
-        return pd.Series(out)
 
-    planned = (
-        sized.groupBy(group, "slice").agg(F.collect_list("item").alias("items"))
-        .select(group, "slice", F.explode(assign.asNondeterministic()("items")).alias("p"))
-        .select(group, "slice", F.col("p.ord").alias(order), F.col("p.batch_no").alias("batch_no"))
-    )
-    return sized.drop("item").join(planned, [group, "slice", order])
+def batch_texts(texts: DataFrame, group: str, order: str, text: str = "text", size: int = 4,
+                chars: int = 1800, tokens: int = 520, slice_rows: int = 4096) -> DataFrame:
+    """Adds ``batch_no`` within the group: batches of at most ``size`` texts and the two budgets, in order.
+
+    Whether a text starts a batch depends on the text before it, so batches are made in three steps.  A slice of rows says
+    for every number of texts that the open batch may bring along what it hands on; slices chain by these functions; then
+    each slice is cut with what it really receives.  So a hot group is cut by many tasks, with the batches of one pass.
+    (group, order) is unique.
+    """
+    whole = F.struct(F.col(group).alias("g"))
+    sized = texts.select(whole.alias("whole"), F.col(order).alias("ord"), F.length(text).alias("chars"), T.estimate_tokens(F.col(text)).alias("tokens"))
+    sized = sized.select(F.to_json("whole", {"ignoreNullFields": "false"}).alias("grp"), "ord", "chars", "tokens")
+    rows = number_rows(sized, ["grp"], [F.col("ord")])
+    here = F.floor(F.col("place") / slice_rows)
+    handed = F.col("place") % slice_rows >= slice_rows - (size - 1)  # the next slice may find these in its open batch
+    rows = rows.withColumn("slice", F.explode(F.when(handed, F.array(here, here + 1)).otherwise(F.array(here))))
+    rows = rows.withColumn("before", F.col("slice") > here)
+
+    def parts(frame: pd.DataFrame) -> tuple[list, list, pd.DataFrame]:
+        frame = frame.sort_values("place")
+        sizes = list(zip(frame["chars"].tolist(), frame["tokens"].tolist()))
+        split = int(frame["before"].sum())
+        return sizes[:split], sizes[split:], frame[~frame["before"]]
+
+    def ways(frame: pd.DataFrame) -> pd.DataFrame:
+        before, own, _ = parts(frame)
+        out = []
+        for taken in range(len(before) + 1 if own else 0):
+            steps = list(_runs(before[len(before) - taken:] + own, taken, size, chars, tokens))
+            out.append((taken, steps[-1][1] % size, sum(fresh for fresh, _ in steps)))
+        if not out:
+            return empty(["grp", "slice", "taken", "given", "batches"])
+        return pd.DataFrame(out, columns=["taken", "given", "batches"]).assign(grp=frame["grp"].iloc[0], slice=frame["slice"].iloc[0])
+
+    def chained(frame: pd.DataFrame) -> pd.DataFrame:
+        table = {(s, t): (given, n) for s, t, given, n in zip(frame["slice"], frame["taken"], frame["given"], frame["batches"])}
+        out, taken, first = [], 0, 0
+        for number in range(int(frame["slice"].max()) + 1):
+            out.append((frame["grp"].iloc[0], number, taken, first))
+            taken, made = table[(number, taken)]
+            first += made
+        return pd.DataFrame(out, columns=["grp", "slice", "taken", "first"])
+
+    def cut(frame: pd.DataFrame) -> pd.DataFrame:
+        before, own, rows_here = parts(frame)
+        taken, first = int(frame["taken"].iloc[0]), int(frame["first"].iloc[0])
+        if not own:
+            return empty(["grp", "ord", "batch_no"])
+        fresh = [f for f, _ in _runs(before[len(before) - taken:] + own, taken, size, chars, tokens)]
+        return pd.DataFrame({"grp": rows_here["grp"].astype(object), "ord": rows_here["ord"], "batch_no": first - 1 + pd.Series(fresh, dtype="int64").cumsum().to_numpy()})
+
+    kind = dict(rows.dtypes)["ord"]
+    steps = rows.groupBy("grp", "slice").applyInPandas(ways, "grp string, slice bigint, taken int, given int, batches bigint")
+    starts = steps.groupBy("grp").applyInPandas(chained, "grp string, slice bigint, taken int, first bigint")
+    planned = rows.join(starts, ["grp", "slice"]).groupBy("grp", "slice").applyInPandas(cut, f"grp string, ord {kind}, batch_no bigint")
+    named = F.to_json(F.struct(texts[group].alias("g")), {"ignoreNullFields": "false"})
+    return texts.join(planned, (named == planned["grp"]) & (texts[order] == planned["ord"])).drop("grp").drop(planned["ord"])

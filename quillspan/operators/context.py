@@ -43,6 +43,11 @@ def deduplicated_sections(docs: DataFrame, keep: int = 1, key: str = "doc_id", t
     return docs.select(key).join(joined, key, "left").withColumn("section", F.coalesce("section", F.lit("")))
 
 
+def retry_sections(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, section): each section with every paragraph once, then its head and tail within ``limit`` characters."""
+    return deduplicated_sections(docs, 1, key, text).withColumn("section", T.compact_for_retry(F.col("section"), limit))
+
+
 def overlapping_history(history: DataFrame, prompts: DataFrame, request: str = "request_id") -> DataFrame:
     """(request, turn): history messages that substantially repeat their request's prompt.
 

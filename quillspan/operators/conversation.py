@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillspan import constants as K
 from quillspan.functions import labels as LB, text as T
+from quillspan.operators.positions import number_rows
 
 CONV = "conv_id"
 
@@ -66,7 +71,8 @@ def delete_conversations(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def order_conversations(index: DataFrame) -> DataFrame:
-    return index.orderBy(F.desc("updated_at"), CONV)
+    """``index`` with ``place``, from 0: the latest first."""
+    return number_rows(index, [], [F.desc("updated_at"), F.col(CONV)])
 
 
 def recent_messages(messages: DataFrame, n: int = K.MAX_HISTORY_TURNS) -> DataFrame:
@@ -96,10 +102,11 @@ def refused_questions(messages: DataFrame) -> DataFrame:
 
 
 def transcripts(messages: DataFrame, part_turns: int = 4096) -> DataFrame:
-    """(conv_id, part_no, transcript): role-marked blocks in turn order.
+    """(conv_id, part_no, start, transcript): role-marked blocks in turn order.
 
     A part holds at most ``part_turns`` turns, so a conversation of any length is
-    assembled by many tasks; joining the parts by newline gives the whole text.
+    assembled by many tasks; joining the parts by newline gives the whole text, in
+    which ``start`` is the place of the first character of the part.
     """
     block = (
         F.when(F.col("role") == "user", F.concat(F.lit("USER> "), F.col("text")))
@@ -107,20 +114,45 @@ def transcripts(messages: DataFrame, part_turns: int = 4096) -> DataFrame:
         .otherwise(F.concat(F.lit("["), F.col("role"), F.lit("] "), F.col("text")))
     )
     part = F.floor(F.col("turn") / part_turns).cast("int").alias("part_no")
-    return messages.groupBy(CONV, part).agg(_joined("turn", F.concat(block, F.lit("\n")), "\n").alias("transcript"))
+    parts = messages.groupBy(CONV, part).agg(_joined("turn", F.concat(block, F.lit("\n")), "\n").alias("transcript"))
+    before = Window.partitionBy(CONV).orderBy("part_no").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(CONV, "part_no", F.length("transcript").alias("size")).select(
+        CONV, "part_no", F.coalesce(F.sum(F.col("size") + 1).over(before), F.lit(0)).alias("start"))
+    return parts.join(starts, [CONV, "part_no"]).select(CONV, "part_no", "start", "transcript")
 
 
 def payload_summary(messages: DataFrame) -> DataFrame:
-    """(conv_id, summary): message count, characters, payload hash and layout."""
-    part = F.concat(F.col("role"), F.lit("\n"), F.col("text"), F.lit("\n---\n"))
-    shape = F.concat(F.col("role"), F.lit(":"), F.length("text").cast("string"))
-    grouped = messages.groupBy(CONV).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"),
-        _joined("turn", part, "").alias("payload"), _joined("turn", shape, ", ").alias("layout"))
-    return grouped.select(CONV, F.concat(
-        F.lit("messages="), F.col("n").cast("string"), F.lit(" | total_chars="), F.col("chars").cast("string"),
-        F.lit(" | payload_sha1="), F.left(F.sha1(F.encode("payload", "UTF-8")), F.lit(12)),
-        F.lit(" | layout="), F.col("layout")).alias("summary"))
+    """(conv_id, summary): message count, characters, payload hash and layout.
+
+    Turns pass through their task in order, one at a time, and only the state of the
+    hash, the counts and the layout are kept; no conversation is gathered.
+    """
+    kind = dict(messages.dtypes)[CONV]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, digest, chars, layout, done = None, None, 0, [], []
+
+        def summary() -> tuple:
+            return now, (f"messages={len(layout)} | total_chars={chars} | payload_sha1={digest.hexdigest()[:12]} | "
+                         f"layout={', '.join(layout)}")
+
+        for frame in frames:
+            for conv, role, text in zip(frame[CONV], frame["role"], frame["text"]):
+                if digest is None or conv != now:
+                    if digest is not None:
+                        done.append(summary())
+                    now, digest, chars, layout = conv, hashlib.sha1(), 0, []
+                digest.update(f"{role}\n{text}\n---\n".encode())
+                chars += len(text)
+                layout.append(f"{role}:{len(text)}")
+            yield pd.DataFrame(done, columns=[CONV, "summary"])
+            done = []
+        if digest is not None:
+            yield pd.DataFrame([summary()], columns=[CONV, "summary"])
+
+    empty = F.lit("")
+    rows = messages.select(CONV, "turn", F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
+    return rows.repartition(CONV).sortWithinPartitions(CONV, "turn").mapInPandas(run, f"`{CONV}` {kind}, summary string")
 
 
 def summarize_sessions(messages: DataFrame, previous: DataFrame | None = None,

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspan import constants as K
 from quillspan.functions import terms as TM
+from quillspan.operators.frames import plain
 
 
 def bucket_of(token: Column, dims: int = K.EMBED_DIMS) -> Column:
@@ -73,7 +74,7 @@ def hash_embed(docs: DataFrame, key: list[str], text: str = "text", dims: int =
     """
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame[key].assign(embedding=[embed_tokens(tokens, dims) for tokens in frame["_tokens"]])
+            yield plain(frame[key]).assign(embedding=[embed_tokens(tokens, dims) for tokens in frame["_tokens"]])
 
     source = docs.select(*key, TM.embedding_tokens(F.col(text)).alias("_tokens"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*key).schema)

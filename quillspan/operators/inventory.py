@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspan.functions import labels as LB, text as T
+from quillspan.operators.positions import number_rows
 
 LEGACY_ID, LEGACY_LABEL = "legacy", "Legacy imports"
 
@@ -101,13 +102,14 @@ def visible_ancestors(filtered: DataFrame) -> DataFrame:
 
 
 def source_order(sources: DataFrame) -> DataFrame:
-    return sources.orderBy(F.lower("collection_label"), F.lower("group_label"), F.lower("relative_path"),
-                           F.lower("file_name"), "path")
+    """``sources`` with ``place``, from 0, by labels, relative path and name without regard to case."""
+    labels = [F.lower(c) for c in ("collection_label", "group_label", "relative_path", "file_name")]
+    return number_rows(sources, [], [*labels, F.col("path")])
 
 
 def sort_inventory(sources: DataFrame, by: str = "name") -> DataFrame:
-    column = "file_name" if by == "name" else "source_type"
-    return sources.orderBy(column, "path")
+    """``sources`` with ``place``, from 0, by file name or by source type, then path."""
+    return number_rows(sources, [], [F.col("file_name" if by == "name" else "source_type"), F.col("path")])
 
 
 def _not_negative(name: str) -> Column:

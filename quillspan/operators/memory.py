@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillspan import constants as K
 from quillspan.functions import labels as LB, terms as TM, text as T
+from quillspan.operators.frames import empty, plain
+from quillspan.operators.positions import number_rows
 from quillspan.operators.search_index import BLOCK_SHIFT, sliced
 
 FIELDS = ["key", "value", "category", "confidence"]
@@ -105,7 +107,8 @@ def edit_memories(memories: DataFrame, edits: DataFrame, now: str) -> DataFrame:
 
 
 def order_memories(memories: DataFrame) -> DataFrame:
-    return memories.orderBy(F.desc("pinned"), F.desc("updated_at"), "id")
+    """``memories`` with ``place``, from 0: pinned ones first, then the latest."""
+    return number_rows(memories, [], [F.desc("pinned"), F.desc("updated_at"), F.col("id")])
 
 
 def _base_score() -> Column:
@@ -130,7 +133,7 @@ def _memory_matches(pool: int | None):
         out = []
         terms = sorted({t for ts in asked["terms"] for t in ts})
         if not terms or memories.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
+            return empty(["query_id", "id", "score"])
         machine, number = ahocorasick.Automaton(), {t: k for k, t in enumerate(terms)}
         for term, k in number.items():
             machine.add_word(term, (k, len(term)))
@@ -151,7 +154,7 @@ def _memory_matches(pool: int | None):
                     best = np.lexsort((order[some], -(score + memories["lift"].to_numpy()[some])))[:pool]
                     some, score = some[best], score[best]
                 out.append(pd.DataFrame({"query_id": query_id, "id": memories["id"].to_numpy()[some], "score": score}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})
+        return plain(pd.concat(out)) if out else empty(["query_id", "id", "score"])
 
     return run
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from quillspan.functions import labels as LB, text as T
-from quillspan.operators import blocks as BL, chunks as CH, embed as EM
+from quillspan.operators import chunks as CH, embed as EM, segments as SG
 from quillspan.session import cut_lineage
 
 
@@ -32,27 +32,22 @@ def classify(files: DataFrame) -> DataFrame:
 
 
 def candidate_chunks(files: DataFrame, semantic: bool = False) -> DataFrame:
-    """(path, file facts, pos, text, fingerprint, kept, blocks): chunk candidates of each file.
-
-    One exchange by path: block windows, block lists and packing all follow it.
-    """
+    """(path, file facts, pos, text, embedding, fingerprint, kept, blocks): chunk candidates of each file, made in its row."""
     facts = ["path", "file_name", "source_type", "source_role", "size_bytes", "modified_ms"]
-    listed = BL.semantic_blocks(files.select("path", "text"), "path")
-    packed = CH.pack_chunks(CH.with_profile(files.select(*facts).join(listed, "path"), semantic), "path")
-    packed = packed.withColumn("blocks_n", F.size("blocks"))
-    return CH.explode_chunks(packed.withColumn("profile_label", F.col("profile.label")),
-                             [*facts, "blocks_n", "profile_label"])
+    packed = SG.chunk_texts(files.select(*facts, "text"), semantic).drop("text")
+    return CH.explode_chunks(packed, [*facts, "blocks_n", "profile_label"])
 
 
 def index_corpus(files: DataFrame, known: DataFrame | None = None, vectors: bool = False) -> Index:
     """Chunk and source tables of cleaned files.
 
     files: path, file_name, size_bytes, modified_ms, extractor, text.  ``known`` is an
-    indexed chunk table whose vectors are shared by fingerprint.  Candidates are
+    indexed chunk table whose vectors are shared by fingerprint.  ``vectors`` packs by
+    block vectors and gives every chunk the sum of its blocks'.  Candidates are
     written once, since both result tables and the vectors read them.
     """
     rich = classify(files)
-    candidates = cut_lineage(candidate_chunks(rich), "candidates")
+    candidates = cut_lineage(candidate_chunks(rich, vectors), "candidates")
     kept = CH.drop_duplicates_in_doc(candidates.filter("kept"), "path")
     chunks = CH.number_chunks(kept, "path").select(
         "path", "file_name", "source_type", "source_role", "chunk_index", "text", "fingerprint", "embedding",
@@ -100,5 +95,5 @@ def refresh_index(current: DataFrame, sources: DataFrame, chunks: DataFrame) ->
     )
     return Index(
         kept_sources.unionByName(rebuilt.sources, allowMissingColumns=True),
-        CH.refresh_chunks(chunks, status, rebuilt.chunks),
+        CH.refresh_chunks(chunks, status.join(stamps.select("path", "now_ms"), "path", "left"), rebuilt.chunks),
     )

@@ -1,201 +1,270 @@
 """Stateful stream operators on transformWithStateInPandas, and foreachBatch jobs.
 
-State is keyed by session, request or backend.  With ``ttl_ms`` it expires after
-that time without input, which bounds state for a stream that never ends; expiry
-needs processing time, and a stream run to its end with ``availableNow`` leaves it
-out, since processing-time state keeps such a run alive.
+State is keyed by session, request or backend, and rows are taken in the order of
+their numbers or times, whatever files and micro-batches bring them.  With ``ttl_ms``
+state expires after that time without input, which bounds state for a stream that
+never ends; expiry needs processing time, and a stream run to its end with
+``availableNow`` leaves it out, since processing-time state keeps such a run alive.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from dataclasses import asdict
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quillspan import constants as K
-from quillspan.streaming import rules
-from quillspan.streaming.rules import Breaker, Loop, Split, Stall
+from quillspan.session import cut_lineage
+from quillspan.streaming.rules import Breaker, Ema, Loop, Request, Split, Stall
 
 
-def _ordered(frames: Iterator[pd.DataFrame], order: str) -> pd.DataFrame:
-    return pd.concat(list(frames)).sort_values(order, kind="stable")
+class InOrder(StatefulProcessor):
+    """Hands the rows of a key to a rule in the order of ``seq``, 0, 1, 2, ..., however they arrive.
 
-
-class _OneState(StatefulProcessor):
-    """Keeps one rule object per key as a JSON value."""
+    The rule and the number that comes next are one state value.  A row ahead of its turn waits in a map by its number; a
+    row that comes again is left out.  With ``gap_ms`` rows carry the event time ``ts``, and once the watermark is that far
+    past a waiting row the numbers missing before it are given up, so what waits stays bounded; without it gaps wait on.
+    With ``ttl_ms`` state expires after that time without input.
+    """
 
     rule: type = Loop
-    order = "seq"
+    fields: tuple[str, ...] = ()
+    columns: tuple[str, ...] = ()
 
-    def __init__(self, ttl_ms: int | None = None) -> None:
-        self.ttl_ms = ttl_ms
+    def __init__(self, ttl_ms: int | None = None, gap_ms: int | None = None) -> None:
+        self.ttl_ms, self.gap_ms = ttl_ms, gap_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.value = handle.getValueState("rule", "json string", self.ttl_ms)
+        self.handle = handle
+        self.value = handle.getValueState("rule", "json string, due long", self.ttl_ms)
+        self.waiting = handle.getMapState("waiting", "seq long", "row string", self.ttl_ms)
+
+    def step(self, rule, seq: int, row: dict) -> Iterator[dict]:
+        """What the rule says to one row."""
+        raise NotImplementedError
+
+    def _load(self) -> tuple[object, int]:
+        if not self.value.exists():
+            return self.rule(), 0
+        kept = json.loads(self.value.get()[0])
+        return self.rule(**kept["rule"]), kept["next"]
+
+    def _drain(self, rule, turn: int, out: list[dict], key) -> int:
+        """Take the waiting rows whose turn has come; the number after them."""
+        while self.waiting.containsKey((turn,)):
+            row = json.loads(self.waiting.getValue((turn,))[0])
+            self.waiting.removeKey((turn,))
+            out.extend({**found, "key": key[0], "seq": turn} for found in self.step(rule, turn, row))
+            turn += 1
+        return turn
+
+    def _finish(self, rule, turn: int, out: list[dict]) -> pd.DataFrame:
+        due = self.value.get()[1] if self.value.exists() else None
+        if self.gap_ms is not None:
+            first = min(((json.loads(row[0])["at_ms"], seq[0]) for seq, row in self.waiting.iterator()), default=None)
+            wanted = None if first is None else first[0] + self.gap_ms
+            if wanted != due:
+                if due is not None:
+                    self.handle.deleteTimer(due)
+                if wanted is not None:
+                    self.handle.registerTimer(wanted)
+                due = wanted
+        self.value.update((json.dumps({"rule": asdict(rule), "next": turn}), due))
+        return pd.DataFrame(out, columns=["key", "seq", *self.columns])
 
-    def _load(self):
-        return rules.load(self.rule, self.value.get()[0] if self.value.exists() else None)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        (rule, turn), out = self._load(), []
+        stamps = ("at_ms",) if self.gap_ms is not None else ()
+        frame = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        for seq, *values in zip(frame["seq"], *(frame[f] for f in (*self.fields, *stamps))):
+            seq = int(seq)
+            row = {f: _plain(v) for f, v in zip((*self.fields, *stamps), values)}
+            if seq == turn:
+                out.extend({**found, "key": key[0], "seq": seq} for found in self.step(rule, seq, row))
+                turn = self._drain(rule, seq + 1, out, key)
+            elif seq > turn:
+                self.waiting.updateValue((seq,), (json.dumps(row),))
+        yield self._finish(rule, turn, out)
 
-    def _store(self, rule) -> None:
-        self.value.update((rules.dump(rule),))
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        (rule, turn), out = self._load(), []
+        limit = timerValues.getCurrentWatermarkInMs() - self.gap_ms
+        while (held := sorted((seq[0], json.loads(row[0])["at_ms"]) for seq, row in self.waiting.iterator())) and any(
+                ts <= limit for _, ts in held):
+            turn = self._drain(rule, held[0][0], out, key)  # the numbers before the first waiting one are given up
+        self.value.update((json.dumps({"rule": asdict(rule), "next": turn}), None))
+        yield self._finish(rule, turn, out)
 
     def close(self) -> None:
         pass
 
 
-class RepetitionGuard(_OneState):
+def _plain(value):
+    """A cell as JSON holds it."""
+    if value is None or (isinstance(value, float) and value != value):
+        return None
+    return value.item() if hasattr(value, "item") else value
+
+
+class RepetitionGuard(InOrder):
     """Fires once per session when five usable lines in a row are equal."""
 
-    rule = Loop
+    rule, fields, columns = Loop, ("delta",), ("norm",)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        loop, out = self._load(), []
-        for row in _ordered(rows, self.order).itertuples():
-            norm = loop.observe(row.delta)
-            if norm is not None:
-                out.append({"session_id": key[0], "seq": row.seq, "norm": norm})
-        self._store(loop)
-        yield pd.DataFrame(out, columns=["session_id", "seq", "norm"])
+    def step(self, rule: Loop, seq: int, row: dict) -> Iterator[dict]:
+        norm = rule.observe(row["delta"])
+        if norm is not None:
+            yield {"norm": norm}
 
 
-class StallGuard(_OneState):
+class StallGuard(InOrder):
     """Verdict per hidden note of a session."""
 
-    rule = Stall
+    rule, fields, columns = Stall, ("note", "elapsed_ms"), ("verdict",)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        stall, out = self._load(), []
-        for row in _ordered(rows, self.order).itertuples():
-            verdict = stall.observe(row.note, int(row.elapsed_ms))
-            if verdict:
-                out.append({"session_id": key[0], "seq": row.seq, "verdict": verdict})
-        self._store(stall)
-        yield pd.DataFrame(out, columns=["session_id", "seq", "verdict"])
+    def step(self, rule: Stall, seq: int, row: dict) -> Iterator[dict]:
+        verdict = rule.observe(row["note"], int(row["elapsed_ms"]))
+        if verdict:
+            yield {"verdict": verdict}
 
 
-class TagSplitter(_OneState):
+class TagSplitter(InOrder):
     """Visible and hidden pieces of a session, flushed at natural breaks."""
 
-    rule = Split
+    rule, fields, columns = Split, ("delta", "done", "thought"), ("kind", "text")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        split, out = self._load(), []
-        for row in _ordered(rows, self.order).itertuples():
-            for kind, text in split.observe(row.delta, bool(row.done)):
-                out.append({"session_id": key[0], "seq": row.seq, "kind": kind, "text": text})
-        self._store(split)
-        yield pd.DataFrame(out, columns=["session_id", "seq", "kind", "text"])
+    def step(self, rule: Split, seq: int, row: dict) -> Iterator[dict]:
+        for kind, text in rule.observe(row["delta"], bool(row["done"]), row["thought"]):
+            yield {"kind": kind, "text": text}
 
 
-class FailureBreaker(_OneState):
+class FailureBreaker(InOrder):
     """Whether each call of a backend is allowed, by the failures before it."""
 
-    rule = Breaker
-    order = "ts"
+    rule, fields, columns = Breaker, ("at", "ok", "message"), ("allowed", "failures")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        breaker, out = self._load(), []
-        for row in _ordered(rows, self.order).itertuples():
-            allowed = breaker.observe(int(row.ts.timestamp() * 1000), bool(row.ok), row.message)
-            out.append({"backend": key[0], "ts": row.ts, "allowed": allowed, "failures": breaker.failures})
-        self._store(breaker)
-        yield pd.DataFrame(out, columns=["backend", "ts", "allowed", "failures"])
+    def step(self, rule: Breaker, seq: int, row: dict) -> Iterator[dict]:
+        allowed = rule.observe(row["at"], bool(row["ok"]), row["message"])
+        yield {"allowed": allowed, "failures": rule.failures}
 
 
-class ThroughputEma(StatefulProcessor):
-    """Exponential average of positive token rates per backend."""
+class ThroughputEma(InOrder):
+    """Exponential average of positive token rates per backend, after each sample."""
 
-    def __init__(self, ttl_ms: int | None = None) -> None:
-        self.ttl_ms = ttl_ms
+    rule, fields, columns = Ema, ("rate",), ("ema",)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.value = handle.getValueState("ema", "ema double", self.ttl_ms)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        ema = self.value.get()[0] if self.value.exists() else None
-        for rate in _ordered(rows, "ts")["rate"]:
-            if rate > 0:
-                ema = rate if ema is None else K.EMA_WEIGHT * rate + (1 - K.EMA_WEIGHT) * ema
-        if ema is None:
-            return
-        self.value.update((ema,))
-        yield pd.DataFrame({"backend": [key[0]], "ema": [ema]})
-
-    def close(self) -> None:
-        pass
+    def step(self, rule: Ema, seq: int, row: dict) -> Iterator[dict]:
+        rule.observe(row["rate"])
+        if rule.value is not None:
+            yield {"ema": rule.value}
 
 
 class PhaseTimeouts(StatefulProcessor):
-    """Emits a row when a session stays silent longer than its phase allows (processing time)."""
+    """Outcome of each request of a session by event time: done, or the limit that ran out first.
+
+    Events wait until the watermark has passed them and are then taken in order of time, so late files change nothing.  A
+    request starts with ``start`` and has two deadlines: silence in its phase, and its total time.  Whichever comes first
+    ends it, as ``done`` does; events outside a request count for nothing.
+    """
 
     def __init__(self, limits: dict[str, int] | None = None) -> None:
         self.limits = limits or K.PHASE_TIMEOUT_MS
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.phase = handle.getValueState("phase", "phase string, timer long")
+        self.value = handle.getValueState("request", "json string")
+        self.waiting = handle.getListState("waiting", "ts long, event string")
+
+    def _request(self) -> Request:
+        return Request(**json.loads(self.value.get()[0])) if self.value.exists() else Request()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        events = list(_ordered(rows, "seq")["event"])
-        if self.phase.exists():
-            self.handle.deleteTimer(self.phase.get()[1])
-        if "done" in events:
-            self.phase.clear()
-            return iter([pd.DataFrame({"session_id": [key[0]], "outcome": ["done"]})])
-        phase = {"start": "headers", "headers": "first_token"}.get(events[-1], "inactivity")
-        due = timerValues.getCurrentProcessingTimeInMs() + self.limits[phase]
-        self.handle.registerTimer(due)
-        self.phase.update((phase, due))
+        frame = pd.concat(list(rows))
+        stamps = [int(at) for at in frame["at_ms"]]
+        self.waiting.appendList(list(zip(stamps, frame["event"])))
+        self.handle.registerTimer(min(stamps))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        outcome = f"timeout:{self.phase.get()[0]}"
-        self.phase.clear()
-        yield pd.DataFrame({"session_id": [key[0]], "outcome": [outcome]})
+        passed, request, out = timerValues.getCurrentWatermarkInMs(), self._request(), []
+        held = sorted(self.waiting.get())
+        for ts, event in held:
+            if ts <= passed:
+                out += request.observe(ts, event, self.limits)
+        out += request.expire(passed, self.limits)
+        rest = [(ts, event) for ts, event in held if ts > passed]
+        self.waiting.clear()
+        if rest:
+            self.waiting.put(rest)
+        deadline = request.deadline(self.limits)
+        following = [ts for ts, _ in rest[:1]] + ([deadline[0]] if deadline else [])
+        if following:
+            self.handle.registerTimer(min(following))
+        self.value.update((json.dumps(asdict(request)),))
+        yield pd.DataFrame(
+            [{"session_id": key[0], "started": a, "ended": b, "outcome": what} for a, b, what in out],
+            columns=["session_id", "started", "ended", "outcome"])
 
     def close(self) -> None:
         pass
 
 
-def _run(stream: DataFrame, key: str, processor: StatefulProcessor, schema: str, timed: bool = False) -> DataFrame:
-    kind = stream.schema[key].dataType.simpleString()
+def _run(stream: DataFrame, key: str, processor: StatefulProcessor, schema: str, mode: str = "None") -> DataFrame:
     return stream.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema.format(kind=kind), outputMode="Append",
-        timeMode="ProcessingTime" if timed else "None")
+        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=mode)
+
 
+def _in_order(stream: DataFrame, key: str, kind: type, columns: str, ttl_ms: int | None, gap_ms: int | None) -> DataFrame:
+    """``key``, seq and ``columns`` of the rule ``kind``; rows hold ``key``, a dense ``seq`` and the rule's fields."""
+    if ttl_ms and gap_ms is not None:
+        raise ValueError("state expires by processing time (ttl_ms) or gaps by event time (gap_ms), not both")
+    mode = "ProcessingTime" if ttl_ms else "EventTime" if gap_ms is not None else "None"
+    named = stream.schema[key].dataType.simpleString()
+    if gap_ms is not None:
+        stream = stream.withColumn("at_ms", F.unix_millis("ts"))
+    out = _run(stream, key, kind(ttl_ms, gap_ms), f"key {named}, seq long, {columns}", mode)
+    return out.withColumnRenamed("key", key)
 
-def repetition_guard(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """(session_id, seq, delta) → (session_id, seq, norm) where a loop was detected."""
-    return _run(stream, "session_id", RepetitionGuard(ttl_ms), "session_id {kind}, seq long, norm string", bool(ttl_ms))
 
+def repetition_guard(stream: DataFrame, ttl_ms: int | None = None, gap_ms: int | None = None) -> DataFrame:
+    """(session_id, seq, delta[, ts]) → (session_id, seq, norm) where a loop was detected."""
+    return _in_order(stream, "session_id", RepetitionGuard, "norm string", ttl_ms, gap_ms)
 
-def stall_guard(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """(session_id, seq, note, elapsed_ms) → (session_id, seq, verdict)."""
-    return _run(stream, "session_id", StallGuard(ttl_ms), "session_id {kind}, seq long, verdict string", bool(ttl_ms))
 
+def stall_guard(stream: DataFrame, ttl_ms: int | None = None, gap_ms: int | None = None) -> DataFrame:
+    """(session_id, seq, note, elapsed_ms[, ts]) → (session_id, seq, verdict)."""
+    return _in_order(stream, "session_id", StallGuard, "verdict string", ttl_ms, gap_ms)
 
-def split_tagged_output(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """(session_id, seq, delta, done) → (session_id, seq, kind, text)."""
-    return _run(stream, "session_id", TagSplitter(ttl_ms), "session_id {kind}, seq long, kind string, text string",
-                bool(ttl_ms))
 
+def split_tagged_output(stream: DataFrame, ttl_ms: int | None = None, gap_ms: int | None = None) -> DataFrame:
+    """(session_id, seq, delta, done[, thought, ts]) → (session_id, seq, kind, text).
+
+    ``thought`` is hidden text that the model sends apart from the answer; it comes out as pieces of kind ``thought``.
+    """
+    if "thought" not in stream.columns:
+        stream = stream.withColumn("thought", F.lit(None).cast("string"))
+    return _in_order(stream, "session_id", TagSplitter, "kind string, text string", ttl_ms, gap_ms)
 
-def failure_breaker(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """(backend, ts, ok, message) → (backend, ts, allowed, failures)."""
-    return _run(stream, "backend", FailureBreaker(ttl_ms), "backend {kind}, ts timestamp, allowed boolean, failures int",
-                bool(ttl_ms))
 
+def failure_breaker(stream: DataFrame, ttl_ms: int | None = None, gap_ms: int | None = None) -> DataFrame:
+    """(backend, seq, at, ok, message[, ts]) → (backend, seq, allowed, failures); ``at`` is the time of the call."""
+    return _in_order(stream, "backend", FailureBreaker, "allowed boolean, failures int", ttl_ms, gap_ms)
 
-def throughput_ema(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """(backend, ts, rate) → (backend, ema) after each micro-batch."""
-    return _run(stream, "backend", ThroughputEma(ttl_ms), "backend {kind}, ema double", bool(ttl_ms))
+
+def throughput_ema(stream: DataFrame, ttl_ms: int | None = None, gap_ms: int | None = None) -> DataFrame:
+    """(backend, seq, rate[, ts]) → (backend, seq, ema) after each sample."""
+    return _in_order(stream, "backend", ThroughputEma, "ema double", ttl_ms, gap_ms)
 
 
 def phase_timeouts(stream: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
-    """(session_id, seq, event) → (session_id, outcome)."""
-    return _run(stream, "session_id", PhaseTimeouts(limits), "session_id {kind}, outcome string", True)
+    """(session_id, ts, event), with a watermark on ts → (session_id, started, ended, outcome), times in milliseconds."""
+    named = stream.schema["session_id"].dataType.simpleString()
+    stream = stream.withColumn("at_ms", F.unix_millis("ts"))
+    return _run(stream, "session_id", PhaseTimeouts(limits), f"session_id {named}, started long, ended long, outcome string", "EventTime")
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -213,27 +282,6 @@ def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def incremental_ingest(files: DataFrame, path: str, checkpoint: str) -> None:
-    """Index a file stream batch by batch; a batch is committed whole or not at all.
-
-    files: streaming path, file_name, size_bytes, modified_ms, extractor, text.  Every
-    batch writes its own directory named by batch number, so a replayed batch
-    replaces itself and never doubles rows.
-    """
-    from quillspan.plans.index import index_corpus
-
-    def commit(batch: DataFrame, number: int) -> None:
-        index = index_corpus(batch)
-        index.chunks.write.mode("overwrite").parquet(f"{path}/chunks/batch={number}")
-        index.sources.write.mode("overwrite").parquet(f"{path}/sources/batch={number}")
-
-    query = (
-        files.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-
-
 def auto_memory(messages: DataFrame, path: str, checkpoint: str, now: str) -> None:
     """Extract memories of arriving user messages and upsert them into a versioned table.
 
@@ -251,7 +299,7 @@ def auto_memory(messages: DataFrame, path: str, checkpoint: str, now: str) -> No
             F.sha1(F.encode(F.concat_ws("|", "category", "key"), "UTF-8")).alias("id"), "key", "value", "category",
             F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"), "confidence", F.lit(False).alias("pinned"),
             F.struct("conv_id", "turn").alias("seq"))
-        upsert_memories(before, found).write.mode("overwrite").parquet(f"{path}/v{number}")
+        upsert_memories(before, cut_lineage(found, "memories-found")).write.mode("overwrite").parquet(f"{path}/v{number}")
 
     query = (
         messages.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)

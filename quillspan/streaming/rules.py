@@ -90,6 +90,15 @@ def _overlap(text: str, tag: str) -> int:
     return next((n for n in range(min(len(text), len(tag) - 1), 0, -1) if text.endswith(tag[:n])), 0)
 
 
+#: Characters after which pending text is flushed.
+VISIBLE_FLUSH, HIDDEN_FLUSH = 220, 140
+
+
+def _full(text: str, most: int) -> bool:
+    """Whether pending text is due: long enough, with a line end, or at the end of a sentence."""
+    return len(text) >= most or "\n" in text or text.endswith((".", ":"))
+
+
 def _strip(text: str) -> str:
     for literal in [*(t for pair in K.HIDDEN_TAGS for t in pair), K.END_TAG]:
         text = text.replace(literal, "")
@@ -104,10 +113,15 @@ class Split:
     close: str = ""
     hidden: str = ""
     pending: str = ""
+    thought: str = ""
 
-    def observe(self, delta: str, done: bool = False) -> list[tuple[str, str]]:
-        """(kind, text) pieces ready after this delta."""
+    def observe(self, delta: str, done: bool = False, thought: str | None = None) -> list[tuple[str, str]]:
+        """(kind, text) pieces ready after this delta; ``thought`` is hidden text that comes apart from it."""
         out: list[tuple[str, str]] = []
+        self.thought += thought or ""
+        if self.thought and (done or _full(self.thought, HIDDEN_FLUSH)):
+            out.append(("thought", self.thought))
+            self.thought = ""
         self.buffer += delta or ""
         while self.buffer:
             if self.close:
@@ -132,8 +146,7 @@ class Split:
             break
         if done and self.close:
             out += self._note()
-        full = len(self.pending) >= 220 or "\n" in self.pending or self.pending.endswith((".", ":"))
-        if self.pending and (done or full):
+        if self.pending and (done or _full(self.pending, VISIBLE_FLUSH)):
             out.append(("visible", self.pending))
             self.pending = ""
         return out
@@ -162,3 +175,54 @@ class Breaker:
         if permanent or self.failures >= K.FAILURES_BEFORE_PAUSE:
             self.paused_until = now_ms + K.FAILURE_PAUSE_MS
         return True
+
+
+@dataclass
+class Ema:
+    """Exponential average of positive samples."""
+
+    value: float | None = None
+
+    def observe(self, rate: float | None) -> None:
+        if rate is not None and rate > 0:
+            self.value = rate if self.value is None else K.EMA_WEIGHT * rate + (1 - K.EMA_WEIGHT) * self.value
+
+
+#: The phase that an event opens; other events count as streamed content.
+PHASES = {"start": "headers", "headers": "first_token"}
+
+
+@dataclass
+class Request:
+    """One request at a time: its phase, its first and its last event in milliseconds."""
+
+    phase: str = ""
+    started: int = 0
+    last: int = 0
+
+    def deadline(self, limits: dict[str, int]) -> tuple[int, str] | None:
+        """(time, limit) of what runs out first; a limit of 0 is none."""
+        if not self.phase:
+            return None
+        dues = [(self.last + limits[self.phase], self.phase)] if limits[self.phase] else []
+        dues += [(self.started + limits["total"], "total")] if limits.get("total") else []
+        return min(dues, default=None)
+
+    def expire(self, now: int, limits: dict[str, int]) -> list[tuple[int, int, str]]:
+        """(start, end, outcome) of the request if a limit has run out before ``now``."""
+        due = self.deadline(limits)
+        if due is None or due[0] >= now:
+            return []
+        self.phase = ""
+        return [(self.started, due[0], f"timeout:{due[1]}")]
+
+    def observe(self, ts: int, event: str, limits: dict[str, int]) -> list[tuple[int, int, str]]:
+        out = self.expire(ts, limits)
+        if event == "start":
+            self.phase, self.started, self.last = PHASES[event], ts, ts
+        elif self.phase and event == "done":
+            out.append((self.started, ts, "done"))
+            self.phase = ""
+        elif self.phase:
+            self.phase, self.last = PHASES.get(event, "inactivity"), ts
+        return out
