@@ -216,7 +216,7 @@ query("throughput_ema_stream", "backend:s, ema:d", f"""
     .groupBy("backend").agg(F.max_by("ema", "seq").alias("ema")))
 
 _BREAKER = f"""
-    WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, epoch_ms(ts) AS at,
+    WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, (epoch_us(ts) // 1000) AS at,
         event_type <> 'error' AS ok, event_id % 10 = 0 AS permanent FROM events),
     r AS (SELECT user_id, -1::BIGINT AS seq, true AS allowed, 0::BIGINT AS failures, 0::BIGINT AS paused FROM e WHERE seq = 0 UNION ALL
         SELECT e.user_id, e.seq, r.paused <= e.at, CASE WHEN r.paused > e.at THEN r.failures WHEN ok THEN 0 ELSE r.failures + 1 END,
@@ -234,7 +234,7 @@ query("failure_breaker_stream", "backend:s, seq:b, allowed:o, failures:b", _BREA
 _HOUR = 3_600_000
 LIMITS = {"headers": 6 * _HOUR, "first_token": 8 * _HOUR, "inactivity": 12 * _HOUR, "total": 24 * _HOUR}
 _TIMEOUTS = f"""
-    WITH a AS (SELECT user_id, event_id, epoch_ms(ts) AS t_ms, event_type, max(epoch_ms(ts)) OVER () - 2 * {_HOUR} AS seen FROM events),
+    WITH a AS (SELECT user_id, event_id, (epoch_us(ts) // 1000) AS t_ms, event_type, max((epoch_us(ts) // 1000)) OVER () - 2 * {_HOUR} AS seen FROM events),
     b AS (SELECT *, sum((event_type = 'signup')::INT) OVER w AS run, lead(t_ms) OVER w AS next_at FROM a WHERE t_ms <= seen WINDOW w AS (PARTITION BY user_id ORDER BY t_ms, event_id)),
     c AS (SELECT *, CASE event_type WHEN 'signup' THEN 'headers' WHEN 'view' THEN 'first_token' ELSE 'inactivity' END AS phase FROM b WHERE run > 0),
     d AS (SELECT *, t_ms + CASE phase {' '.join(f"WHEN '{p}' THEN {ms}" for p, ms in LIMITS.items())} END AS due FROM c),
