@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspan import constants as K
 from quillspan.functions import policy as P, terms as TM, text as T
-from quillspan.operators import blocks as BL, chunks as CH, manifest as MF, outline as O, search as SE
+from quillspan.operators import blocks as BL, chunks as CH, manifest as MF, outline as O, search as SE, search_index as SI
 from quillspan.plans import index as IX, study as ST
 from quillspan.sources import corpus as CP
 from quillspan.streaming import batch as BT, jobs, rules
@@ -78,10 +78,11 @@ def _brute_lexical(text, name, terms, query):
 
 
 def test_lexical_pairs_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(SE, "PATTERN_BATCH", 3)  # several slices of patterns
+    monkeypatch.setattr(SI, "QUERIES_PER_TASK", 2)  # several slices of queries
+    monkeypatch.setattr(SI, "QUERIES_AT_ONCE", 1)
     texts = ["aaaa deploy the runbook", "Install INSTALL bootstrap aa", "nothing here", "error in pod aaa", "deploy runbook now"]
-    chunks = spark.createDataFrame([(f"p{i % 2}", i, f"file_aa{i}.txt", t) for i, t in enumerate(texts)],
-                                   "path string, chunk_index int, file_name string, text string")
+    chunks = spark.createDataFrame([(f"p{i % 2}", i, f"file_aa{i}.txt", "doc", "log", t) for i, t in enumerate(texts)],
+                                   "path string, chunk_index int, file_name string, source_type string, source_role string, text string")
     asked = {1: "deploy runbook", 2: "aa", 3: "pod error", 4: "the and"}
     queries = SE.prepare_queries(spark.createDataFrame(list(asked.items()), "query_id int, query string"))
     terms = {r.query_id: r.terms for r in queries.collect()}
@@ -105,13 +106,12 @@ def test_one_file_with_most_chunks_keeps_its_cap(spark):
     assert [r[0] for r in rows(wide, "path")].count("hot.txt") == 6
 
 
-def test_vector_pairs_in_slices_equal_one_slice(spark, sf_dir, monkeypatch):
+def test_vector_topk_in_slices_equals_one_slice(spark, sf_dir, monkeypatch):
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    chunks = vectors.select(F.lit("p").alias("path"), F.col("vec_id").alias("chunk_index"), "embedding")
     probes = vectors.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
-    whole = rows(SE.vector_pairs(chunks, probes, 0.3).withColumn("s", F.round("semantic", 9)), "query_id", "chunk_index", "s")
+    whole = rows(SE.vector_topk(vectors, probes, 5), "query_id", "item_id", "rank")
     monkeypatch.setattr(SE, "VECTOR_BATCH_CELLS", 64 * 7)
-    assert rows(SE.vector_pairs(chunks, probes, 0.3).withColumn("s", F.round("semantic", 9)), "query_id", "chunk_index", "s") == whole
+    assert rows(SE.vector_topk(vectors, probes, 5), "query_id", "item_id", "rank") == whole and len(whole) == 100
 
 
 def test_merged_ranges_are_disjoint_and_cover(spark):

@@ -16,7 +16,9 @@ SAMPLE = [
     "strip_boilerplate", "parse_search_payload", "parse_model_stream", "refresh_status", "chunk_tallies", "inventory_rollup",
     "upsert_memories", "relevant_memories", "extract_memories", "summarize_sessions", "code_blocks", "select_history",
     "assemble_context", "plan_prompts", "unique_paths", "move_entries", "stall_verdicts", "split_tagged_stream",
-    "repetition_guard_stream", "throughput_ema",
+    "repetition_guard_stream", "throughput_ema", "hybrid_local", "search_by_plan_preferred", "batch_texts", "refresh_index",
+    "incremental_ingest", "phase_timeouts_stream", "coalesce_thoughts_stream", "throughput_ema_stream", "failure_breaker_stream",
+    "scan_corpus", "sort_inventory", "retry_sections", "payload_summary", "hit_display",
 ]
 NAMES = sorted(queries()) if os.environ.get("QUILLSPAN_ORACLE") == "all" else SAMPLE
 
@@ -32,6 +34,14 @@ def test_query_matches_sql(spark, duck, sf_dir, name):
     assert ok, text
 
 
+def test_multi_query_union_matches_its_sql(spark, duck, sf_dir):
+    from quillspan.catalog.context_queries import UNION_SQL
+
+    frame = queries()["multi_query_union"](spark, sf_dir)
+    want = sorted(tuple(map(str, r)) for r in duck.execute(UNION_SQL).fetchall())
+    assert sorted(tuple(map(str, r)) for r in frame.select("prompt_id", "merged_rank", "path", "chunk_index").collect()) == want
+
+
 def test_every_oracle_has_a_query():
     assert set(oracle_sql()) <= set(queries())
 
