@@ -1,4 +1,4 @@
-"""Stateful stream operators on transformWithStateInPandas, and foreachBatch jobs.
+"""Stateful stream operators on transformWithState, and foreachBatch jobs.
 
 State is keyed by session, request or backend, and rows are taken in the order of
 their numbers or times, whatever files and micro-batches bring them.  With ``ttl_ms``
@@ -11,10 +11,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from dataclasses import asdict
+from dataclasses import asdict, dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quillspan import constants as K
@@ -22,13 +22,34 @@ from quillspan.session import cut_lineage
 from quillspan.streaming.rules import Breaker, Ema, Loop, Request, Split, Stall
 
 
+#: Numbers whose waiting rows share one state entry.
+SLOT = 1024
+
+
+@dataclass
+class Turn:
+    """Where a key stands: its rule, the number that comes next, and the earliest event time in each slot of waiting rows.
+
+    ``stored`` are the slots in the state, ``open`` holds those that were read or changed, ``touched`` are to be written back.
+    """
+
+    rule: object
+    next: int = 0
+    due: int | None = None
+    slots: dict[int, int] = field(default_factory=dict)
+    stored: frozenset[int] = frozenset()
+    open: dict[int, dict[int, list]] = field(default_factory=dict)
+    touched: set[int] = field(default_factory=set)
+
+
 class InOrder(StatefulProcessor):
     """Hands the rows of a key to a rule in the order of ``seq``, 0, 1, 2, ..., however they arrive.
 
-    The rule and the number that comes next are one state value.  A row ahead of its turn waits in a map by its number; a
-    row that comes again is left out.  With ``gap_ms`` rows carry the event time ``ts``, and once the watermark is that far
-    past a waiting row the numbers missing before it are given up, so what waits stays bounded; without it gaps wait on.
-    With ``ttl_ms`` state expires after that time without input.
+    The rule and the number that comes next are one state value.  A row ahead of its turn waits in a map by slots of
+    ``SLOT`` numbers, which are read and written whole, so that a batch costs a few state calls and not some for each row;
+    a row that comes again is left out.  With ``gap_ms`` rows carry the event time ``ts``, and once the watermark is that
+    far past a waiting row the numbers missing before it are given up, so what waits stays bounded; without it gaps wait
+    on.  With ``ttl_ms`` state expires after that time without input.
     """
 
     rule: type = Loop
@@ -37,67 +58,100 @@ class InOrder(StatefulProcessor):
 
     def __init__(self, ttl_ms: int | None = None, gap_ms: int | None = None) -> None:
         self.ttl_ms, self.gap_ms = ttl_ms, gap_ms
+        self.held = (*self.fields, *(("at_ms",) if gap_ms is not None else ()))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.value = handle.getValueState("rule", "json string, due long", self.ttl_ms)
-        self.waiting = handle.getMapState("waiting", "seq long", "row string", self.ttl_ms)
+        self.waiting = handle.getMapState("waiting", "slot long", "rows string", self.ttl_ms)
 
     def step(self, rule, seq: int, row: dict) -> Iterator[dict]:
         """What the rule says to one row."""
         raise NotImplementedError
 
-    def _load(self) -> tuple[object, int]:
-        if not self.value.exists():
-            return self.rule(), 0
-        kept = json.loads(self.value.get()[0])
-        return self.rule(**kept["rule"]), kept["next"]
-
-    def _drain(self, rule, turn: int, out: list[dict], key) -> int:
-        """Take the waiting rows whose turn has come; the number after them."""
-        while self.waiting.containsKey((turn,)):
-            row = json.loads(self.waiting.getValue((turn,))[0])
-            self.waiting.removeKey((turn,))
-            out.extend({**found, "key": key[0], "seq": turn} for found in self.step(rule, turn, row))
-            turn += 1
-        return turn
-
-    def _finish(self, rule, turn: int, out: list[dict]) -> pd.DataFrame:
-        due = self.value.get()[1] if self.value.exists() else None
+    def _load(self) -> Turn:
+        kept = self.value.get()
+        if kept is None:
+            return Turn(self.rule())
+        held = json.loads(kept[0])
+        slots = {int(k): v for k, v in held["slots"].items()}
+        return Turn(self.rule(**held["rule"]), held["next"], kept[1], slots, frozenset(slots))
+
+    def _slot(self, turn: Turn, number: int) -> dict[int, list]:
+        """The waiting rows of a slot by their numbers."""
+        if number not in turn.open:
+            kept = self.waiting.getValue((number,)) if number in turn.stored else None
+            turn.open[number] = {int(k): v for k, v in json.loads(kept[0]).items()} if kept else {}
+        return turn.open[number]
+
+    def _take(self, turn: Turn, row: list, out: list[tuple]) -> None:
+        """The rule sees the row whose turn it is."""
+        for found in self.step(turn.rule, turn.next, dict(zip(self.held, row))):
+            out.append((turn.next, *(found[c] for c in self.columns)))
+        turn.next += 1
+
+    def _drain(self, turn: Turn, out: list[tuple]) -> None:
+        """Take the waiting rows whose turn has come."""
+        while (number := turn.next // SLOT) in turn.slots or number in turn.open:
+            row = self._slot(turn, number).pop(turn.next, None)
+            if row is None:
+                return
+            turn.touched.add(number)
+            self._take(turn, row, out)
+
+    def _measure(self, turn: Turn, number: int) -> None:
+        """Note a slot's earliest event time, or that it is empty."""
+        rows = turn.open[number]
+        if rows:
+            turn.slots[number] = min(row[-1] for row in rows.values()) if self.gap_ms is not None else 0
+        else:
+            turn.slots.pop(number, None)
+
+    def _finish(self, turn: Turn, out: list[tuple], key) -> list[Row]:
+        for number in sorted(turn.touched):
+            self._measure(turn, number)
+            if turn.open[number]:
+                self.waiting.updateValue((number,), (json.dumps(turn.open[number]),))
+            elif number in turn.stored:
+                self.waiting.removeKey((number,))
+        due = turn.due
         if self.gap_ms is not None:
-            first = min(((json.loads(row[0])["at_ms"], seq[0]) for seq, row in self.waiting.iterator()), default=None)
-            wanted = None if first is None else first[0] + self.gap_ms
+            first = min(turn.slots.values(), default=None)
+            wanted = None if first is None else first + self.gap_ms
             if wanted != due:
                 if due is not None:
                     self.handle.deleteTimer(due)
                 if wanted is not None:
                     self.handle.registerTimer(wanted)
                 due = wanted
-        self.value.update((json.dumps({"rule": asdict(rule), "next": turn}), due))
-        return pd.DataFrame(out, columns=["key", "seq", *self.columns])
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        (rule, turn), out = self._load(), []
-        stamps = ("at_ms",) if self.gap_ms is not None else ()
-        frame = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        for seq, *values in zip(frame["seq"], *(frame[f] for f in (*self.fields, *stamps))):
-            seq = int(seq)
-            row = {f: _plain(v) for f, v in zip((*self.fields, *stamps), values)}
-            if seq == turn:
-                out.extend({**found, "key": key[0], "seq": seq} for found in self.step(rule, seq, row))
-                turn = self._drain(rule, seq + 1, out, key)
-            elif seq > turn:
-                self.waiting.updateValue((seq,), (json.dumps(row),))
-        yield self._finish(rule, turn, out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        (rule, turn), out = self._load(), []
+        self.value.update((json.dumps({"rule": asdict(turn.rule), "next": turn.next, "slots": turn.slots}), due))
+        named = Row("key", "seq", *self.columns)
+        return [named(key[0], *row) for row in out]
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        turn, out = self._load(), []
+        came = [(row["seq"], [_plain(row[f]) for f in self.held]) for row in rows]
+        for seq, row in sorted(came, key=lambda r: r[0]):
+            if seq == turn.next:
+                self._take(turn, row, out)
+                self._drain(turn, out)
+            elif seq > turn.next:
+                self._slot(turn, seq // SLOT)[seq] = row
+                turn.touched.add(seq // SLOT)
+        yield from self._finish(turn, out, key)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        turn, out = self._load(), []
+        turn.due = None
         limit = timerValues.getCurrentWatermarkInMs() - self.gap_ms
-        while (held := sorted((seq[0], json.loads(row[0])["at_ms"]) for seq, row in self.waiting.iterator())) and any(
-                ts <= limit for _, ts in held):
-            turn = self._drain(rule, held[0][0], out, key)  # the numbers before the first waiting one are given up
-        self.value.update((json.dumps({"rule": asdict(rule), "next": turn}), None))
-        yield self._finish(rule, turn, out)
+        while turn.slots and min(turn.slots.values()) <= limit:
+            first = min(turn.slots)
+            turn.next = min(self._slot(turn, first))  # the numbers before the first waiting one are given up
+            self._drain(turn, out)
+            for number in range(first, turn.next // SLOT + 1):
+                if number in turn.open:
+                    self._measure(turn, number)
+        yield from self._finish(turn, out, key)
 
     def close(self) -> None:
         pass
@@ -213,7 +267,7 @@ class PhaseTimeouts(StatefulProcessor):
         pass
 
 
-def _run(stream: DataFrame, key: str, processor: StatefulProcessor, schema: str, mode: str = "None") -> DataFrame:
+def _run(stream: DataFrame, key: str, processor: StatefulProcessor, schema: str, mode: str) -> DataFrame:
     return stream.groupBy(key).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=mode)
 
@@ -226,7 +280,8 @@ def _in_order(stream: DataFrame, key: str, kind: type, columns: str, ttl_ms: int
     named = stream.schema[key].dataType.simpleString()
     if gap_ms is not None:
         stream = stream.withColumn("at_ms", F.unix_millis("ts"))
-    out = _run(stream, key, kind(ttl_ms, gap_ms), f"key {named}, seq long, {columns}", mode)
+    out = stream.groupBy(key).transformWithState(  # rows, not frames: a key has few rows in a batch
+        statefulProcessor=kind(ttl_ms, gap_ms), outputStructType=f"key {named}, seq long, {columns}", outputMode="Append", timeMode=mode)
     return out.withColumnRenamed("key", key)
 
 

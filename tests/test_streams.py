@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import Row
 
 from quillspan import constants as K
 from quillspan.streaming import jobs, rules
@@ -73,3 +74,46 @@ def test_thoughts_are_flushed_in_pieces():
 def test_expiry_and_gaps_exclude_each_other(spark):
     with pytest.raises(ValueError):
         jobs.throughput_ema(spark.range(1).selectExpr("'x' AS backend", "id AS seq", "1.0D AS rate"), 5, 5)
+
+
+def test_rows_ahead_wait_in_slots_that_are_read_and_written_whole(monkeypatch):
+    calls = []
+    monkeypatch.setattr(jobs, "SLOT", 4)
+
+    class State:
+        def __init__(self):
+            self.rows = {}
+
+        def get(self):
+            return self.rows.get(0)
+
+        def update(self, value):
+            self.rows[0] = value
+
+        def getValue(self, key):
+            calls.append("read")
+            return self.rows.get(key)
+
+        def updateValue(self, key, value):
+            calls.append("write")
+            self.rows[key] = value
+
+        def removeKey(self, key):
+            calls.append("remove")
+            del self.rows[key]
+
+    guard = jobs.ThroughputEma()
+    guard.value, guard.waiting = State(), State()
+    batch = lambda numbers: iter([Row(seq=n, rate=float(n + 1)) for n in numbers])
+    ahead = [n for n in range(1, 40) if n not in (9, 21)]
+    assert list(guard.handleInputRows(("k",), batch(ahead), None)) == []
+    assert calls == ["write"] * 10  # not one for each of 37 rows
+    calls.clear()
+    got = list(guard.handleInputRows(("k",), batch([9, 0]), None))
+    assert [r.seq for r in got] == list(range(21)) and calls.count("read") <= 6
+    got = list(guard.handleInputRows(("k",), batch([21, 5]), None))
+    assert [r.seq for r in got] == list(range(21, 40)) and guard.waiting.rows == {}
+    ema = rules.Ema()
+    for n in range(40):
+        ema.observe(float(n + 1))
+    assert got[-1].ema == pytest.approx(ema.value)
