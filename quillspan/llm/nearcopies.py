@@ -1,12 +1,15 @@
-"""Near copies by exact Jaccard similarity of word shingles.
+"""Near copies by SimHash, checked and completed by exact Jaccard similarity of word shingles.
 
-Candidates come from MinHash bands: a pair that shares ``s`` of its shingles is missed with probability
-``(1 - s ** ROWS) ** BANDS``, 3e-5 at 0.8.  SimHash does not serve here: texts of similarity 0.8 differ in about ten of 64
-bits, and at a radius that holds most of them the blocks of a fingerprint tell nothing apart.  The similarity of every
+First the SimHash operator (``simhash.py``) links fingerprints within four bits; its links span every close family with
+as many pairs as the family has members.  Texts of similarity 0.8 differ in about ten of 64 bits, and at a radius that holds
+most of them the blocks of a fingerprint tell nothing apart, so MinHash bands complete the candidates: a pair that shares
+``s`` of its shingles is missed with probability ``(1 - s ** ROWS) ** BANDS``, 3e-5 at 0.8.  The similarity of every
 candidate pair is computed from the two whole texts before it becomes a link.
 
-All pairs of a dense family are not needed for its component.  First each text of a bucket is compared with one pivot of
-it, twice, with different pivots; then texts of a bucket that are still in different components are all compared.
+All pairs of a dense family are not needed for its component.  After SimHash each text of a bucket is compared with one
+pivot of it, twice, with different pivots.  Texts of a bucket that are still in different components are compared where they
+share one of their rarest shingles, which two texts of that similarity always do; a passage that many texts hold makes few
+pairs of its own.
 """
 
 from __future__ import annotations
@@ -16,10 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quillspan.llm.common import LOWER, cut_and_clean, small, utf8
 from quillspan.llm.components import components
+from quillspan.llm.simhash import fingerprint, links as close_fingerprints
 from quillspan.session import cut_lineage
 
 WORDS_IN_SHINGLE = 5
@@ -63,16 +67,28 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 
 def signatures(docs: DataFrame, size: int = WORDS_IN_SHINGLE) -> DataFrame:
-    """doc_id, text, n (distinct shingles), keys (of the bands) of every row."""
+    """doc_id, text, n (distinct shingles), keys (of the bands), fp (SimHash, signed) of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            sets = [shingles(t, size) for t in utf8(batch.column("text"))]
+            texts = utf8(batch.column("text"))
+            sets = [shingles(t, size) for t in texts]
+            fps = np.fromiter(map(fingerprint, texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), batch.column("text"), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([bands(s) for s in sets], pa.list_(pa.int64())),
-            ], ["doc_id", "text", "n", "keys"])
+                pa.array([bands(s) for s in sets], pa.list_(pa.int64())), pa.array(fps.view(np.int64)),
+            ], ["doc_id", "text", "n", "keys", "fp"])
 
-    return docs.mapInArrow(run, "doc_id bigint, text string, n bigint, keys array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, text string, n bigint, keys array<bigint>, fp bigint")
+
+
+def simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs that SimHash finds: each node with the least one of its fingerprint, and those of linked fingerprints."""
+    least = cut_and_clean(nodes.groupBy("fp").agg(F.min("node").alias("b")), "near-prints")
+    same = nodes.join(least, "fp").where("node > b").select(F.col("node").alias("a"), "b")
+    near = close_fingerprints(least.select("fp"), least.count()).withColumnsRenamed({"a": "fp_a", "b": "fp_b"})
+    x, y = least.withColumnsRenamed({"fp": "fp_a", "b": "x"}), least.withColumnsRenamed({"fp": "fp_b", "b": "y"})
+    met = near.join(x, "fp_a").join(y, "fp_b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return met.unionByName(same.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
 def alike(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY, size: int = WORDS_IN_SHINGLE) -> DataFrame:
@@ -110,13 +126,42 @@ def pivot_pairs(rows: DataFrame, turn: int, least: float) -> DataFrame:
     return _paired(joined.withColumnsRenamed({"node": "x", "n": "n_x"}), least)
 
 
-def open_pairs(rows: DataFrame, least: float) -> DataFrame:
-    """All pairs of members of a bucket that are in different components."""
-    labels = rows.select("key", "label").distinct()
-    across = labels.join(labels.withColumnRenamed("label", "label_y"), "key").where("label < label_y")
-    x = rows.withColumnsRenamed({"node": "x", "n": "n_x"})
-    y = rows.withColumnsRenamed({"node": "y", "n": "n_y", "label": "label_y"})
-    return _paired(across.join(x, ["key", "label"]).join(y, ["key", "label_y"]), least)
+def shingle_rows(texts: DataFrame, size: int = WORDS_IN_SHINGLE) -> DataFrame:
+    """(node, shingle) of every distinct shingle of the texts (node, text); a text without words has the one shingle 0."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            sets = [s if len(s := shingles(t, size)) else np.zeros(1, np.uint64) for t in utf8(batch.column("text"))]
+            node = np.repeat(batch.column("node").to_numpy(), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(node, pa.int64()), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)),
+            ], ["node", "shingle"])
+
+    return texts.select("node", "text").mapInArrow(run, "node bigint, shingle bigint")
+
+
+def open_pairs(rows: DataFrame, texts: DataFrame, least: float, size: int = WORDS_IN_SHINGLE) -> DataFrame:
+    """Pairs of members of a bucket that are in different components, where their rarest shingles meet.
+
+    No pair of similarity ``least`` in a bucket is left out.  Of such a pair the text with fewer shingles, ``n``, shares
+    ``2 * least / (1 + least) * n`` of them and the other ``least`` times its own number, so the rarest of the rest and one
+    more of each have one in common.
+    """
+    mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    rest = cut_and_clean(rows.join(mixed, "key").select("key", "node", "n", "label"), "near-open")
+    held = cut_and_clean(shingle_rows(texts.join(rest.select("node").distinct(), "node", "left_semi"), size), "near-shingles")
+    times = held.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1")
+    rarest = Window.partitionBy("node").orderBy(F.coalesce("times", F.lit(1)), "shingle")
+    placed = held.join(times, "shingle", "left").withColumn("place", F.row_number().over(rarest)).where("times is not null")
+    room = lambda share: F.col("n") - F.ceil(F.lit(share) * F.col("n") - 1e-9) + 1
+    heads = placed.join(rest, "node").where(F.col("place") <= room(least)).select(
+        "key", "shingle", "node", "n", "label", (F.col("place") <= room(2 * least / (1 + least))).alias("first"))
+    heads = cut_and_clean(heads, "near-heads")
+    x = heads.where("first").withColumnsRenamed({"node": "x", "n": "n_x"}).drop("first")
+    y = heads.withColumnsRenamed({"node": "y", "n": "n_y", "label": "label_y"}).drop("first")
+    across = x.select("key", "shingle", "label").distinct().join(
+        y.select("key", "shingle", "label_y").distinct(), ["key", "shingle"]).where("label <> label_y")
+    met = across.join(x, ["key", "shingle", "label"]).join(y, ["key", "shingle", "label_y"])
+    return _paired(met.where("n_x <= n_y"), least)
 
 
 def near_copies(docs: DataFrame, least: float = SIMILARITY, size: int = WORDS_IN_SHINGLE) -> DataFrame:
@@ -130,15 +175,18 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY, size: int = WORDS_IN
     keyed = nodes.select("node", "n", F.explode(F.array_distinct("keys")).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
     rows = cut_and_clean(keyed.join(shared, "key"), "near-rows")
-    texts = cut_and_clean(
-        nodes.select("node", "doc_id", "text").join(rows.select("node").distinct(), "node", "left_semi"), "near-texts"
-    )
+    close = cut_and_clean(simhash_pairs(nodes.select("node", "fp")), "near-simhash")
+    met = rows.select("node").unionByName(close.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    texts = cut_and_clean(nodes.select("node", "doc_id", "text").join(met, "node", "left_semi"), "near-texts")
     tested = links = found = None
-    for turn in range(3):
+    for turn in range(-1, 3):
         labelled = rows.withColumn("label", F.col("node")) if found is None else rows.join(found, "node", "left").withColumn(
             "label", F.coalesce("root", "node")
         ).drop("root")
-        pairs = pivot_pairs(labelled, turn, least) if turn < 2 else open_pairs(labelled, least)
+        if turn < 0:
+            pairs = close
+        else:
+            pairs = pivot_pairs(labelled, turn, least) if turn < 2 else open_pairs(labelled, texts, least, size)
         pairs = cut_and_clean(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         new = cut_and_clean(alike(pairs, texts, least, size), "near-links")

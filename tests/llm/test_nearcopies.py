@@ -59,6 +59,29 @@ def test_rows_that_share_an_id_are_told_apart(make, spark):
     assert sorted((r["doc_id"], r["text"]) for r in STAGE(spark, make(rows), "").collect()) == [(1, text), (7, other)]
 
 
+def test_crowded_bucket_makes_few_pairs_and_loses_no_link(make, spark, monkeypatch):
+    """A passage that all texts hold puts them into common buckets; their own words tell most of them apart."""
+    source, passage = random.Random(4), [f"p{k}" for k in range(40)]
+    rows = [(k, " ".join(passage + [f"own{k}x{j}" for j in range(14)])) for k in range(60)]
+    rows += [(1000 + k, rows[k][1].replace(f"own{k}x13", "other")) for k in range(0, 60, 7)]
+    source.shuffle(rows)
+    counts = []
+    keep = nearcopies.open_pairs
+    monkeypatch.setattr(nearcopies, "open_pairs", lambda *a: [f := keep(*a), counts.append(f.count())][0])
+    got = sorted(((r["doc_id"], r["text"]) for r in STAGE(spark, make(rows), "").collect()), key=repr)
+    assert got == brute_left(rows)
+    assert sum(counts) < 60  # of 60 * 59 / 2 pairs that share a bucket
+
+
+def test_stage_links_by_simhash(make, spark, monkeypatch):
+    """Close copies are linked by fingerprints alone; a fingerprint's pair is still checked on both texts."""
+    text = " ".join(f"a{k}" for k in range(60))
+    monkeypatch.setattr(nearcopies, "bands", lambda hashes: [])
+    assert [r["doc_id"] for r in STAGE(spark, make([(1, text), (2, text.upper())]), "").collect()] == [1]
+    monkeypatch.setattr(nearcopies, "fingerprint", lambda text: 7)
+    assert sorted(r["doc_id"] for r in STAGE(spark, make([(1, text), (2, text.upper()), (3, "of its own")]), "").collect()) == [1, 3]
+
+
 def test_recall_of_bands_at_the_threshold():
     random_ = np.random.default_rng(5)
     missed = 0
