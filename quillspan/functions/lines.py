@@ -86,16 +86,18 @@ def keep_chunk(c: Column) -> Column:
 
 
 def actionability(c: Column) -> Column:
-    text = T.normalize_block(c)
-    lower = F.lower(text)
-    score = F.when(text.contains("```"), 6).otherwise(0)
-    score = score + F.when(text.rlike("(?d)" + K.RE_COMMAND_LINE), 7).otherwise(0)
-    for points, words in K.ACTION_WORDS:
-        score = score + F.when(T.any_contains(lower, words), points).otherwise(0)
-    score = score + F.when(text.rlike("(?d)" + K.RE_BULLET_LINE), 2).otherwise(0)
-    score = score + F.when(text.rlike("(?d)" + K.RE_NUMBERED_LINE), 3).otherwise(0)
-    score = score + F.when(text.rlike("(?d)" + K.RE_KEY_VALUE_LINE), 2).otherwise(0)
-    return score + F.when(T.any_contains(text, ["{", "=", "->"]), 1).otherwise(0)
+    def of(text: Column, lower: Column) -> Column:
+        score = F.when(text.contains("```"), 6).otherwise(0)
+        score = score + F.when(text.rlike("(?d)" + K.RE_COMMAND_LINE), 7).otherwise(0)
+        for points, words in K.ACTION_WORDS:
+            score = score + F.when(T.any_contains(lower, words), points).otherwise(0)
+        score = score + F.when(text.rlike("(?d)" + K.RE_BULLET_LINE), 2).otherwise(0)
+        score = score + F.when(text.rlike("(?d)" + K.RE_NUMBERED_LINE), 3).otherwise(0)
+        score = score + F.when(text.rlike("(?d)" + K.RE_KEY_VALUE_LINE), 2).otherwise(0)
+        return score + F.when(T.any_contains(text, ["{", "=", "->"]), 1).otherwise(0)
+
+    # the text is cleaned once, also where the score is a filter
+    return T.let(T.normalize_block(c), lambda text: T.let(F.lower(text), lambda lower: of(text, lower)))
 
 
 def looks_like_structure(c: Column) -> Column:
