@@ -58,6 +58,42 @@ def features(word: str, buckets: int) -> list[int]:
     return [zlib.crc32(x.encode("utf-8", "surrogatepass")) & mask for x in raw]
 
 
+def _crc_of_bytes() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1)
+    return table
+
+
+_CRC = _crc_of_bytes()
+
+
+def features_of(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """``features`` of all words one after the other, and where those of each word start.
+
+    The triples of ASCII words are hashed side by side; a word has one feature more than letters.
+    """
+    letters = np.fromiter(map(len, words), np.int64, len(words))
+    starts = np.cumsum(letters + 1) - letters - 1
+    flat = np.empty(int(letters.sum()) + len(words), np.int64)
+    short = np.fromiter(map(str.isascii, words), bool, len(words))
+    for k in np.flatnonzero(~short):
+        flat[starts[k]:starts[k] + letters[k] + 1] = features(words[k], buckets)
+    marked = [b"<%s>" % words[k].encode() for k in np.flatnonzero(short)]
+    if marked:
+        letters, first = letters[short], starts[short]
+        flat[first] = np.fromiter(map(zlib.crc32, marked), np.int64, len(marked)) & buckets - 1
+        line = np.frombuffer(b"".join(marked) + b"\0" * (GRAM - 1), np.uint8)
+        size = len(line) - GRAM + 1
+        crc = np.full(size, 0xFFFFFFFF, np.uint32)
+        for k in range(GRAM):
+            crc = _CRC[(crc ^ line[k:k + size]) & np.uint32(255)] ^ (crc >> np.uint32(8))
+        place = np.arange(size) - np.repeat(np.cumsum(letters + 2) - letters - 2, letters + 2)
+        inside = place < np.repeat(letters, letters + 2)  # the others reach into the next word
+        flat[(place + np.repeat(first + 1, letters + 2))[inside]] = ~crc[inside] & np.uint32(buckets - 1)
+    return flat, starts
+
+
 @dataclass
 class Model:
     """Log-probabilities of buckets by language (float32, bucket x language), and the scripts of each language."""
@@ -74,17 +110,17 @@ class Model:
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Score of each word by language, the best of a word being zero; languages without its script are out."""
-        flat, starts = [], []
-        for word in words:
-            starts.append(len(flat))
-            flat += features(word, len(self.table))
+        flat, starts = features_of(words, len(self.table))
         scores = np.add.reduceat(self.table[flat], starts, axis=0)
+        of_script: dict[str, list[int]] = {}
         for k, word in enumerate(words):
-            fitting = self.scripts.get(script_of(next(c for c in word if c.isalpha())))
+            of_script.setdefault("Latin" if word.isascii() else script_of(next(c for c in word if c.isalpha())), []).append(k)
+        for script, rows in of_script.items():
+            fitting = self.scripts.get(script)
             if fitting is not None and fitting.any():
-                scores[k, ~fitting] = -1e6
+                scores[np.ix_(rows, ~fitting)] = -1e6
             else:
-                scores[k] = 0
+                scores[rows] = 0
         return scores - scores.max(axis=1, keepdims=True)
 
     def number(self, texts: list[str]) -> list[np.ndarray]:
@@ -187,10 +223,14 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", p
 
         def out() -> Iterator[pa.RecordBatch]:
             for lang, words in held.items():
-                sums, scripts = np.zeros(buckets, np.int64), Counter()
+                sums, scripts, listed = np.zeros(buckets, np.int64), Counter(), list(words)
+                for a in range(0, len(listed), 20_000):
+                    some = listed[a:a + 20_000]
+                    flat, starts = features_of(some, buckets)
+                    times = np.fromiter(map(words.__getitem__, some), np.int64, len(some))
+                    np.add.at(sums, flat, np.repeat(times, np.diff(starts, append=len(flat))))
                 for word, n in words.items():
-                    np.add.at(sums, features(word, buckets), n)
-                    scripts[script_of(word[0])] += n * len(word)
+                    scripts["Latin" if word.isascii() else script_of(word[0])] += n * len(word)
                 at = np.flatnonzero(sums)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([lang] * (len(at) + len(scripts)), pa.string()), pa.array([*at.tolist(), *[-1] * len(scripts)], pa.int32()),
