@@ -34,7 +34,7 @@ def classify(files: DataFrame) -> DataFrame:
 def candidate_chunks(files: DataFrame, semantic: bool = False) -> DataFrame:
     """(path, file facts, pos, text, embedding, fingerprint, kept, blocks): chunk candidates of each file, made in its row."""
     facts = ["path", "file_name", "source_type", "source_role", "size_bytes", "modified_ms"]
-    packed = SG.chunk_texts(files.select(*facts, "text"), semantic).drop("text")
+    packed = SG.chunk_texts(files.select(*facts, "text"), semantic, keep_text=False)
     return CH.explode_chunks(packed, [*facts, "blocks_n", "profile_label"])
 
 
