@@ -14,6 +14,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quillspan.session import cut_lineage
+
 # Phrases of the base rule, words and blocks.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -50,18 +52,36 @@ def template_words(templates=TEMPLATES) -> list[tuple[str, list[str]]]:
     return [(label, sorted(set(re.findall(WORD, text.lower())))) for label, text in templates]
 
 
-def global_order(words: DataFrame, vocabulary: list[str]) -> list[str]:
-    """The template words from rare to frequent over all ``words``; as many rows as the templates have words."""
-    counted = words.select(F.explode("words").alias("word")).where(F.col("word").isin(vocabulary)).groupBy("word").count()
+def read_blocks(texts: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """``texts`` (key columns, ``text``) with ``words`` and ``blocks`` in place of the text.
+
+    Words are taken once, block by block (no word holds a line feed), and ``words`` is all of them in order.  A block has
+    its number, its count of distinct words and its words of ``vocabulary``; blocks without any are left out.
+    """
+    keys = [c for c in texts.columns if c != "text"]
+    worded = texts.select(*keys, F.transform(F.split("text", BLOCK_END), words_of).alias("block_words"))
+    hits = F.transform("block_words", lambda ws: F.filter(ws, lambda w: w.isin(vocabulary)))
+    blocks = worded.select(*keys, F.flatten("block_words").alias("words"), "block_words", hits.alias("hits")).withColumn(
+        "blocks", F.transform("hits", lambda held, k: F.struct(
+            k.cast("int").alias("block"), held.alias("hits"),
+            F.when(F.size(held) > 0, F.size(F.array_distinct(F.get("block_words", k)))).alias("n"),
+        )),
+    )
+    return blocks.select(*keys, "words", F.filter("blocks", lambda b: F.size(b["hits"]) > 0).alias("blocks"))
+
+
+def global_order(blocks: DataFrame, vocabulary: list[str]) -> list[str]:
+    """The template words from rare to frequent over all ``blocks``; as many rows as the templates have words."""
+    counted = blocks.select(F.explode("hits").alias("word")).groupBy("word").count()
     counts = {r["word"]: r["count"] for r in counted.collect()}
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
-def template_matches(keyed: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """Matching (key columns, block, label, containment) of ``keyed``: key columns, ``text`` and its ``words``."""
-    spark, keys = keyed.sparkSession, [c for c in keyed.columns if c not in ("text", "words")]
+def template_matches(blocks: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """Matching (key columns, block, label, containment) of ``blocks``: key columns, ``block``, ``hits`` and ``n``."""
+    spark, keys = blocks.sparkSession, [c for c in blocks.columns if c not in ("block", "hits", "n")]
     sets = template_words(templates)
-    order = global_order(keyed, sorted({w for _, ws in sets for w in ws}))
+    order = global_order(blocks, sorted({w for _, ws in sets for w in ws}))
     rank = {w: k + 1 for k, w in enumerate(order)}
     entries = []
     for label, ws in sets:
@@ -73,17 +93,13 @@ def template_matches(keyed: DataFrame, templates=TEMPLATES, threshold: float = T
     )
     listed = F.array(*map(F.lit, order))
     first_words = sorted({e[0] for e in entries})
-    # documents without any prefix word go before their blocks are made
-    blocks = keyed.where(F.arrays_overlap("words", F.array(*map(F.lit, first_words)))).select(
-        *keys, F.posexplode(F.split("text", BLOCK_END)).alias("block", "line")
-    ).select(*keys, "block", F.array_distinct(words_of(F.col("line"))).alias("block_words"))
-    ranked = (
-        blocks.select("*", F.explode("block_words").alias("word")).where(F.col("word").isin(first_words))
-        .withColumn("block_ranks", F.array_sort(F.transform(
-            F.array_intersect("block_words", listed), lambda w: F.array_position(listed, w).cast("int")
-        )))
-    )
-    pairs = ranked.join(F.broadcast(prefixes), "word").where(F.size("block_words") >= F.col("need"))
+    # blocks without any prefix word, or with too few words for any template, go before their words are ranked
+    some = blocks.where(F.col("n") >= min((e[5] for e in entries), default=0)).where(
+        F.arrays_overlap("hits", F.array(*map(F.lit, first_words))))
+    ranked = some.select(*keys, "block", "n", F.array_distinct("hits").alias("block_words")).withColumn(
+        "block_ranks", F.array_sort(F.transform("block_words", lambda w: F.array_position(listed, w).cast("int")))
+    ).select("*", F.explode("block_words").alias("word")).where(F.col("word").isin(first_words))
+    pairs = ranked.join(F.broadcast(prefixes), "word").where(F.col("n") >= F.col("need"))
     shared = F.array_intersect("block_ranks", "template_ranks")
     at = F.array_position("block_ranks", F.col("word_rank"))
     after = F.least(F.size("block_ranks") - at, F.size("template_ranks") - F.col("j") - 1)
@@ -119,17 +135,19 @@ def scan_licenses(
     results).  An empty table gives an empty table; columns besides the two are not read.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    read = docs.select(
+    texts = docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.char_length(text).alias("n_chars"),
-        text.alias("text"), words_of(text).alias("words"),
+        text.alias("text"),
     )
     keys = ["doc_id", "text_hash", "n_chars"]
-    found = template_matches(read, templates, threshold).groupBy(*keys).agg(
-        F.collect_set("label").alias("found_labels"), F.max("containment").alias("best")  # at most one label per template
-    )
-    placed = read.select(
+    read = read_blocks(texts, sorted({w for _, ws in template_words(templates) for w in ws}))
+    placed = cut_lineage(read.select(  # texts are read once; of their words the counts, places and template words are kept
         *keys, F.size("words").cast("bigint").alias("n_words"),
-        *(phrase_places(F.col("words"), phrase).alias(f"places_{label}") for phrase, label in PHRASES),
+        *(phrase_places(F.col("words"), phrase).alias(f"places_{label}") for phrase, label in PHRASES), "blocks",
+    ), "license-blocks")
+    blocks = placed.select(*keys, F.inline("blocks"))
+    found = template_matches(blocks, templates, threshold).groupBy(*keys).agg(
+        F.collect_set("label").alias("found_labels"), F.max("containment").alias("best")  # at most one label per template
     )
     every = F.concat(*(F.col(f"places_{label}") for _, label in PHRASES))
     base = F.array_sort(F.filter(

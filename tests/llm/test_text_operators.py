@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspan.llm import langid, language_model, licenses, mixing, secrets
+from quillspan.session import cut_lineage
 
 
 def rows_of(frame):
@@ -134,6 +135,22 @@ def test_licenses_equal_sql(make, tidy):
     assert licenses.scan_licenses(make([])).count() == 0
 
 
+def test_license_words_are_taken_once(make, monkeypatch):
+    plans = []
+
+    def plan(frame, name):
+        plans.append(frame._jdf.queryExecution().optimizedPlan().toString())
+        return cut_lineage(frame, name)
+
+    monkeypatch.setattr(licenses, "cut_lineage", plan, raising=False)
+    global_order = licenses.global_order
+    monkeypatch.setattr(licenses, "global_order", lambda frame, words: [
+        plans.append(frame._jdf.queryExecution().optimizedPlan().toString()), global_order(frame, words)][1])
+    scanned = licenses.scan_licenses(make([(1, "mit license"), (2, "x\nReleased under the MIT License.")]))
+    plans.append(scanned._jdf.queryExecution().optimizedPlan().toString())
+    assert sum(p.count("regexp_extract_all(") for p in plans) == 1
+
+
 def test_license_plan_is_native(make):
     plan = licenses.scan_licenses(make([(1, "mit license")]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
