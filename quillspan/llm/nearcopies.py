@@ -7,9 +7,9 @@ most of them the blocks of a fingerprint tell nothing apart, so MinHash bands co
 candidate pair is computed from the two whole texts before it becomes a link.
 
 All pairs of a dense family are not needed for its component.  After SimHash each text of a bucket is compared with one
-pivot of it, twice, with different pivots.  Texts of a bucket that are still in different components are compared where they
-share one of their rarest shingles, which two texts of that similarity always do; a passage that many texts hold makes few
-pairs of its own.
+pivot of it, twice, with different pivots.  Texts of a bucket that are still in different components are described by their
+edits against its first pivot and compared where they share one of their rarest edits, which two texts of that similarity
+always do; neither a passage that many texts hold nor edits of one common text make many pairs.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from quillspan.llm.common import LOWER, cut_and_clean, small, utf8
 from quillspan.llm.components import components
@@ -110,10 +110,13 @@ def alike(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY, size: i
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def _fits(least: float):
+    return F.least("n_x", "n_y") >= F.lit(least) * F.greatest("n_x", "n_y") - 1e-9
+
+
 def _paired(joined: DataFrame, least: float) -> DataFrame:
     """Distinct (a, b) of rows with nodes x, y and their counts; counts too far apart rule a pair out."""
-    fits = F.least("n_x", "n_y") >= F.lit(least) * F.greatest("n_x", "n_y") - 1e-9
-    return joined.where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return joined.where(_fits(least)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def pivot_pairs(rows: DataFrame, turn: int, least: float) -> DataFrame:
@@ -127,10 +130,10 @@ def pivot_pairs(rows: DataFrame, turn: int, least: float) -> DataFrame:
 
 
 def shingle_rows(texts: DataFrame, size: int = WORDS_IN_SHINGLE) -> DataFrame:
-    """(node, shingle) of every distinct shingle of the texts (node, text); a text without words has the one shingle 0."""
+    """(node, shingle) of every distinct shingle of the texts (node, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            sets = [s if len(s := shingles(t, size)) else np.zeros(1, np.uint64) for t in utf8(batch.column("text"))]
+            sets = [shingles(t, size) for t in utf8(batch.column("text"))]
             node = np.repeat(batch.column("node").to_numpy(), [len(s) for s in sets])
             yield pa.RecordBatch.from_arrays([
                 pa.array(node, pa.int64()), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)),
@@ -139,29 +142,100 @@ def shingle_rows(texts: DataFrame, size: int = WORDS_IN_SHINGLE) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node bigint, shingle bigint")
 
 
+def shingle_sets(texts: DataFrame, size: int = WORDS_IN_SHINGLE) -> DataFrame:
+    """(node, shingles, times) of the texts (node, text) with words: sorted shingles, and how many of the texts hold each."""
+    rows = cut_and_clean(shingle_rows(texts, size), "near-shingles")
+    times = rows.groupBy("shingle").agg(F.count("*").alias("times"))
+    held = rows.join(times, "shingle").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("shingle", "times"))).alias("held"))
+    return held.select("node", F.col("held.shingle").alias("shingles"), F.col("held.times").alias("times"))
+
+
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    """Each list of longs as an array; null is an empty one."""
+    flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy().tolist()
+    return [flat[a:b] if held else flat[:0] for a, b, held in zip(ends, ends[1:], column.is_valid().to_pylist())]
+
+
+def lacking(members: DataFrame) -> DataFrame:
+    """(pivot, lacks): how many members of each pivot lack each of its shingles, in their order.
+
+    ``members``: pivot, shingles, of_pivot.  A task sums up the rows of a pivot that follow each other.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot = sums = None
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([pivot], pa.int64()), pa.array([sums], pa.list_(pa.int64()))], ["pivot", "lacks"])
+        for batch in small(batches):
+            for at, own, of in zip(batch.column("pivot").to_pylist(), _arrays(batch.column("shingles")), _arrays(batch.column("of_pivot"))):
+                if at != pivot:
+                    if pivot is not None:
+                        yield out()
+                    pivot, sums = at, np.zeros(len(of), np.int64)
+                sums += ~np.isin(of, own, assume_unique=True)
+        if pivot is not None:
+            yield out()
+
+    parts = members.select("pivot", "shingles", "of_pivot").mapInArrow(run, "pivot bigint, lacks array<bigint>")
+    summed = parts.select("pivot", F.posexplode("lacks").alias("at", "lack")).groupBy("pivot", "at").agg(F.sum("lack").alias("lack"))
+    return summed.groupBy("pivot").agg(F.array_sort(F.collect_list(F.struct("at", "lack"))).alias("lacks")).select(
+        "pivot", F.col("lacks.lack").alias("lacks"))
+
+
+def edit_heads(members: DataFrame, least: float) -> DataFrame:
+    """The rarest edits of each member (pivot, node, n, label, shingles, times, of_pivot, lacks) against its pivot.
+
+    Edits are the shingles that only one of the two holds, ``edits`` in number, ordered by how many members share the edit
+    (or a bound of it).  Edits of one member alone keep their place and make no row.
+    """
+    far = (1 - least) / least  # the most edits between two texts that are alike, a shingle of either
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            taken, edits, shingle, place = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for own, times, of, lacks, n in zip(*map(_arrays, (batch.column(x) for x in ("shingles", "times", "of_pivot", "lacks"))), batch.column("n").to_pylist()):
+                more, less = ~np.isin(own, of, assume_unique=True), ~np.isin(of, own, assume_unique=True)
+                edit, shared = np.concatenate([own[more], of[less]]), np.concatenate([times[more], lacks[less]])
+                order = np.lexsort((edit, shared))[:int(far * n + 1e-6) + 1]
+                at = np.flatnonzero(shared[order] > 1)
+                taken.append(len(at))
+                edits.append(len(edit))
+                shingle.append(edit[order][at])
+                place.append(at + 1)
+            of = pa.array(np.repeat(np.arange(len(taken)), taken))
+            yield pa.RecordBatch.from_arrays([
+                *(batch.column(x).take(of) for x in ("pivot", "node", "n", "label")), pa.array(np.repeat(edits, taken), pa.int64()),
+                pa.array(np.concatenate(shingle)), pa.array(np.concatenate(place)),
+            ], ["pivot", "node", "n", "label", "edits", "shingle", "place"])
+
+    return members.select("pivot", "node", "n", "label", "shingles", "times", "of_pivot", "lacks").mapInArrow(
+        run, "pivot bigint, node bigint, n bigint, label bigint, edits bigint, shingle bigint, place bigint")
+
+
 def open_pairs(rows: DataFrame, texts: DataFrame, least: float, size: int = WORDS_IN_SHINGLE) -> DataFrame:
-    """Pairs of members of a bucket that are in different components, where their rarest shingles meet.
+    """Pairs of members of a bucket that are in different components, where their rarest edits meet.
 
-    No pair of similarity ``least`` in a bucket is left out.  Of such a pair the text with fewer shingles, ``n``, shares
-    ``2 * least / (1 + least) * n`` of them and the other ``least`` times its own number, so the rarest of the rest and one
-    more of each have one in common.
+    Members are described by their edits against the least node of the bucket, which ``pivot_pairs`` has compared them with
+    (``turn`` 0), so a passage or a whole text that they share counts nothing.  No pair of similarity ``least`` is left out:
+    two texts of ``n`` and ``m`` shingles are alike if they differ in at most ``(1 - least) / (1 + least) * (n + m)`` shingles,
+    which are the edits of one of the two alone, so they share ``need`` edits or more, and the first shared one stands early
+    in both.  If ``need`` is zero both are alike to the pivot, thus in one component.
     """
-    mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    rest = cut_and_clean(rows.join(mixed, "key").select("key", "node", "n", "label"), "near-open")
-    held = cut_and_clean(shingle_rows(texts.join(rest.select("node").distinct(), "node", "left_semi"), size), "near-shingles")
-    times = held.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1")
-    rarest = Window.partitionBy("node").orderBy(F.coalesce("times", F.lit(1)), "shingle")
-    placed = held.join(times, "shingle", "left").withColumn("place", F.row_number().over(rarest)).where("times is not null")
-    room = lambda share: F.col("n") - F.ceil(F.lit(share) * F.col("n") - 1e-9) + 1
-    heads = placed.join(rest, "node").where(F.col("place") <= room(least)).select(
-        "key", "shingle", "node", "n", "label", (F.col("place") <= room(2 * least / (1 + least))).alias("first"))
-    heads = cut_and_clean(heads, "near-heads")
-    x = heads.where("first").withColumnsRenamed({"node": "x", "n": "n_x"}).drop("first")
-    y = heads.withColumnsRenamed({"node": "y", "n": "n_y", "label": "label_y"}).drop("first")
-    across = x.select("key", "shingle", "label").distinct().join(
-        y.select("key", "shingle", "label_y").distinct(), ["key", "shingle"]).where("label <> label_y")
-    met = across.join(x, ["key", "shingle", "label"]).join(y, ["key", "shingle", "label_y"])
-    return _paired(met.where("n_x <= n_y"), least)
+    pivots = rows.groupBy("key").agg(F.min("node").alias("pivot"))
+    members = rows.join(pivots, "key").select("pivot", "node", "n", "label").distinct()
+    mixed = members.groupBy("pivot").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("pivot")
+    rest = cut_and_clean(members.join(mixed, "pivot"), "near-open")
+    sets = cut_and_clean(shingle_sets(texts.join(rest.select("node").distinct(), "node", "left_semi"), size), "near-sets")
+    of_pivot = sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("of_pivot"))
+    held = rest.join(sets, "node", "left").join(of_pivot, "pivot", "left")
+    lacks = cut_and_clean(lacking(held), "near-lacks")
+    heads = cut_and_clean(edit_heads(held.join(lacks, "pivot", "left"), least), "near-heads")
+    x, y = (heads.select("pivot", "shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "label", "edits", "place")))
+            for side in "xy")
+    x = x.where(F.col("place_x") <= F.floor(F.lit((1 - least) / least / 2) * F.col("n_x") + 1e-6) + 1)  # enough for the fewer edits
+    need = (F.col("edits_x") + F.col("edits_y") - F.lit((1 - least) / (1 + least)) * (F.col("n_x") + F.col("n_y"))) / 2
+    early = F.least(F.col("edits_x") - F.col("place_x"), F.col("edits_y") - F.col("place_y")) + 1 >= need - 1e-6
+    fewer = F.struct("edits_x", "node_x") < F.struct("edits_y", "node_y")
+    met = x.join(y, (x["pivot"] == y["pivot"]) & (x["shingle"] == y["shingle"]) & (F.col("label_x") != F.col("label_y")) & fewer & early & _fits(least))
+    return _paired(met.withColumnsRenamed({"node_x": "x", "node_y": "y"}), least)
 
 
 def near_copies(docs: DataFrame, least: float = SIMILARITY, size: int = WORDS_IN_SHINGLE) -> DataFrame:

@@ -73,6 +73,34 @@ def test_crowded_bucket_makes_few_pairs_and_loses_no_link(make, spark, monkeypat
     assert sum(counts) < 60  # of 60 * 59 / 2 pairs that share a bucket
 
 
+def test_dense_family_makes_few_pairs_and_loses_no_link(make, spark, monkeypatch):
+    """Edits of one text that are too far apart: they share buckets and most shingles, and few of them are alike."""
+    source, base = random.Random(12), [f"b{k}" for k in range(150)]
+    rows = [(k, " ".join(edited(source, base, source.choice([5, 6, 7])))) for k in range(120)]
+    rows += [(1000 + k, rows[k][1].replace(" b", " c", 1)) for k in range(0, 120, 11)] + [(2000, " "), (2001, "b1")]
+    counts = []
+    keep = nearcopies.open_pairs
+    monkeypatch.setattr(nearcopies, "open_pairs", lambda *a: [f := keep(*a), counts.append(f.count())][0])
+    got = sorted(((r["doc_id"], r["text"]) for r in STAGE(spark, make(rows), "").collect()), key=repr)
+    assert got == brute_left(rows)
+    assert sum(counts) < 700  # of 120 * 119 / 2
+
+
+def test_open_pairs_lose_no_alike_pair(make, spark):
+    """One bucket of many texts with random edits, no component yet but what the pivot (the least node) makes."""
+    source = random.Random(3)
+    base = [f"w{source.randrange(90)}" for _ in range(110)]
+    texts = [" ".join(edited(source, base[source.choice([0, 0, 3]):], source.randrange(6))) for _ in range(90)] + ["", "one two", "x " * 40]
+    sets = [nearcopies.shingles(t.encode()) for t in texts]
+    like = lambda a, b: nearcopies.similarity(sets[a], sets[b]) >= 0.8 - 1e-12
+    label = [0 if like(0, k) else k for k in range(len(texts))]
+    rows = spark.createDataFrame([(7, k, len(sets[k]), label[k]) for k in range(len(texts))], "key bigint, node bigint, n bigint, label bigint")
+    given = spark.createDataFrame(list(enumerate(texts)), "node bigint, text string")
+    got = {tuple(r) for r in nearcopies.open_pairs(rows, given, 0.8).collect()}
+    want = {(a, b) for b in range(len(texts)) for a in range(b) if label[a] != label[b] and like(a, b)}
+    assert want <= got and len(want) > 20
+
+
 def test_stage_links_by_simhash(make, spark, monkeypatch):
     """Close copies are linked by fingerprints alone; a fingerprint's pair is still checked on both texts."""
     text = " ".join(f"a{k}" for k in range(60))
